@@ -1,0 +1,21 @@
+"""Size-checked handling of dimension tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+SMALL_TABLE_ROWS = 10_000
+
+
+def pin_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """Turn a dimension table into a local relation when it is proven small.
+
+    At most `max_rows + 1` rows reach the driver. When the table fits, Catalyst knows its exact size
+    and broadcasts it without a hint; when it does not, the lazy DataFrame is returned unchanged and
+    joins shuffle, with adaptive execution splitting hot keys.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    spark: SparkSession = df.sparkSession
+    return spark.createDataFrame(rows, df.schema)
