@@ -95,6 +95,9 @@ def token_set_similarity(left: str | None, right: str | None) -> float:
     return max(scores)
 
 
-@F.pandas_udf("double")
-def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([token_set_similarity(a, b) for a, b in zip(left, right)])
+def token_set_ratio(left: Column, right: Column) -> Column:
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    score.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(score, "double")(left, right)

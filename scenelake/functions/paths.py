@@ -126,11 +126,15 @@ def mm_ss(seconds: Column, pad_minutes: bool = True) -> Column:
 
 def byte_size(n: Column) -> Column:
     kb = 1024
+
+    def scaled(unit: int, name: str) -> Column:
+        return F.format_string(f"%.1f {name}", F.bround(n / unit, 1))
+
     return (
         F.when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < kb**2, F.format_string("%.1f KB", n / kb))
-        .when(n < kb**3, F.format_string("%.1f MB", n / kb**2))
-        .otherwise(F.format_string("%.1f GB", n / kb**3))
+        .when(n < kb**2, scaled(kb, "KB"))
+        .when(n < kb**3, scaled(kb**2, "MB"))
+        .otherwise(scaled(kb**3, "GB"))
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cell sizes in degrees, finest first. At 90 the neighbourhood of a cell is the whole globe.
-CELL_SIZES = (1.0, 6.0, 30.0, 90.0)
+# Cell sizes in degrees, finest first. At 120 the neighbourhood of a cell is the whole globe.
+CELL_SIZES = (1.0, 6.0, 30.0, 120.0)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -57,7 +57,7 @@ def reverse_geocode(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
             F.any_value("lat").alias("lat"), F.any_value("lon").alias("lon"),
             F.any_value("best").alias("best"), F.min(offer).alias("offer"),
         )
-        reach = F.lit(180.0) if size >= 90.0 else F.least(
+        reach = F.lit(180.0) if size == CELL_SIZES[-1] else F.least(
             F.lit(size), F.degrees(F.asin(F.sin(F.radians(F.lit(size))) * F.cos(F.radians("lat"))))
         )
         proven = F.when(F.degrees("offer.angle") <= reach, F.col("offer"))
