@@ -131,7 +131,7 @@ select event_id, 'w'||cast(user_id as varchar(20)) as worker_id,
     - case when user_id%17=0 then 172800 else 0 end as seen_epoch,
   case event_type when 'view' then 'idle' when 'error' then 'offline' when 'signup' then 'paused'
     else 'processing' end as state,
-  case when event_type='view' then null when value<12 then 'transcode' else 'thumbnail' end as stage,
+  case when event_type='view' then null when value<60 then 'transcode' else 'thumbnail' end as stage,
   value as progress
 from {events}
 """
