@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scenelake.schemas import (
     PHASH_THRESHOLD, SCENE_CEILING_SECONDS, SCENE_DEBOUNCE_SECONDS, SKIPPED_LEADING_FRAMES,
 )
-from scenelake.session import checkpoint_dir
+from scenelake.session import use_checkpoints
 
 BLOCK_SECONDS = 14_400.0
 ANCHOR_ID = -1  # frame id of the remembered anchor of a resumed video
@@ -205,16 +205,16 @@ def _entered(exits: DataFrame, ends: DataFrame, rounds: int, block_seconds: floa
     Doubling: the pointers reach 1, 2, 4, ... blocks ahead, and every round adds the blocks that far
     behind the known ones. All joins are on unique keys of the small exit table.
     """
-    spark = exits.sparkSession
+    use_checkpoints(exits.sparkSession)
+    exits = exits.checkpoint()
     hops = exits.where(F.col("exit_id").isNotNull()).select(
         "asset_id", "block", "enter_id",
         F.floor(F.col("exit_pts") / block_seconds).cast("bigint").alias("to_block"),
         F.col("exit_id").alias("to_id"),
     )
     reached = ends.where("opening").select("asset_id", "block", F.col("first_id").alias("enter_id"))
-    durable = checkpoint_dir(spark) is not None or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     key = ["asset_id", "block", "enter_id"]
-    for number in range(rounds):
+    for _ in range(rounds):
         ahead = reached.join(hops, key).select(
             "asset_id", F.col("to_block").alias("block"), F.col("to_id").alias("enter_id")
         )
@@ -227,8 +227,7 @@ def _entered(exits: DataFrame, ends: DataFrame, rounds: int, block_seconds: floa
             "asset_id", "block", "enter_id", F.col("far_block").alias("to_block"),
             F.col("far_id").alias("to_id"),
         )
-        if durable:
-            reached, hops = reached.checkpoint(), hops.checkpoint()
+        reached, hops = reached.checkpoint(), hops.checkpoint()
     return reached
 
 
@@ -247,11 +246,16 @@ def segment_scenes(
     if block_seconds <= rules.ceiling:
         raise ValueError("a block must be longer than the longest scene")
     frames = frames.select("asset_id", "frame_id", "pts", "phash", "sharpness")
-    if progress is not None:
-        frames = (
-            frames.join(progress.select("asset_id", "max_end_ts"), "asset_id", "left")
-            .where(F.col("max_end_ts").isNull() | (F.col("pts") >= F.col("max_end_ts"))).drop("max_end_ts")
-        )
+    covered = [
+        df.select("asset_id", F.col(c).alias("since"))
+        for df, c in ((progress, "max_end_ts"), (states, "scene_start_ts")) if df is not None
+    ]
+    if covered:
+        since = covered[0] if len(covered) == 1 else covered[0].unionByName(covered[1])
+        since = since.groupBy("asset_id").agg(F.max("since").alias("since"))
+        frames = frames.join(since, "asset_id", "left").where(
+            F.col("since").isNull() | (F.col("pts") >= F.col("since"))
+        ).drop("since")
     if states is not None:
         anchors = states.select(
             "asset_id", F.lit(ANCHOR_ID).cast("bigint").alias("frame_id"),
@@ -259,10 +263,6 @@ def segment_scenes(
             F.lit(-1.0).alias("sharpness"),
         )
         frames = frames.unionByName(anchors.join(frames.select("asset_id").distinct(), "asset_id", "left_semi"))
-    spark = frames.sparkSession
-    if checkpoint_dir(spark) is not None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-
     ends = _block_ends(frames, block_seconds, rules)
     tagged = _tagged(frames, block_seconds, rules)
     most = ends.groupBy("asset_id").count().agg(F.max("count")).first()[0] or 0

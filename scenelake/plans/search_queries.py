@@ -1 +1,270 @@
-"""x"""
+"""Text search, tag search, index search and similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scenelake.functions.text import cover_rank, parse_query, tokens
+from scenelake.operators import ranking as rk
+from scenelake.operators import search as se
+from scenelake.plans import oracle_parts as o
+from scenelake.plans.expression_queries import with_media_metadata
+from scenelake.plans.registry import query
+from scenelake.plans.tables import AS_OF, Catalog
+from scenelake.sources import search_docs as sd
+
+WORDS = ["attion", "eriner"]
+TEXT = " ".join(WORDS)
+
+
+def _search(c: Catalog, **how) -> DataFrame:
+    return se.search_assets(c.asset, c.scene, c.library, se.SearchRequest(**how))
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select(
+        "asset_id", "best_scene_ts", F.round("match_ratio", 6).alias("match_ratio"),
+        F.round("final_rank", 6).alias("final_rank"), "best_rep_frame_path",
+    )
+
+
+def _top(limit: int, where: str = "true") -> str:
+    return f"select {o.HIT_COLUMNS} from (select * from final where {where} order by final_rank desc, asset_id limit {limit}) q"
+
+
+@query("fts_search", _top(50), o.hit_ctes(WORDS, o.searchable()))
+def fts_search(c: Catalog) -> DataFrame:
+    """Images and videos holding both words, best first."""
+    return _shown(_search(c, query=TEXT))
+
+
+@query("fts_search_all", f"select {o.HIT_COLUMNS} from final", o.hit_ctes(["thing"], o.searchable()))
+def fts_search_all(c: Catalog) -> DataFrame:
+    """Every hit of a single word, before the cut."""
+    return _shown(se.all_hits(c.asset, c.scene, c.library, se.SearchRequest(query="thing")))
+
+
+@query("fts_search_tag", _top(50), o.hit_ctes(["attion"], o.searchable(tag="en")))
+def fts_search_tag(c: Catalog) -> DataFrame:
+    return _shown(_search(c, query="attion", tag="en"))
+
+
+@query("ocr_search", _top(30), o.hit_ctes(["attion"], o.searchable("coalesce(ocr_text,'')", "coalesce(ocr_text,'')")))
+def ocr_search(c: Catalog) -> DataFrame:
+    return _shown(_search(c, ocr_query="attion", limit=30))
+
+
+@query("tag_search", f"select {o.HIT_COLUMNS} from (select * from final order by final_rank desc, asset_id limit 500) q",
+       o.hit_ctes(None, o.searchable(tag="assistant")))
+def tag_search(c: Catalog) -> DataFrame:
+    """Assets carrying a tag; for videos, the share of time it covers counts."""
+    return _shown(_search(c, tag="assistant", limit=500))
+
+
+@query("search_by_library", f"select {o.HIT_COLUMNS} from (select final.* from final join asset on asset.id=asset_id where library_id in ('src1','src3','src6') and type='image' order by final_rank desc, asset_id limit 50) q",
+       o.hit_ctes(["attion"], o.searchable()))
+def search_by_library(c: Catalog) -> DataFrame:
+    """Images of three libraries, one of them in the trash."""
+    return _shown(_search(c, query="attion", libraries=("src1", "src3", "src6"), types=("image",)))
+
+
+
+@query(
+    "fts_operators",
+    "select key, asset_id from sdoc where (n like '% attion eriner %' and n not like '% thing %') or n like '% thanea %'",
+    {"sdoc0": o.searchable(), "sdoc": r"select *, ' '||regexp_replace(regexp_replace(lower(txt),'[^\p{L}\p{N}]+',' ','g'),'^ | $','','g')||' ' as n from sdoc0"},
+)
+def fts_operators(c: Catalog) -> DataFrame:
+    """Phrase, exclusion and alternative in one query: the documents that match."""
+    req = se.SearchRequest(query='"attion eriner" -thing or thanea')
+    clauses = parse_query(req.query)
+    images = se._in_scope(c.asset, c.library, req, "image").where(F.col("visual_analysis").isNotNull())
+    owners = se._in_scope(c.asset, c.library, req, "video").select(F.col("id").alias("asset_id"))
+    scenes = c.scene.where(F.col("metadata").isNotNull()).join(owners, "asset_id", "left_semi")
+    found = se._ranked(images, se._target(F.col("visual_analysis"), False), clauses).select(
+        F.concat(F.lit("i"), F.col("id").cast("string")).alias("key"), F.col("id").alias("asset_id"))
+    return found.unionByName(
+        se._ranked(scenes, se._target(F.col("metadata.analysis"), False), clauses).select(
+            F.concat(F.lit("s"), F.col("id").cast("string")).alias("key"), "asset_id")
+    )
+
+
+@query("fts_rank", "select key, round(rank,6) as rank from ranks",
+       {"sdoc": "select 'd'||id as key, description as txt from image_asset where description is not null", **o.word_ctes(["ing", "the", "thing"])})
+def fts_rank(c: Catalog) -> DataFrame:
+    """Cover-density rank of every description for three words, two of them frequent."""
+    clauses = parse_query("ing thing")
+    everyday = [type(clauses[0])(("ing", "the", "thing"))]
+    words = c.asset.where(F.col("type") == "image").select(
+        F.concat(F.lit("d"), F.col("id").cast("string")).alias("key"),
+        cover_rank(tokens(F.col("visual_analysis.description")), everyday).alias("rank"),
+    )
+    return words.where(F.col("rank") > 0).withColumn("rank", F.round("rank", 6))
+
+
+@query(
+    "search_confidence",
+    """select asset_id, round_even(100*final_rank/max(final_rank) over (),0)::bigint as confidence,
+  case when round_even(100*final_rank/max(final_rank) over (),0)>80 then 'high' when round_even(100*final_rank/max(final_rank) over (),0)>50 then 'medium' else 'low' end as band
+from (select * from final order by final_rank desc, asset_id limit 50) q""",
+    o.hit_ctes(["attion"], o.searchable()),
+)
+def search_confidence(c: Catalog) -> DataFrame:
+    return se.with_confidence(_search(c, query="attion")).select("asset_id", "confidence", "band")
+
+
+@query(
+    "result_projection",
+    f"""select asset_id, type, case when status not in ('pending','processing','failed','poisoned') then '/media/'||library_id||'/thumbnails/'||(asset_id%1000)||'/'||asset_id||'.jpg' end as thumbnail_url,
+  case when type='video' and best_rep_frame_path<>'' then '/media/'||best_rep_frame_path end as preview_url, '/media/'||video_preview_path as video_preview_url,
+  status, error_message, round(final_rank,6) as final_rank, round(match_ratio*100,1) as match_ratio,
+  printf('%02d:%02d', cast(floor(best_scene_ts) as bigint)//60, cast(floor(best_scene_ts) as bigint)%60) as best_scene_ts, best_scene_ts as best_scene_ts_seconds,
+  library_id as library_slug, coalesce(l.name, l.slug) as library_name, {o.BASENAME} as filename
+from (select * from final order by final_rank desc, asset_id limit 50) q join asset a on a.id=q.asset_id join library l on l.slug=a.library_id""",
+    o.hit_ctes(["attion"], o.searchable()),
+)
+def result_projection(c: Catalog) -> DataFrame:
+    """Hits as a user sees them."""
+    rows = se.result_rows(_search(c, query="attion"), c.asset, c.library)
+    return rows.withColumn("final_rank", F.round("final_rank", 6))
+
+
+# Search documents and their indexes -----------------------------------------------------------
+
+
+def documents(c: Catalog) -> DataFrame:
+    """Documents in the active index of their library, and again in its shadow index."""
+    docs = sd.build_documents(c.asset, c.scene, AS_OF)
+    return sd.with_index(docs, c.policy).unionByName(sd.with_index(docs, c.policy, "shadow_index_name"))
+
+
+_DOCS = {
+    "doc0": """select 'asset_'||id as id, 0::bigint as scene_id, id as asset_id, library_id as library_slug, concat_ws(' ', description, ocr_text, tag1||' '||tag2) as txt
+from image_asset where status='completed'
+union all select 'scene_'||s.id, s.id, s.asset_id, v.library_id, concat_ws(' ', s.description, s.ocr_text, s.tag)
+from scene s join video_asset v on v.id=s.asset_id where v.status='completed'""",
+    "doc": """select d.*, active_index_name as index_name from doc0 d join policy p using (library_slug) where active_index_name is not null
+union all select d.*, shadow_index_name from doc0 d join policy p using (library_slug) where shadow_index_name is not null""",
+}
+_ACTIVE = "index_name in (select active_index_name from policy where active_index_name is not null {0})"
+
+
+def _bm25(scope: str, weights: str, needed: int | None) -> dict[str, str]:
+    """Scores of the documents in `scope` for the (term, weight) rows of `weights`."""
+    every = f"where (select count(*) from tf x where x.id=t.id)={needed}" if needed else ""
+    return {
+        "bdoc": scope,
+        "wts": weights,
+        "words": f"select id, {o.split('txt')} as ws from bdoc",
+        "coll": "select count(*) as n, avg(len(ws)) as mean from words",
+        "tf": "select id, w as term, count(*) as tf from (select id, unnest(ws) as w from words) q where w in (select term from wts) group by 1,2",
+        "df": "select term, count(*) as df from tf group by 1",
+        "bm25": f"""select t.id, sum(wts.weight*ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*len(ws)/mean))) as score
+from tf t join df using (term) join wts using (term) join words w on w.id=t.id, coll {every} group by 1""",
+    }
+
+
+def _flat_weights(words: list[str]) -> str:
+    return " union all ".join(f"select '{w}' as term, 1 as weight" for w in words)
+
+
+def _scored(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "asset_id", "scene_id", "library_slug", F.round("score", 6).alias("score"))
+
+
+def _scored_sql(limit: int) -> str:
+    return f"""select d.id, d.asset_id, d.scene_id, d.library_slug, round(score,6) as score
+from (select * from bm25 order by score desc, id limit {limit}) q join bdoc d on d.id=q.id"""
+
+
+@query("search_docs", f"""select 'asset_'||a.id as id, 0::bigint as scene_id, a.id as asset_id, a.library_id as library_slug, {o.CAPTURE_TS.replace('mtime','a.mtime')} as capture_ts, n.country, n.region, n.city,
+  {o.MAKE} as camera_make, {o.MODEL} as camera_model, {o.COLOR} as color_space, 'original' as generation_hint, {o.WIDTH} as resolution_w, {o.HEIGHT} as resolution_h,
+  null::double as duration_sec, null::double as frame_rate, null::boolean as has_face, null::double as sharpness_score, null::double as scene_start_ts, null::double as scene_end_ts,
+  description, ocr_text, coalesce(tag1||'|'||tag2,'') as tags, preview_path as rep_frame_path, null::varchar as head_clip_path, preview_path is not null as preview_ready, false as playable,
+  true as searchable, false as offline_ready, {AS_OF}::bigint as indexed_at
+from image_asset a join exif e on e.id=a.id left join nearest n on n.id=a.id where status='completed'
+union all
+select 'scene_'||s.id, s.id, a.id, a.library_id, {o.CAPTURE_TS.replace('mtime','a.mtime')}, n.country, n.region, n.city, {o.MAKE}, {o.MODEL}, {o.COLOR}, {o.HINT.replace("type=", "e.type=").replace("type<>", "e.type<>")}, {o.WIDTH}, {o.HEIGHT},
+  {o.DURATION.replace("type<>", "e.type<>")}, round({o.RATE.replace("type=", "e.type=")},6), null, null, s.start_ts, s.end_ts, s.description, s.ocr_text, coalesce(s.tag,''), s.rep_frame_path, a.video_preview_path,
+  a.video_preview_path is not null, a.video_preview_path is not null, true, false, {AS_OF}
+from scene s join video_asset a on a.id=s.asset_id join exif e on e.id=a.id left join nearest n on n.id=a.id where a.status='completed'""", o.GEO_CTES)
+def search_docs(c: Catalog) -> DataFrame:
+    """All documents with every field."""
+    docs = sd.build_documents(_with_metadata(c), c.scene, AS_OF)
+    return docs.withColumn("tags", F.array_join("tags", "|")).withColumn("frame_rate", F.round("frame_rate", 6))
+
+
+def _with_metadata(c: Catalog) -> DataFrame:
+    return c.asset.join(with_media_metadata(c).withColumnRenamed("m", "media_metadata"), "id")
+
+
+@query("bm25_search", _scored_sql(50), {**_DOCS, **_bm25(
+    f"select * from doc where {_ACTIVE.format('')} and scene_id<1", _flat_weights(WORDS), len(WORDS))})
+def bm25_search(c: Catalog) -> DataFrame:
+    """Image documents of all active indexes that hold both words."""
+    docs = rk.active_documents(documents(c), c.policy)
+    return _scored(rk.bm25_search(docs, TEXT, types=["image"]))
+
+
+_THREE = "('src1','src3','src4')"
+
+
+@query("routed_search", _scored_sql(40), {**_DOCS, **_bm25(
+    f"select * from doc where {_ACTIVE.format('and library_slug in ' + _THREE)} and library_slug in {_THREE}", _flat_weights(["the"]), 1)})
+def routed_search(c: Catalog) -> DataFrame:
+    """Documents of three libraries through the indexes their policies name."""
+    return _scored(rk.routed_search(documents(c), c.policy, "the", ["src1", "src3", "src4"], limit=40))
+
+
+@query("shadow_search", _scored_sql(50), {**_DOCS, **_bm25("select * from doc where index_name='media_scenes_src1_200'", _flat_weights(["the"]), 1)})
+def shadow_search(c: Catalog) -> DataFrame:
+    return _scored(rk.shadow_search(documents(c), "media_scenes_src1_200", "the"))
+
+
+_SOURCE = 2
+
+
+def _similar_weights() -> str:
+    return f"""select term, count(*) as weight from (select unnest({o.split("q")}) as term from (
+  select array_to_string(list_concat(list_filter(ws, lambda x, i: x<>'' and list_position(ws,x)=i), [lower(tag1),lower(tag2)], [lower(tag1),lower(tag2)]),' ') as q
+  from (select string_split(trim(regexp_replace(regexp_replace(description, '[-"()\\[\\]{{}}:^~*?\\\\/+!&|]',' ','g'),'\\s+',' ','g')),' ') as ws, tag1, tag2 from image_asset where id={_SOURCE}) a) b) c group by 1"""
+
+
+def _cut_sql(tried: list[float], max_results: int) -> str:
+    counts = ", ".join(f"count(*) filter (score>={t!r}) as n{i}" for i, t in enumerate(tried))
+    pick = " ".join(f"when n{i}>=3 then {t!r}" for i, t in enumerate(tried))
+    return f"""select d.id, d.asset_id, round(score,6) as score, threshold_used::double as threshold_used from
+(select * from bm25 order by score desc, id limit {max_results}) q join bdoc d on d.id=q.id,
+(select case {pick} else {tried[-1]!r} end as threshold_used from (select {counts} from (select * from bm25 order by score desc, id limit {max_results}) x) y) z
+where score>=threshold_used"""
+
+
+def _similar_shown(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "asset_id", F.round("score", 6).alias("score"), "threshold_used")
+
+
+@query("similar_assets", _cut_sql(rk.thresholds(rk.MIN_SCORE, rk.FLOOR, rk.STEP), 20), {**_DOCS, **_bm25(
+    f"select * from doc where {_ACTIVE.format('')} and asset_id<>{_SOURCE}", _similar_weights(), None)})
+def similar_assets(c: Catalog) -> DataFrame:
+    """The documents most like one image."""
+    return _similar_shown(rk.similar_assets(documents(c), c.asset, c.policy, _SOURCE))
+
+
+_SCOPED = {**_DOCS, "meta": f"select id as asset_id, {o.CAPTURE_TS} as capture_ts, {o.MAKE} as camera_make, {o.MODEL} as camera_model from exif"}
+
+
+@query("similarity_scope", _cut_sql(rk.thresholds(70.0, 20.0, 0.7), 100), {**_SCOPED, **_bm25(
+    f"""select d.* from doc d join meta m using (asset_id) where {_ACTIVE.format('')} and asset_id<>{_SOURCE} and scene_id<1 and capture_ts>=1600000000 and capture_ts<=1700300000
+  and (camera_make='Canon' or (camera_make='NIKON' and camera_model='R5'))""", _similar_weights(), None)})
+def similarity_scope(c: Catalog) -> DataFrame:
+    """Similar images taken in a period with one of two cameras, under a descending threshold."""
+    scope = rk.SimilarityScope(
+        asset_types=("image",), from_ts=1_600_000_000, to_ts=1_700_300_000,
+        cameras=(rk.Camera("Canon"), rk.Camera(" NIKON ", "R5")),
+    )
+    docs = sd.with_index(sd.build_documents(_with_metadata(c), c.scene, AS_OF), c.policy)
+    found = rk.similar_assets(
+        docs, c.asset, c.policy, _SOURCE, scope, max_results=100, min_score=70.0, floor=20.0, step=0.7
+    )
+    return _similar_shown(found)

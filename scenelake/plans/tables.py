@@ -271,7 +271,9 @@ def _fill(sql: str, refs: dict[str, str]) -> str:
 
 def duckdb_sql(body: str, extra: dict[str, str] | None = None) -> str:
     """Oracle text: CTEs plus body over the registered views."""
-    return _fill(with_tables(body, extra), {**{r: r for r in RAW}, "ts_us": _DUCK_TS})
+    sql = _fill(with_tables(body, extra), {**{r: r for r in RAW}, "ts_us": _DUCK_TS})
+    recursive = any(re.search(rf"\b{name}\b", text) for name, text in (extra or {}).items())
+    return sql.replace("with ", "with recursive ", 1) if recursive else sql
 
 
 def _epoch_to_ts(name: str):

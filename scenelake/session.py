@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +37,13 @@ def local_session(cores: str | int = "*", app: str = "scenelake", **conf: str) -
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared folder the cluster names for checkpoints and interim tables, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make `DataFrame.checkpoint` usable: the shared folder the cluster names, else one of our own
+    when everything runs on this machine."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))

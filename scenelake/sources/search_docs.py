@@ -56,7 +56,7 @@ def video_documents(asset: DataFrame, scene: DataFrame, indexed_at: int) -> Data
     )
     analysis = F.col("metadata.analysis")
     playable = F.col("head_clip_path").isNotNull()
-    rows = scene.join(owners, "asset_id")
+    rows = scene.drop("sharpness_score").join(owners, "asset_id")
     own = {
         "id": F.concat(F.lit("scene_"), F.col("id").cast("string")),
         "scene_id": F.col("id"), "scene_start_ts": F.col("start_ts"), "scene_end_ts": F.col("end_ts"),
