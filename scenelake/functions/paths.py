@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.schemas import NO_THUMBNAIL, PATH_SHARDS, VIDEO_SUFFIXES
@@ -24,6 +24,13 @@ def has_suffix(path: Column, suffixes: Iterable[str]) -> Column:
     return suffix(path).isin([s.lower().lstrip(".") for s in suffixes])
 
 
+def has_media_suffix(asset: DataFrame, suffixes: Iterable[str]) -> Column:
+    """The same for asset rows: the stored `ext` column, whose filter reaches Parquet, when there is one."""
+    if "ext" in asset.columns:
+        return F.col("ext").isin([s.lower().lstrip(".") for s in suffixes])
+    return has_suffix(F.col("rel_path"), suffixes)
+
+
 def asset_type(path: Column) -> Column:
     return F.when(has_suffix(path, VIDEO_SUFFIXES), "video").otherwise("image")
 

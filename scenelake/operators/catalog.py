@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.functions.paths import has_suffix, join_path
+from scenelake.functions.paths import has_media_suffix, join_path
 from scenelake.operators.ordered import running
 from scenelake.schemas import (
     HAS_DERIVATIVES, IMAGE_SUFFIXES, MEDIA_SUFFIXES, REANALYSABLE, SEGMENTATION_VERSION,
@@ -113,7 +113,7 @@ def video_ids(asset: DataFrame, library: DataFrame, slug: str | None = None) ->
 
 def expecting_derivatives(asset: DataFrame, library: DataFrame, slug: str | None = None) -> DataFrame:
     """Assets that should have thumbnails and previews on disk."""
-    ready = F.col("status").isin(*HAS_DERIVATIVES) & has_suffix(F.col("rel_path"), MEDIA_SUFFIXES)
+    ready = F.col("status").isin(*HAS_DERIVATIVES) & has_media_suffix(asset, MEDIA_SUFFIXES)
     return live_assets(asset.where(ready), library, slug)
 
 
@@ -124,7 +124,7 @@ def stale_segmentation(
     old = (
         F.col("status").isin(*HAS_DERIVATIVES)
         & (F.col("type") == "video")
-        & has_suffix(F.col("rel_path"), VIDEO_SUFFIXES)
+        & has_media_suffix(asset, VIDEO_SUFFIXES)
         & (F.col("segmentation_version") != version)
     )
     return live_assets(asset.where(old), library, slug)
@@ -146,7 +146,7 @@ def expecting_reanalysis(
     """Analysed images whose model is not the one their library wants."""
     wanted = library_models(library, default_model).withColumnRenamed("slug", "library_id")
     done = asset.where(
-        F.col("status").isin(*REANALYSABLE) & has_suffix(F.col("rel_path"), IMAGE_SUFFIXES)
+        F.col("status").isin(*REANALYSABLE) & has_media_suffix(asset, IMAGE_SUFFIXES)
     )
     if slug is not None:
         done = done.where(F.col("library_id") == slug)
@@ -164,7 +164,7 @@ def eligible_work(
         F.col("lease_expires_at") < F.timestamp_seconds(F.lit(as_of))
     )
     rows = asset.where(
-        ((F.col("status") == status) | expired) & has_suffix(F.col("rel_path"), suffixes)
+        ((F.col("status") == status) | expired) & has_media_suffix(asset, suffixes)
     )
     if target_model is not None and default_model is not None:
         models = library_models(library, default_model).where(F.col("model_id") == target_model)
@@ -178,7 +178,7 @@ def eligible_metadata(
     """Assets waiting for raw metadata (`exif`) or for sharpness and faces (`sharpness`)."""
     state = F.col("metadata_status")
     waiting = {"exif": state.isNull(), "sharpness": state == "exif_done"}[stage]
-    media = has_suffix(F.col("rel_path"), MEDIA_SUFFIXES)
+    media = has_media_suffix(asset, MEDIA_SUFFIXES)
     return live_assets(asset.where(waiting & media), library, slug)
 
 

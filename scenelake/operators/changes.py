@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.exif import media_metadata
+from scenelake.functions.paths import suffix
 from scenelake.schemas import MAX_RETRIES, MEDIA_METADATA
 
 _ID_BUCKETS = 4096
@@ -77,10 +78,13 @@ def scan_upsert(asset: DataFrame, found: DataFrame) -> DataFrame:
     }
     kept = both.select(*[rules.get(c, F.col(c)).alias(c) for c in asset.columns])
     fresh = new_ids(found.join(asset.select(*key), key, "left_anti"), key, asset.select("id"))
-    values = {"status": F.lit("pending"), "retry_count": F.lit(0).cast("bigint")}
+    values = {
+        "status": F.lit("pending"), "retry_count": F.lit(0).cast("bigint"),
+        "ext": suffix(F.col("rel_path")).alias("ext"),
+    }
     added = fresh.select(
         *[
-            F.col(f.name) if f.name in fresh.columns
+            F.col(f.name) if f.name in fresh.columns and f.name != "ext"
             else values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
             for f in asset.schema.fields
         ]

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.functions.paths import has_suffix
+from scenelake.functions.paths import has_media_suffix
 from scenelake.operators.catalog import live_assets, live_libraries
 from scenelake.schemas import FINISHED, MEDIA_SUFFIXES
 
@@ -26,7 +26,7 @@ def count_assets(asset: DataFrame, slug: str, status: str | None = None) -> Data
 def pending_counts(asset: DataFrame, library: DataFrame, slug: str | None = None) -> DataFrame:
     """Per live library the pending assets, and those of them with a media suffix."""
     waiting = live_assets(asset.where(F.col("status") == "pending"), library, slug)
-    media = has_suffix(F.col("rel_path"), MEDIA_SUFFIXES)
+    media = has_media_suffix(asset, MEDIA_SUFFIXES)
     return waiting.groupBy("library_id").agg(
         F.count("*").alias("pending"), F.count_if(media).alias("pending_proxyable")
     )

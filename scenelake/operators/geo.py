@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cell sizes in degrees, finest first. At 120 the neighbourhood of a cell is the whole globe.
-CELL_SIZES = (1.0, 6.0, 30.0, 120.0)
+CELL_SIZES = (1.0, 10.0, 120.0)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -11,6 +11,7 @@ from scenelake.functions.paths import base_name, slugify, stem_and_ext
 from scenelake.operators.catalog import orphan_libraries, project_paths, video_ids
 from scenelake.operators.changes import apply_status, new_ids
 from scenelake.operators.ordered import row_numbers, running
+from scenelake.session import cut_lineage
 
 CHILD_TABLES = ("scene", "active_state", "videoframe", "project_assets")
 
@@ -192,7 +193,9 @@ def export_manifest(project_assets: DataFrame, asset: DataFrame, library: DataFr
     different stems cannot meet, so each (project, name) is settled on its own, in chunks.
     """
     files = project_paths(project_assets, asset, library).withColumn("name", base_name(F.col("path")))
-    files = row_numbers(files.where(F.length("name") > 0), ["project_id", "name"], "asset_id", "copy")
+    files = files.where(F.length("name") > 0)
+    # Three branches below start from the numbered files.
+    files = cut_lineage(row_numbers(files, ["project_id", "name"], "asset_id", "copy"))
     stem, ext = stem_and_ext(F.col("name"))
     repeats = files.where(F.col("copy") > 1).withColumn("slot", F.col("copy") - 1)
 

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.functions.text import similarity_query, term_weights, tokens, words_of
+from scenelake.functions.text import similarity_query, term_weights, words_of
+from scenelake.sources.search_docs import build_postings, n_words
 
 K1, B = 1.2, 0.75
 
@@ -22,10 +23,6 @@ K1, B = 1.2, 0.75
 MIN_SCORE, FLOOR, STEP, MIN_RESULTS, MAX_RESULTS = 0.65, 0.35, 0.10, 3, 20
 
 
-def document_text() -> Column:
-    return F.concat_ws(" ", "description", "ocr_text", F.array_join("tags", " "))
-
-
 def restrict(
     docs: DataFrame, libraries: Iterable[str] = (), types: Iterable[str] = ()
 ) -> DataFrame:
@@ -40,53 +37,56 @@ def restrict(
     return docs
 
 
-def bm25_scores(docs: DataFrame, weights: Mapping[str, float], match_all: bool) -> DataFrame:
+def bm25_scores(
+    docs: DataFrame, weights: Mapping[str, float], match_all: bool, postings: DataFrame | None = None
+) -> DataFrame:
     """(id, score) of the documents holding any, or all, of the weighted terms.
 
-    Only occurrences of query terms leave the scan. They are shuffled once, by document, and both
-    aggregations use that partitioning; collection statistics are a one-row scalar and at most one row
-    per query term.
+    With stored `postings` of the same documents only rows of the query's terms are read; without, the
+    texts are scanned and only occurrences of the terms leave the scan. Collection statistics are a
+    one-row scalar and at most one row per query term.
     """
     terms = sorted(weights)
-    words = docs.select("id", tokens(document_text()).alias("words"))
-    collection = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).select(
-        F.struct("n", "mean")
+    if postings is None:
+        found = build_postings(docs, terms)
+    else:
+        found = postings.where(F.col("term").isin(terms))
+    collection = docs.agg(
+        F.struct(F.count("*").alias("n"), F.avg(n_words(docs)).alias("mean"))
     ).scalar()
-    hits = words.select(
-        "id", F.size("words").alias("length"),
-        F.filter("words", lambda w: w.isin(terms)).alias("hits"),
-    ).where(F.size("hits") > 0)
-    # Frequencies count every document with the term, also one that misses another term.
-    frequency = hits.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df")
-    )
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = docs.sparkSession.createDataFrame(
         [(t, float(w)) for t, w in weights.items()], "term string, weight double"
     )
-    if match_all:
-        hits = hits.where(F.size(F.array_distinct("hits")) == len(terms))
-    counts = (
-        hits.repartition("id").select("id", "length", F.explode("hits").alias("term"))
-        .groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    )
-    stats = F.col("stats")
-    idf = F.log(F.lit(1.0) + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(F.lit(1.0) + (F.col("c.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # One row per query term: bounded by the query, so broadcasting is safe at any data size.
-    factors = F.broadcast(frequency.join(weighted, "term").withColumn("stats", collection))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / stats["mean"]))
-    return counts.join(factors, "term").groupBy("id").agg(F.sum(idf * part * F.col("weight")).alias("score"))
+    factors = F.broadcast(
+        frequency.join(weighted, "term").withColumn("c", collection).select(
+            "term", (idf * F.col("weight")).alias("factor"), F.col("c.mean").alias("mean")
+        )
+    )
+    part = F.col("tf") * (K1 + 1) / (
+        F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    )
+    scores = found.join(factors, "term").groupBy("id").agg(
+        F.sum(F.col("factor") * part).alias("score"), F.count("*").alias("held")
+    )
+    if match_all:
+        scores = scores.where(F.col("held") == len(terms))
+    return scores.select("id", "score")
 
 
 def bm25_search(
     docs: DataFrame, query: str | None, libraries: Iterable[str] = (), types: Iterable[str] = (),
-    limit: int = 50,
+    limit: int = 50, postings: DataFrame | None = None,
 ) -> DataFrame:
     """The best documents holding every query word, one row per document; none for an empty query."""
     scope = restrict(docs, libraries, types)
     words = words_of(query or "")
     if not words:
         return scope.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    scores = bm25_scores(scope, dict.fromkeys(words, 1), match_all=True)
+    narrowed = None if postings is None else restrict(postings, libraries, types)
+    scores = bm25_scores(scope, dict.fromkeys(words, 1), match_all=True, postings=narrowed)
     top = scores.orderBy(F.col("score").desc(), "id").limit(limit)
     return scope.join(top, "id")
 
@@ -102,10 +102,11 @@ def active_documents(docs: DataFrame, policy: DataFrame, libraries: Iterable[str
 
 def routed_search(
     docs: DataFrame, policy: DataFrame, query: str, libraries: Iterable[str] | None = None,
-    types: Iterable[str] = (), limit: int = 50,
+    types: Iterable[str] = (), limit: int = 50, postings: DataFrame | None = None,
 ) -> DataFrame:
     scope = active_documents(docs, policy, libraries)
-    return bm25_search(scope, query, libraries or (), types, limit)
+    narrowed = None if postings is None else active_documents(postings, policy, libraries)
+    return bm25_search(scope, query, libraries or (), types, limit, narrowed)
 
 
 def has_active_index(policy: DataFrame, libraries: Iterable[str] | None = None) -> bool:
@@ -116,9 +117,13 @@ def has_active_index(policy: DataFrame, libraries: Iterable[str] | None = None)
     return not rows.isEmpty()
 
 
-def shadow_search(docs: DataFrame, index_name: str, query: str, limit: int = 50) -> DataFrame:
+def shadow_search(
+    docs: DataFrame, index_name: str, query: str, limit: int = 50, postings: DataFrame | None = None
+) -> DataFrame:
     """Search one named index whatever the policy says."""
-    return bm25_search(docs.where(F.col("index_name") == index_name), query, limit=limit)
+    named = F.col("index_name") == index_name
+    narrowed = None if postings is None else postings.where(named)
+    return bm25_search(docs.where(named), query, limit=limit, postings=narrowed)
 
 
 @dataclass(frozen=True)
@@ -202,7 +207,8 @@ def adaptive_cut(
 
 def find_similar(
     docs: DataFrame, description: str | None, tags: Iterable[str], exclude_asset_id: int,
-    scope: SimilarityScope = SimilarityScope(), max_results: int = MAX_RESULTS, **cut: float,
+    scope: SimilarityScope = SimilarityScope(), max_results: int = MAX_RESULTS,
+    postings: DataFrame | None = None, **cut: float,
 ) -> DataFrame:
     """Documents like a description and tags, best first, above the adaptive threshold."""
     spark = docs.sparkSession
@@ -213,14 +219,16 @@ def find_similar(
     if not weights:
         empty = inside.withColumn("score", F.lit(0.0)).withColumn("threshold_used", F.lit(FLOOR))
         return empty.where(F.lit(False))
-    scores = bm25_scores(inside, weights, match_all=False)
+    if postings is not None:
+        postings = postings.join(inside.select("id"), "id", "left_semi")
+    scores = bm25_scores(inside, weights, match_all=False, postings=postings)
     top = scores.orderBy(F.col("score").desc(), "id").limit(max_results)
     return inside.join(adaptive_cut(top, **cut), "id")
 
 
 def similar_assets(
     docs: DataFrame, asset: DataFrame, policy: DataFrame, asset_id: int,
-    scope: SimilarityScope = SimilarityScope(), **options: float,
+    scope: SimilarityScope = SimilarityScope(), postings: DataFrame | None = None, **options: float,
 ) -> DataFrame:
     """Documents of active indexes like one asset, whose own text is the query."""
     row = asset.where(F.col("id") == asset_id).select("visual_analysis").first()
@@ -230,7 +238,9 @@ def similar_assets(
     if analysis is None or not (analysis["description"] or analysis["tags"]):
         raise ValueError(f"asset {asset_id} has no description or tags to compare by")
     slugs = None if scope.library in (None, "all") else [scope.library]
+    if postings is not None:
+        postings = active_documents(postings, policy, slugs)
     return find_similar(
         active_documents(docs, policy, slugs), analysis["description"], analysis["tags"] or [],
-        asset_id, scope, **options,
+        asset_id, scope, postings=postings, **options,
     )

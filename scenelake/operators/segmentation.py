@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scenelake.schemas import (
     PHASH_THRESHOLD, SCENE_CEILING_SECONDS, SCENE_DEBOUNCE_SECONDS, SKIPPED_LEADING_FRAMES,
 )
-from scenelake.session import use_checkpoints
+from scenelake.session import cut_lineage
 
 BLOCK_SECONDS = 14_400.0
 ANCHOR_ID = -1  # frame id of the remembered anchor of a resumed video
@@ -205,8 +205,7 @@ def _entered(exits: DataFrame, ends: DataFrame, rounds: int, block_seconds: floa
     Doubling: the pointers reach 1, 2, 4, ... blocks ahead, and every round adds the blocks that far
     behind the known ones. All joins are on unique keys of the small exit table.
     """
-    use_checkpoints(exits.sparkSession)
-    exits = exits.checkpoint()
+    exits = cut_lineage(exits)
     hops = exits.where(F.col("exit_id").isNotNull()).select(
         "asset_id", "block", "enter_id",
         F.floor(F.col("exit_pts") / block_seconds).cast("bigint").alias("to_block"),
@@ -227,7 +226,7 @@ def _entered(exits: DataFrame, ends: DataFrame, rounds: int, block_seconds: floa
             "asset_id", "block", "enter_id", F.col("far_block").alias("to_block"),
             F.col("far_id").alias("to_id"),
         )
-        reached, hops = reached.checkpoint(), hops.checkpoint()
+        reached, hops = cut_lineage(reached), cut_lineage(hops)
     return reached
 
 

@@ -9,7 +9,7 @@ from scenelake.functions import exif, frames, paths, text
 from scenelake.operators.geo import reverse_geocode
 from scenelake.plans import oracle_parts as o
 from scenelake.plans.registry import query
-from scenelake.plans.tables import Catalog
+from scenelake.plans.tables import Catalog, normalised_metadata
 
 
 @query("asset_type_from_path", f"select id, {o.EXT} as ext, case when {o.IS_VIDEO} then 'video' else 'image' end as type from asset")
@@ -213,12 +213,4 @@ from exif e left join nearest n on n.id=e.id""",
 )
 def media_metadata(c: Catalog) -> DataFrame:
     """All normalised fields of every asset."""
-    return with_media_metadata(c).select("id", "m.*").withColumn("frame_rate", F.round("frame_rate", 6))
-
-
-def with_media_metadata(c: Catalog) -> DataFrame:
-    lat, lon = exif.gps(F.col("raw_exif"))
-    located = c.exif.select("id", "type", "mtime", "raw_exif", lat.alias("lat"), lon.alias("lon"))
-    placed = reverse_geocode(located, c.gazetteer)
-    value = exif.media_metadata(F.col("raw_exif"), F.col("type"), F.col("mtime"), F.col("place"))
-    return placed.select("id", value.alias("m"))
+    return normalised_metadata(c.exif, c.gazetteer).select("id", "m.*").withColumn("frame_rate", F.round("frame_rate", 6))

@@ -9,7 +9,6 @@ from scenelake.functions.text import cover_rank, parse_query, tokens
 from scenelake.operators import ranking as rk
 from scenelake.operators import search as se
 from scenelake.plans import oracle_parts as o
-from scenelake.plans.expression_queries import with_media_metadata
 from scenelake.plans.registry import query
 from scenelake.plans.tables import AS_OF, Catalog
 from scenelake.sources import search_docs as sd
@@ -133,12 +132,6 @@ def result_projection(c: Catalog) -> DataFrame:
 # Search documents and their indexes -----------------------------------------------------------
 
 
-def documents(c: Catalog) -> DataFrame:
-    """Documents in the active index of their library, and again in its shadow index."""
-    docs = sd.build_documents(c.asset, c.scene, AS_OF)
-    return sd.with_index(docs, c.policy).unionByName(sd.with_index(docs, c.policy, "shadow_index_name"))
-
-
 _DOCS = {
     "doc0": """select 'asset_'||id as id, 0::bigint as scene_id, id as asset_id, library_id as library_slug, concat_ws(' ', description, ocr_text, tag1||' '||tag2) as txt
 from image_asset where status='completed'
@@ -191,20 +184,18 @@ select 'scene_'||s.id, s.id, a.id, a.library_id, {o.CAPTURE_TS.replace('mtime','
 from scene s join video_asset a on a.id=s.asset_id join exif e on e.id=a.id left join nearest n on n.id=a.id where a.status='completed'""", o.GEO_CTES)
 def search_docs(c: Catalog) -> DataFrame:
     """All documents with every field."""
-    docs = sd.build_documents(_with_metadata(c), c.scene, AS_OF)
+    docs = sd.build_documents(
+        c.asset.join(c.metadata.withColumnRenamed("m", "media_metadata"), "id"), c.scene, AS_OF
+    )
     return docs.withColumn("tags", F.array_join("tags", "|")).withColumn("frame_rate", F.round("frame_rate", 6))
 
 
-def _with_metadata(c: Catalog) -> DataFrame:
-    return c.asset.join(with_media_metadata(c).withColumnRenamed("m", "media_metadata"), "id")
-
-
 @query("bm25_search", _scored_sql(50), {**_DOCS, **_bm25(
     f"select * from doc where {_ACTIVE.format('')} and scene_id<1", _flat_weights(WORDS), len(WORDS))})
 def bm25_search(c: Catalog) -> DataFrame:
     """Image documents of all active indexes that hold both words."""
-    docs = rk.active_documents(documents(c), c.policy)
-    return _scored(rk.bm25_search(docs, TEXT, types=["image"]))
+    docs, postings = (rk.active_documents(t, c.policy) for t in (c.documents, c.postings))
+    return _scored(rk.bm25_search(docs, TEXT, types=["image"], postings=postings))
 
 
 _THREE = "('src1','src3','src4')"
@@ -214,12 +205,15 @@ _THREE = "('src1','src3','src4')"
     f"select * from doc where {_ACTIVE.format('and library_slug in ' + _THREE)} and library_slug in {_THREE}", _flat_weights(["the"]), 1)})
 def routed_search(c: Catalog) -> DataFrame:
     """Documents of three libraries through the indexes their policies name."""
-    return _scored(rk.routed_search(documents(c), c.policy, "the", ["src1", "src3", "src4"], limit=40))
+    return _scored(rk.routed_search(
+        c.documents, c.policy, "the", ["src1", "src3", "src4"], limit=40, postings=c.postings
+    ))
 
 
 @query("shadow_search", _scored_sql(50), {**_DOCS, **_bm25("select * from doc where index_name='media_scenes_src1_200'", _flat_weights(["the"]), 1)})
 def shadow_search(c: Catalog) -> DataFrame:
-    return _scored(rk.shadow_search(documents(c), "media_scenes_src1_200", "the"))
+    """One index by name, scanning its texts."""
+    return _scored(rk.shadow_search(c.documents, "media_scenes_src1_200", "the"))
 
 
 _SOURCE = 2
@@ -248,7 +242,7 @@ def _similar_shown(docs: DataFrame) -> DataFrame:
     f"select * from doc where {_ACTIVE.format('')} and asset_id<>{_SOURCE}", _similar_weights(), None)})
 def similar_assets(c: Catalog) -> DataFrame:
     """The documents most like one image."""
-    return _similar_shown(rk.similar_assets(documents(c), c.asset, c.policy, _SOURCE))
+    return _similar_shown(rk.similar_assets(c.documents, c.asset, c.policy, _SOURCE, postings=c.postings))
 
 
 _SCOPED = {**_DOCS, "meta": f"select id as asset_id, {o.CAPTURE_TS} as capture_ts, {o.MAKE} as camera_make, {o.MODEL} as camera_model from exif"}
@@ -263,8 +257,7 @@ def similarity_scope(c: Catalog) -> DataFrame:
         asset_types=("image",), from_ts=1_600_000_000, to_ts=1_700_300_000,
         cameras=(rk.Camera("Canon"), rk.Camera(" NIKON ", "R5")),
     )
-    docs = sd.with_index(sd.build_documents(_with_metadata(c), c.scene, AS_OF), c.policy)
     found = rk.similar_assets(
-        docs, c.asset, c.policy, _SOURCE, scope, max_results=100, min_score=70.0, floor=20.0, step=0.7
+        c.documents, c.asset, c.policy, _SOURCE, scope, max_results=100, min_score=70.0, floor=20.0, step=0.7
     )
     return _similar_shown(found)

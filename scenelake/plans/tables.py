@@ -8,12 +8,20 @@ Times are epoch seconds here; `Catalog` turns them into timestamps and nested co
 from __future__ import annotations
 
 import re
-from functools import cached_property
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.operators.sizing import pin_if_small
+from scenelake.functions import exif
+from scenelake.functions.paths import suffix
+from scenelake.operators.geo import reverse_geocode
+from scenelake.operators.workers import latest_heartbeat
+from scenelake.session import shared_folder, store
+from scenelake.sources.search_docs import (
+    append_documents, append_postings, build_documents, build_postings, read_documents, with_index,
+)
 
 AS_OF = 1706659199  # 2024-01-30 23:59:59 UTC, the "now" of every registered query
 SYSTEM_DEFAULT_MODEL = 1
@@ -281,34 +289,74 @@ def _epoch_to_ts(name: str):
 
 
 class Catalog:
-    """Typed catalog tables over one data directory."""
+    """Typed catalog tables over one data directory.
+
+    Each table is derived with Spark on first use and stored in the shared folder, as the snapshot
+    tables of a catalog are; queries then run on stored tables.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.root = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+        self._tables: dict[str, DataFrame] = {}
 
     def flat(self, name: str) -> DataFrame:
+        """A derived table straight from the given tables, not stored."""
         refs = {r: f"parquet.`{self.sf_dir}/{r}.parquet`" for r in RAW}
         return self.spark.sql(
             _fill(with_tables(f"select * from {name}"), {**refs, "ts_us": _SPARK_TS})
         )
 
-    @cached_property
+    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = store(build(), f"{self.root}/{name}")
+        return self._tables[name]
+
+    @property
     def library(self) -> DataFrame:
-        df = self.flat("library").withColumn("deleted_at", _epoch_to_ts("deleted_epoch"))
-        return pin_if_small(df.drop("deleted_epoch"))
+        return self._stored("library", lambda: self.flat("library").withColumn(
+            "deleted_at", _epoch_to_ts("deleted_epoch")).drop("deleted_epoch"))
 
-    @cached_property
+    @property
     def policy(self) -> DataFrame:
-        df = self.flat("policy").withColumn("locked_since", _epoch_to_ts("locked_epoch"))
-        return pin_if_small(df.drop("locked_epoch"))
+        return self._stored("policy", lambda: self.flat("policy").withColumn(
+            "locked_since", _epoch_to_ts("locked_epoch")).drop("locked_epoch"))
+
+    @property
+    def project(self) -> DataFrame:
+        return self._stored("project", lambda: self.flat("project").withColumn(
+            "created_at", _epoch_to_ts("created_epoch")).drop("created_epoch"))
 
-    @cached_property
+    @property
     def aimodel(self) -> DataFrame:
-        return self.flat("aimodel")
+        return self._stored("aimodel", lambda: self.flat("aimodel"))
+
+    @property
+    def project_assets(self) -> DataFrame:
+        return self._stored("project_assets", lambda: self.flat("project_assets"))
+
+    @property
+    def gazetteer(self) -> DataFrame:
+        return self._stored("gazetteer", lambda: self.flat("gazetteer"))
 
-    @cached_property
+    @property
+    def source_file(self) -> DataFrame:
+        return self._stored("source_file", lambda: self.flat("source_file"))
+
+    @property
+    def data_file(self) -> DataFrame:
+        return self._stored("data_file", lambda: self.flat("data_file"))
+
+    @property
+    def frame(self) -> DataFrame:
+        return self._stored("frame", lambda: self.flat("frame"))
+
+    @property
     def asset(self) -> DataFrame:
+        return self._stored("asset", self._asset)
+
+    def _asset(self) -> DataFrame:
         analysis = F.when(
             F.col("has_analysis"),
             F.struct(
@@ -323,11 +371,15 @@ class Catalog:
             self.flat("asset")
             .withColumn("lease_expires_at", _epoch_to_ts("lease_epoch"))
             .withColumn("visual_analysis", analysis)
+            .withColumn("ext", suffix(F.col("rel_path")))
             .drop("lease_epoch", "has_analysis", "description", "ocr_text", "tag1", "tag2")
         )
 
-    @cached_property
+    @property
     def scene(self) -> DataFrame:
+        return self._stored("scene", self._scene)
+
+    def _scene(self) -> DataFrame:
         analysis = F.struct(
             F.struct("description", F.array("tag").alias("tags"), "ocr_text", "ocr_done").alias("analysis"),
             F.lit(None).cast("string").alias("showinfo"),
@@ -339,15 +391,13 @@ class Catalog:
             .drop("has_analysis", "tag", "ocr_text", "ocr_done")
         )
 
-    @cached_property
-    def frame(self) -> DataFrame:
-        return self.flat("frame")
-
-    @cached_property
+    @property
     def heartbeat(self) -> DataFrame:
+        return self._stored("heartbeat", self._heartbeat)
+
+    def _heartbeat(self) -> DataFrame:
         stats = F.when(
-            F.col("stage").isNotNull(),
-            F.create_map(F.lit("current_stage"), F.col("stage")),
+            F.col("stage").isNotNull(), F.create_map(F.lit("current_stage"), F.col("stage"))
         )
         return (
             self.flat("heartbeat")
@@ -356,46 +406,59 @@ class Catalog:
             .drop("seen_epoch", "stage")
         )
 
-    @cached_property
+    @property
     def worker(self) -> DataFrame:
         """Latest heartbeat of each worker, by the same operator the stream uses."""
-        from scenelake.operators.workers import latest_heartbeat
-
-        return latest_heartbeat(self.heartbeat)
-
-    @cached_property
-    def project(self) -> DataFrame:
-        df = self.flat("project").withColumn("created_at", _epoch_to_ts("created_epoch"))
-        return pin_if_small(df.drop("created_epoch"))
-
-    @cached_property
-    def project_assets(self) -> DataFrame:
-        return self.flat("project_assets")
+        return self._stored("worker", lambda: latest_heartbeat(self.heartbeat))
 
-    @cached_property
-    def gazetteer(self) -> DataFrame:
-        return self.flat("gazetteer")
-
-    @cached_property
-    def source_file(self) -> DataFrame:
-        return self.flat("source_file")
-
-    @cached_property
-    def data_file(self) -> DataFrame:
-        return self.flat("data_file")
-
-    @cached_property
+    @property
     def exif(self) -> DataFrame:
         """Assets' id, type, mtime and raw metadata as a string map without absent keys."""
-        flat = self.flat("exif")
+        return self._stored("exif", self._exif)
+
+    def _exif(self) -> DataFrame:
         pairs = F.create_map(
             *[x for col, key in EXIF_KEYS.items() for x in (F.lit(key), F.col(col))]
         )
-        return flat.select(
+        return self.flat("exif").select(
             "id", "type", "mtime",
             F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("raw_exif"),
         )
 
+    @property
+    def metadata(self) -> DataFrame:
+        """(id, m): normalised metadata of every asset."""
+        return self._stored("metadata", lambda: normalised_metadata(self.exif, self.gazetteer))
+
+    @property
+    def documents(self) -> DataFrame:
+        """Search documents in the active index of their library, and again in its shadow index."""
+        if "documents" not in self._tables:
+            described = self.asset.join(self.metadata.withColumnRenamed("m", "media_metadata"), "id")
+            docs = build_documents(described, self.scene, AS_OF)
+            both = with_index(docs, self.policy).unionByName(
+                with_index(docs, self.policy, "shadow_index_name")
+            )
+            append_documents(both, f"{self.root}/documents")
+            self._tables["documents"] = read_documents(self.spark, f"{self.root}/documents")
+        return self._tables["documents"]
+
+    @property
+    def postings(self) -> DataFrame:
+        if "postings" not in self._tables:
+            append_postings(build_postings(self.documents), f"{self.root}/postings")
+            self._tables["postings"] = read_documents(self.spark, f"{self.root}/postings")
+        return self._tables["postings"]
+
+
+def normalised_metadata(raw: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(id, m) from assets' raw metadata, places included."""
+    lat, lon = exif.gps(F.col("raw_exif"))
+    located = raw.select("id", "type", "mtime", "raw_exif", lat.alias("lat"), lon.alias("lon"))
+    placed = reverse_geocode(located, gazetteer)
+    value = exif.media_metadata(F.col("raw_exif"), F.col("type"), F.col("mtime"), F.col("place"))
+    return placed.select("id", value.alias("m"))
+
 
 # Metadata key of each flat `exif` column.
 EXIF_KEYS = {
@@ -424,12 +487,15 @@ EXIF_KEYS = {
     "gps_longitude": "GPSLongitude",
 }
 
-_OPEN: dict[tuple[str, str], Catalog] = {}
+_OPEN: dict[tuple, Catalog] = {}
 
 
 def open_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """One Catalog per application and data directory, so dimension checks run once."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """One Catalog per application and state of the data directory."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _OPEN:
         _OPEN[key] = Catalog(spark, sf_dir)
     return _OPEN[key]

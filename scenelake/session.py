@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings the operators rely on; memory and executor sizing belong to the cluster.
 REQUIRED_CONF = {
@@ -37,13 +38,42 @@ def local_session(cores: str | int = "*", app: str = "scenelake", **conf: str) -
     return spark
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make `DataFrame.checkpoint` usable: the shared folder the cluster names, else one of our own
-    when everything runs on this machine."""
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints and interim tables: the one the cluster names in `spark.checkpoint.dir`,
+    else, only when everything runs on this machine, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named.rstrip("/")
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-scenelake-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an interim result to the shared folder and go on from there.
+
+    A lost executor then costs a re-read instead of recomputing every step before, and unlike an RDD
+    checkpoint the rows are computed once.
+    """
+    path = f"{shared_folder(df.sparkSession)}/interim-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write a table once, spread evenly over the cores, and read it back.
+
+    What is read back has known file sizes and column statistics, so later plans prune columns, push
+    filters down and broadcast small tables on their own.
+    """
+    spark = df.sparkSession
+    df.repartition(spark.sparkContext.defaultParallelism).write.option(
+        "maxRecordsPerFile", 2_000_000
+    ).mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenelake.functions.text import tokens
 from scenelake.operators.lifecycle import delete_policies
 
 # Metadata fields copied into every document.
@@ -82,8 +83,46 @@ def with_index(docs: DataFrame, policy: DataFrame, column: str = "active_index_n
 
 
 def append_documents(docs: DataFrame, path: str) -> None:
-    """Append to the index partitions. Rows are spread by document, so one large index is no hot task."""
-    docs.repartition("index_name", F.pmod(F.xxhash64("id"), F.lit(64))).write.mode("append").partitionBy(
+    """Append to the index partitions, with each document's number of words.
+
+    Rows are spread by document, so one large index is no hot task.
+    """
+    docs.withColumn("n_words", n_words(docs)).repartition("index_name", F.pmod(F.xxhash64("id"), F.lit(64))).write.mode("append").partitionBy(
+        "index_name"
+    ).parquet(path)
+
+
+def document_text() -> Column:
+    """The searched fields as one text."""
+    return F.concat_ws(" ", "description", "ocr_text", F.array_join("tags", " "))
+
+
+def n_words(docs: DataFrame) -> Column:
+    """Length in words: the stored count, or counted from the text."""
+    return F.col("n_words") if "n_words" in docs.columns else F.size(tokens(document_text()))
+
+
+def build_postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(document columns, length, term, tf): one row per document and word, or per document and one of
+    the `terms`. Words are counted inside each document's own rows before any shuffle."""
+    words = tokens(document_text())
+    shared = [c for c in ("index_name", "id", "asset_id", "scene_id", "library_slug") if c in docs.columns]
+    held = docs.select(*shared, words.alias("words")).select(
+        *shared, F.size("words").cast("bigint").alias("length"),
+        (F.col("words") if terms is None else F.filter("words", lambda w: w.isin(terms))).alias("words"),
+    ).where(F.size("words") > 0)
+    return held.select(*shared, "length", F.explode("words").alias("term")).groupBy(
+        *shared, "length", "term"
+    ).agg(F.count("*").alias("tf"))
+
+
+def append_postings(postings: DataFrame, path: str) -> None:
+    """Append to the index partitions, ordered by term so that a query reads only its terms' row groups.
+
+    The range includes the document, so a word found everywhere is spread over many files.
+    """
+    ordered = postings.repartitionByRange("index_name", "term", "id")
+    ordered.sortWithinPartitions("index_name", "term", "id").write.mode("append").partitionBy(
         "index_name"
     ).parquet(path)
 
