@@ -78,12 +78,11 @@ def browse(
 
 def browse_page(
     asset: DataFrame, library: DataFrame, slug: str, limit: int = 50, offset: int = 0, **listing
-) -> tuple[DataFrame, bool]:
-    """A page and whether another follows; only page-sized data reaches the driver."""
-    wider = browse(asset, library, slug, limit=limit + 1, offset=offset, **listing)
-    rows = wider.collect()
-    page = asset.sparkSession.createDataFrame(rows[:limit], wider.schema)
-    return page, len(rows) > limit
+) -> DataFrame:
+    """A page whose rows tell, in `has_more`, whether another one follows."""
+    page = browse(asset, library, slug, limit=limit, offset=offset, **listing)
+    following = browse(asset, library, slug, limit=1, offset=offset + limit, **listing)
+    return page.withColumn("has_more", following.agg(F.count("*") > 0).scalar())
 
 
 def assets_of_library(

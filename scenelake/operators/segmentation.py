@@ -15,7 +15,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,16 +83,6 @@ def open_at(frame: tuple, rules: Rules) -> OpenScene:
     return scene
 
 
-def _frames_of(pdf: pd.DataFrame) -> tuple[list[tuple], int]:
-    """Frames in time order as tuples, and how many of them belong to the block itself."""
-    pdf = pdf.sort_values(["pts", "frame_id"], kind="stable")
-    frames = [
-        (p, i, int(h, 16), s)
-        for p, i, h, s in zip(pdf["pts"], pdf["frame_id"], pdf["phash"], pdf["sharpness"])
-    ]
-    return frames, int(pdf["own"].sum())
-
-
 def _next_start(frames: list[tuple], at: int, rules: Rules) -> int | None:
     start, _, anchor, _ = frames[at]
     for j in range(at + 1, len(frames)):
@@ -101,13 +91,86 @@ def _next_start(frames: list[tuple], at: int, rules: Rules) -> int | None:
     return None
 
 
-_EXIT_SCHEMA = (
-    "asset_id bigint, block bigint, enter_id bigint, exit_pts double, exit_id bigint"
-)
+_EXIT_SCHEMA = "asset_id bigint, block bigint, enter_id bigint, exit_pts double, exit_id bigint"
 _SCENE_SCHEMA = (
     "asset_id bigint, start_ts double, end_ts double, keep_reason string, best_pts double, "
     "sharpness_score double, anchor_phash string"
 )
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_FRAME = ("pts", "frame_id", "phash", "sharpness", "own")
+_CONTEXT = ("enter_id", "after_pts", "after_id", "duration_sec")
+_ROWS_PER_BATCH = 10_000
+
+
+@dataclass(frozen=True)
+class Block:
+    """Frames of one block in time order, the first `own` of them its own, and what is known around it."""
+
+    asset_id: int
+    number: int
+    frames: list[tuple]
+    own: int
+    enter_id: int | None = None
+    after_pts: float | None = None
+    after_id: int | None = None
+    duration_sec: float | None = None
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Cut a sorted stream of rows into blocks; one block is held at a time."""
+    key, context, frames, own = None, None, [], 0
+    for batch in batches:
+        for asset_id, block, kind, pts, frame_id, phash, sharpness, is_own, *around in zip(
+            *[c.to_pylist() for c in batch.columns]
+        ):
+            if (asset_id, block) != key:
+                if own:
+                    yield Block(*key, frames, own, *(context or ()))
+                key, context, frames, own = (asset_id, block), None, [], 0
+            if kind == 0:
+                context = around
+            else:
+                frames.append((pts, frame_id, int(phash, 16), sharpness))
+                own += is_own
+    if own:
+        yield Block(*key, frames, own, *(context or ()))
+
+
+def _by_block(frames: DataFrame, context: DataFrame | None, rows_of, schema: str) -> DataFrame:
+    """Apply `rows_of(Block)` to every block.
+
+    One shuffle and one sort bring a block's rows together, context first; many blocks then share a
+    task's Arrow batches, instead of each paying for a call of its own.
+    """
+    line = frames.select(
+        "asset_id", "block", F.lit(1).alias("kind"), *_FRAME,
+        *[F.lit(None).cast("double" if c in ("after_pts", "duration_sec") else "bigint").alias(c) for c in _CONTEXT],
+    )
+    if context is not None:
+        kinds = dict(frames.dtypes)
+        line = line.unionByName(context.select(
+            "asset_id", "block", F.lit(0).alias("kind"),
+            *[F.lit(None).cast(kinds[c]).alias(c) for c in _FRAME], *_CONTEXT,
+        ))
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [_ARROW[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        out: list[tuple] = []
+        for block in _blocks(batches):
+            out.extend(rows_of(block))
+            if len(out) >= _ROWS_PER_BATCH:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
+
+    return line.repartition("asset_id", "block").sortWithinPartitions(
+        "asset_id", "block", "kind", "pts", "frame_id"
+    ).mapInArrow(run, schema)
 
 
 def _tagged(frames: DataFrame, block_seconds: float, rules: Rules) -> DataFrame:
@@ -118,9 +181,9 @@ def _tagged(frames: DataFrame, block_seconds: float, rules: Rules) -> DataFrame:
         F.struct(block.alias("block"), F.lit(True).alias("own")),
         F.when(offset < rules.ceiling, F.struct((block - 1).alias("block"), F.lit(False).alias("own"))),
     )
-    return frames.select(
-        "asset_id", "frame_id", "pts", "phash", "sharpness", F.explode(F.array_compact(places)).alias("p")
-    ).select("asset_id", "p.block", "p.own", "frame_id", "pts", "phash", "sharpness")
+    return frames.select("*", F.explode(F.array_compact(places)).alias("p")).select(
+        "asset_id", "p.block", "p.own", "frame_id", "pts", "phash", "sharpness"
+    )
 
 
 def _block_ends(frames: DataFrame, block_seconds: float, rules: Rules) -> DataFrame:
@@ -143,35 +206,30 @@ def _block_ends(frames: DataFrame, block_seconds: float, rules: Rules) -> DataFr
     )
 
 
-def _exits(pdf: pd.DataFrame, block_seconds: float, rules: Rules) -> pd.DataFrame:
+def _exits(block: Block, block_seconds: float, rules: Rules) -> Iterator[tuple]:
     """Where the chain of scene starts leaves the block, for every frame it may enter at."""
-    frames, own = _frames_of(pdf)
-    asset_id, block = int(pdf["asset_id"].iloc[0]), int(pdf["block"].iloc[0])
-    after = (pdf["after_pts"].iloc[0], pdf["after_id"].iloc[0])
-    begin = block * block_seconds
+    frames, own = block.frames, block.own
+    begin = block.number * block_seconds
     entries = [i for i in range(own) if frames[i][0] - begin < rules.ceiling]
     if len(entries) < own:
         entries.append(len(entries))
     following: dict[int, int | None] = {}
-    rows = []
     for entry in entries:
         at: int | None = entry
         while at is not None and at < own:
             if at not in following:
                 following[at] = _next_start(frames, at, rules)
             at = following[at]
-        leave = frames[at][:2] if at is not None else after
-        rows.append((asset_id, block, frames[entry][1], *leave))
-    out = pd.DataFrame(rows, columns=["asset_id", "block", "enter_id", "exit_pts", "exit_id"])
-    return out.astype({"exit_pts": "Float64", "exit_id": "Int64"})
-
-
-def _scenes(pdf: pd.DataFrame, rules: Rules, final: bool) -> Iterator[tuple]:
-    """Scenes that start in a block entered at a known frame."""
-    frames, own = _frames_of(pdf)
-    head = pdf.iloc[0]
-    entry = next(i for i in range(own) if frames[i][1] == head["enter_id"])
-    asset_id = int(head["asset_id"])
+        leave = frames[at][:2] if at is not None else (block.after_pts, block.after_id)
+        yield block.asset_id, block.number, frames[entry][1], *leave
+
+
+def _scenes(block: Block, rules: Rules, final: bool) -> Iterator[tuple]:
+    """Scenes that start in a block, from the frame it is entered at (the first one unless told)."""
+    frames, own = block.frames, block.own
+    entry = 0
+    if block.enter_id is not None:
+        entry = next(i for i in range(own) if frames[i][1] == block.enter_id)
     scene = open_at(frames[entry], rules)
     for i in range(entry + 1, len(frames)):
         pts, _, phash, sharpness = frames[i]
@@ -181,22 +239,21 @@ def _scenes(pdf: pd.DataFrame, rules: Rules, final: bool) -> Iterator[tuple]:
             continue
         done = scene.closed(pts, reason)
         if done:
-            yield asset_id, *done, None
+            yield block.asset_id, *done, None
         if i >= own:
             return
         scene = open_at(frames[i], rules)
-    if not pd.isna(head["after_pts"]):
-        done = scene.closed(float(head["after_pts"]), "temporal")
-    elif final:
-        end, duration = scene.last_pts, head["duration_sec"]
-        if end is None:
-            return
-        done = scene.closed(max(end, duration) if not pd.isna(duration) else end, "forced")
-    else:
-        yield asset_id, scene.start, None, None, scene.start, -1.0, f"{scene.anchor:064x}"
+    if block.after_pts is not None:
+        done = scene.closed(block.after_pts, "temporal")
+    elif not final:
+        yield block.asset_id, scene.start, None, None, scene.start, -1.0, f"{scene.anchor:064x}"
+        return
+    elif scene.last_pts is None:
         return
+    else:
+        done = scene.closed(max(scene.last_pts, block.duration_sec or 0.0), "forced")
     if done:
-        yield asset_id, *done, None
+        yield block.asset_id, *done, None
 
 
 def _entered(exits: DataFrame, ends: DataFrame, rounds: int, block_seconds: float) -> DataFrame:
@@ -262,32 +319,40 @@ def segment_scenes(
             F.lit(-1.0).alias("sharpness"),
         )
         frames = frames.unionByName(anchors.join(frames.select("asset_id").distinct(), "asset_id", "left_semi"))
+    number = F.floor(F.col("pts") / block_seconds).cast("bigint")
+    spans = frames.groupBy("asset_id").agg((F.max(number) - F.min(number)).alias("span"))
+    span = spans.agg(F.max("span")).first()[0] or 0
+
+    def cut(block: Block) -> Iterator[tuple]:
+        return _scenes(block, rules, final)
+
+    none = {c: F.lit(None).cast("double" if c == "after_pts" else "bigint") for c in _CONTEXT[:3]}
+    if span == 0:
+        whole = frames.select("*", F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("own"))
+        context = None
+        if durations is not None:
+            context = durations.select(
+                "asset_id", F.lit(0).cast("bigint").alias("block"), "duration_sec",
+                *[v.alias(c) for c, v in none.items()],
+            )
+        return _by_block(whole, context, cut, _SCENE_SCHEMA)
+
     ends = _block_ends(frames, block_seconds, rules)
     tagged = _tagged(frames, block_seconds, rules)
-    most = ends.groupBy("asset_id").count().agg(F.max("count")).first()[0] or 0
-    rounds = math.ceil(math.log2(most)) if most > 1 else 0
-    if rounds:
-        grouped = tagged.join(ends.select("asset_id", "block", "after_pts", "after_id"), ["asset_id", "block"])
-        exits = grouped.groupBy("asset_id", "block").applyInPandas(
-            lambda pdf: _exits(pdf, block_seconds, rules), _EXIT_SCHEMA
-        )
-        entered = _entered(exits, ends, rounds, block_seconds)
-    else:
-        entered = ends.where("opening").select("asset_id", "block", F.col("first_id").alias("enter_id"))
-    context = entered.join(ends.select("asset_id", "block", "after_pts"), ["asset_id", "block"])
-    if durations is not None:
-        context = context.join(durations.select("asset_id", "duration_sec"), "asset_id", "left")
-    else:
-        context = context.withColumn("duration_sec", F.lit(None).cast("double"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in _SCENE_SCHEMA.split(", ")]
-        out = pd.DataFrame(list(_scenes(pdf, rules, final)), columns=columns)
-        return out.astype({"end_ts": "Float64", "best_pts": "Float64"})
-
-    return tagged.join(context, ["asset_id", "block"]).groupBy("asset_id", "block").applyInPandas(
-        cut, _SCENE_SCHEMA
+    around = ends.select(
+        "asset_id", "block", "after_pts", "after_id", F.lit(None).cast("bigint").alias("enter_id"),
+        F.lit(None).cast("double").alias("duration_sec"),
     )
+    exits = _by_block(tagged, around, lambda block: _exits(block, block_seconds, rules), _EXIT_SCHEMA)
+    entered = _entered(exits, ends, math.ceil(math.log2(span + 1)), block_seconds)
+    context = around.drop("enter_id").join(entered, ["asset_id", "block"])
+    if durations is not None:
+        context = context.drop("duration_sec").join(
+            durations.select("asset_id", "duration_sec"), "asset_id", "left"
+        )
+    # Blocks no scene starts in have no context and are left out.
+    wanted = tagged.join(entered.select("asset_id", "block"), ["asset_id", "block"], "left_semi")
+    return _by_block(wanted, context, cut, _SCENE_SCHEMA)
 
 
 def closed_scenes(segments: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ def browse_library(c: Catalog) -> DataFrame:
 @query("browse_page", f"""select q.*, (select count(*) from asset where {o.LIVE} and library_id='src3')>10 as has_more
 from ({_listing('src3', 'size desc, id', 10, 0)}) q""")
 def browse_page(c: Catalog) -> DataFrame:
-    page, more = cat.browse_page(c.asset, c.library, "src3", limit=10, sort_by="size")
-    return _brief(page).withColumn("has_more", F.lit(more))
+    page = cat.browse_page(c.asset, c.library, "src3", limit=10, sort_by="size")
+    return page.select(*_ASSET.split(", "), "has_more")
 
 
 @query("recent_assets", f"""select {_ASSET}, (select count(*) from asset where library_id='src6' and status='completed') as total

@@ -9,6 +9,7 @@ from scenelake.operators import segmentation as seg
 from scenelake.operators import vision
 from scenelake.plans.registry import query
 from scenelake.plans.tables import Catalog
+from scenelake.session import cut_lineage
 
 _SCENES = "asset_id, start_ts, end_ts, keep_reason, best_pts, sharpness_score"
 _DIFF = "+".join(
@@ -60,7 +61,7 @@ def segment_blocks(c: Catalog) -> DataFrame:
 @query("segment_resume", SEGMENT_SQL, SEGMENT_CTES)
 def segment_resume(c: Catalog) -> DataFrame:
     """Scenes of the first 100 seconds, then the rest resumed from the stored progress and state."""
-    early = seg.segment_scenes(c.frame.where(F.col("pts") < 100), final=False)
+    early = cut_lineage(seg.segment_scenes(c.frame.where(F.col("pts") < 100), final=False))
     closed = seg.closed_scenes(early)
     progress = closed.groupBy("asset_id").agg(F.max("end_ts").alias("max_end_ts"))
     late = seg.segment_scenes(c.frame, durations(c), seg.open_states(early), progress)
