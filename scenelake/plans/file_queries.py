@@ -34,13 +34,13 @@ def orphan_files(c: Catalog) -> DataFrame:
     return mt.orphan_files(c.data_file, c.asset, c.scene, c.library, 900, AS_OF)
 
 
-@query("orphan_totals", f"select count(*) as file_count, sum(size)::bigint as total_bytes from ({_ORPHANS}) q", {"expected": _EXPECTED})
+@query("orphan_totals", f"select count(*) as file_count, coalesce(sum(size),0)::bigint as total_bytes from ({_ORPHANS}) q", {"expected": _EXPECTED})
 def orphan_totals(c: Catalog) -> DataFrame:
     return mt.file_totals(mt.orphan_files(c.data_file, c.asset, c.scene, c.library, 900, AS_OF))
 
 
-@query("temp_preview", f"""select 'all' as scope, count(*) as file_count, sum(size)::bigint as total_bytes from data_file where path like 'tmp/%' and mtime<{AS_OF}-1800
-union all select 'src5', count(*), sum(size)::bigint from data_file where path like 'tmp/src5/%' and mtime<{AS_OF}-1800""")
+@query("temp_preview", f"""select 'all' as scope, count(*) as file_count, coalesce(sum(size),0)::bigint as total_bytes from data_file where path like 'tmp/%' and mtime<{AS_OF}-1800
+union all select 'src5', count(*), coalesce(sum(size),0)::bigint from data_file where path like 'tmp/src5/%' and mtime<{AS_OF}-1800""")
 def temp_preview(c: Catalog) -> DataFrame:
     """What a clean-up of temporary files would remove, everywhere and in one library."""
     def scope(name: str, slug: str | None) -> DataFrame:
