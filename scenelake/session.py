@@ -67,13 +67,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
-    """Write a table once, spread evenly over the cores, and read it back.
+    """Write a table once, in evenly sized files, and read it back.
 
     What is read back has known file sizes and column statistics, so later plans prune columns, push
     filters down and broadcast small tables on their own.
     """
-    spark = df.sparkSession
-    df.repartition(spark.sparkContext.defaultParallelism).write.option(
-        "maxRecordsPerFile", 2_000_000
-    ).mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.hint("rebalance").write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,29 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import itertools
+import logging
+import os
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.functions.exif import drop_vendor_keys
 from scenelake.functions.paths import asset_type, has_suffix, suffix
 from scenelake.schemas import MEDIA_SUFFIXES
+from scenelake.session import cut_lineage
+
+
+_LISTING = "path string, is_dir boolean, mtime double, size bigint"
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool, float, int]]:
+    """Direct children of one folder; symbolic links and unreadable entries are passed over."""
+    if "://" not in folder:
+        try:
+            with os.scandir(folder) as found:
+                for entry in found:
+                    is_dir = entry.is_dir(follow_symlinks=False)
+                    if is_dir or entry.is_file(follow_symlinks=False):
+                        info = entry.stat(follow_symlinks=False)
+                        yield entry.path, is_dir, info.st_mtime, info.st_size
+        except OSError as error:
+            logging.getLogger(__name__).warning("cannot list %s: %s", folder, error)
+        return
+    fs, base = pa.fs.FileSystem.from_uri(folder)
+    for info in fs.get_file_info(pa.fs.FileSelector(base)):
+        name = f"{folder.rstrip('/')}/{info.base_name}"
+        yield name, info.type == pa.fs.FileType.Directory, (info.mtime_ns or 0) / 1e9, info.size or 0
+
+
+def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["path", "is_dir", "mtime", "size"]
+    types = [pa.string(), pa.bool_(), pa.float64(), pa.int64()]
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            rows = _entries(folder)
+            while chunk := list(itertools.islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path relative to the root, modification time in seconds (millisecond precision) and size.
+    """Path relative to the root, modification time in seconds (three decimals) and size of every file.
 
-    `binaryFile` lists in parallel and never reads content that is not selected.
+    One Spark job per level of the tree lists that level's folders in parallel, so only one folder at
+    a time is held by a task. Empty files are listed too, which the `binaryFile` source would drop.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    plain = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
-    plain_base = "/" + base.split(":", 1)[-1].strip("/")
+    frontier = spark.createDataFrame([(base,)], "path string")
+    files = None
+    while True:
+        spread = frontier.repartition(spark.sparkContext.defaultParallelism, "path")
+        level = cut_lineage(spread.mapInArrow(_list_level, _LISTING))
+        here = level.where(~F.col("is_dir"))
+        files = here if files is None else files.unionByName(here)
+        frontier = level.where("is_dir").select("path")
+        if frontier.isEmpty():
+            break
     return files.select(
-        F.substring(plain, F.lit(len(plain_base) + 2), F.length(plain)).alias("path"),
-        F.round(F.unix_micros("modificationTime") / 1_000_000, 3).alias("mtime"),
-        F.col("length").alias("size"),
+        F.substring("path", len(base) + 2, 1_000_000).alias("path"),
+        F.round("mtime", 3).alias("mtime"), "size",
     )
 
 

@@ -85,11 +85,10 @@ def with_index(docs: DataFrame, policy: DataFrame, column: str = "active_index_n
 def append_documents(docs: DataFrame, path: str) -> None:
     """Append to the index partitions, with each document's number of words.
 
-    Rows are spread by document, so one large index is no hot task.
+    Rebalancing gathers each index's rows and splits a large index over as many tasks as it needs.
     """
-    docs.withColumn("n_words", n_words(docs)).repartition("index_name", F.pmod(F.xxhash64("id"), F.lit(64))).write.mode("append").partitionBy(
-        "index_name"
-    ).parquet(path)
+    counted = docs.withColumn("n_words", n_words(docs)).hint("rebalance", "index_name")
+    counted.write.mode("append").partitionBy("index_name").parquet(path)
 
 
 def document_text() -> Column:

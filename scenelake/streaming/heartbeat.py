@@ -54,12 +54,24 @@ class LivenessProcessor(StatefulProcessor):
         return pd.DataFrame({"worker_id": [key[0]], "status": [status], "seen_ms": [at]})
 
 
+def _newest_per_worker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.groupby("worker_id", as_index=False)["last_seen_at"].max()
+
+
 def liveness_stream(
     heartbeats: DataFrame, silent_after: int = ACTIVE_WORKER_SECONDS, lateness: str = "10 seconds"
 ) -> DataFrame:
-    """Changes between active and stale, in event time of `last_seen_at`."""
-    timed = heartbeats.withWatermark("last_seen_at", lateness).select(
-        "worker_id", "last_seen_at", F.unix_millis("last_seen_at").alias("seen_ms")
+    """Changes between active and stale, in event time of `last_seen_at`.
+
+    Each task first keeps a worker's newest heartbeat per Arrow batch, so a chatty worker sends few rows
+    through the shuffle.
+    """
+    combined = heartbeats.select("worker_id", "last_seen_at").mapInPandas(
+        _newest_per_worker, "worker_id string, last_seen_at timestamp"
+    )
+    timed = combined.withWatermark("last_seen_at", lateness).withColumn(
+        "seen_ms", F.unix_millis("last_seen_at")
     )
     return timed.groupBy("worker_id").transformWithStateInPandas(
         statefulProcessor=LivenessProcessor(silent_after),

@@ -24,7 +24,8 @@ class SceneProcessor(StatefulProcessor):
     """One open scene per video, kept in the state store between batches.
 
     A row with `last` set ends its video: the open scene is closed at the later of the last frame and
-    `duration_sec`, and the state is dropped. Frames at or before the last one seen are late and ignored.
+    `duration_sec`, and the state is dropped. Frames before the last one seen are late and ignored. A
+    video's frames of one batch are sorted together, so the source's limit per trigger bounds memory.
     """
 
     def __init__(self, rules: Rules = Rules()):

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from scenelake.operators.catalog import completed_after
 from scenelake.operators.changes import scan_diff, scan_upsert
 from scenelake.operators.lifecycle import first_policies
-from scenelake.sources.search_docs import append_documents, build_documents, with_index
+from scenelake.sources.search_docs import append_documents, build_documents, n_words, with_index
 
 
 def sync_batch(
@@ -41,7 +41,8 @@ def sync_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         todo = completed_after(batch, library())
         docs = with_index(build_documents(todo, scene(), as_of), policy())
-        docs.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        sized = docs.withColumn("n_words", n_words(docs)).hint("rebalance", "index_name")
+        sized.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("index_name", "batch_id").parquet(path)
 
