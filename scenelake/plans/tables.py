@@ -491,7 +491,8 @@ _OPEN: dict[tuple, Catalog] = {}
 
 
 def open_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """One Catalog per application and state of the data directory."""
+    """One Catalog per application and state of the data directory. Times are read as UTC throughout."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
