@@ -111,11 +111,13 @@ def retries_after(status: Column, retries: Column) -> Column:
     )
 
 
-def apply_status(asset: DataFrame, changes: DataFrame, check_owner: bool = False) -> DataFrame:
+def apply_status(
+    asset: DataFrame, changes: DataFrame, check_owner: bool = False, clear: tuple[str, ...] = ()
+) -> DataFrame:
     """Set status and error of the ids in `changes` (id, status, error_message[, owner]).
 
-    The lease ends and retries are counted or cleared. With `check_owner` a change counts only while
-    the asset still belongs to that owner.
+    The lease ends and retries are counted or cleared; columns in `clear` become null. With
+    `check_owner` a change counts only while the asset still belongs to that owner.
     """
     extra = [F.col("owner").alias("n_owner")] if check_owner else []
     new = changes.select(
@@ -130,6 +132,7 @@ def apply_status(asset: DataFrame, changes: DataFrame, check_owner: bool = False
         "lease_expires_at": F.lit(None).cast("timestamp"),
         "error_message": F.col("n_error"),
         "retry_count": retries_after(F.col("n_status"), F.col("retry_count")),
+        **{c: F.lit(None).cast(asset.schema[c].dataType) for c in clear},
     }
     return _updated(asset, new, rules, applies)
 

@@ -13,8 +13,6 @@ from scenelake.operators.changes import apply_status, new_ids
 from scenelake.operators.ordered import row_numbers, running
 from scenelake.session import cut_lineage
 
-CHILD_TABLES = ("scene", "active_state", "videoframe", "project_assets")
-
 
 def _set(table: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     return table.select(
@@ -148,10 +146,7 @@ def reindex_videos(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Da
         for name, table in tables.items() if name != "asset"
     }
     pending = ids.select("id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_message"))
-    marked = ids.select("id", F.lit(True).alias("__hit"))
-    reset = apply_status(tables["asset"], pending).join(marked, "id", "left")
-    preview = F.when(F.col("__hit").isNull(), F.col("preview_path")).alias("preview_path")
-    out["asset"] = reset.select(*[preview if c == "preview_path" else F.col(c) for c in tables["asset"].columns])
+    out["asset"] = apply_status(tables["asset"], pending, clear=("preview_path",))
     return out
 
 

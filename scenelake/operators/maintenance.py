@@ -16,8 +16,7 @@ DURATION_TOLERANCE_SECONDS = 2.0
 DURATION_TOLERANCE_SHARE = 0.02
 
 
-def expected_paths(asset: DataFrame, scene: DataFrame, library: DataFrame) -> DataFrame:
-    """Relative paths of every derivative the live catalog refers to."""
+def _referenced_paths(asset: DataFrame, scene: DataFrame, library: DataFrame) -> DataFrame:
     library_id, asset_id = F.col("library_id"), F.col("id")
     stills = expecting_derivatives(asset, library).select(
         F.explode(F.array(thumbnail_path(library_id, asset_id), proxy_path(library_id, asset_id))).alias("path")
@@ -29,7 +28,12 @@ def expected_paths(asset: DataFrame, scene: DataFrame, library: DataFrame) -> Da
         .join(live.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
         .select(F.col("rep_frame_path").alias("path"))
     )
-    return stills.unionByName(clips).unionByName(frames).distinct()
+    return stills.unionByName(clips).unionByName(frames)
+
+
+def expected_paths(asset: DataFrame, scene: DataFrame, library: DataFrame) -> DataFrame:
+    """Relative paths of every derivative the live catalog refers to."""
+    return _referenced_paths(asset, scene, library).distinct()
 
 
 def orphan_files(
@@ -43,7 +47,7 @@ def orphan_files(
     old = files.where(F.col("mtime") < F.lit(float(as_of - min_age_seconds))).withColumn("slug", owner)
     return (
         old.join(live_libraries(library).select("slug"), "slug", "left_semi").drop("slug")
-        .join(expected_paths(asset, scene, library), "path", "left_anti")
+        .join(_referenced_paths(asset, scene, library), "path", "left_anti")
     )
 
 

@@ -31,7 +31,8 @@ class SearchRequest:
     full_duration: bool = False
 
 
-def _in_scope(asset: DataFrame, library: DataFrame, req: SearchRequest, kind: str) -> DataFrame:
+def in_scope(asset: DataFrame, library: DataFrame, req: SearchRequest, kind: str) -> DataFrame:
+    """Assets of one type that a request may find."""
     rows = asset.where(F.col("type") == kind)
     if req.types and kind not in req.types:
         rows = rows.where(F.lit(False))
@@ -40,7 +41,8 @@ def _in_scope(asset: DataFrame, library: DataFrame, req: SearchRequest, kind: st
     return rows if req.include_deleted else live_assets(rows, library)
 
 
-def _target(analysis: Column, ocr_only: bool) -> Column:
+def search_text(analysis: Column, ocr_only: bool) -> Column:
+    """The text of an analysis that is searched."""
     if ocr_only:
         return F.coalesce(analysis["ocr_text"], F.lit(""))
     return F.concat_ws(
@@ -58,7 +60,8 @@ def _may_match(text: Column, clauses: list[Clause]) -> Column:
     return reduce(lambda a, b: a | b, [one(c) for c in clauses])
 
 
-def _ranked(rows: DataFrame, text: Column, clauses: list[Clause]) -> DataFrame:
+def ranked(rows: DataFrame, text: Column, clauses: list[Clause]) -> DataFrame:
+    """Rows whose text satisfies the query, with their rank."""
     normal = normalise(text)
     hit = rows.where(_may_match(text, clauses)).where(matches(normal, clauses))
     return hit.withColumn("rank", cover_rank(F.split(F.trim(normal), " "), clauses))
@@ -71,7 +74,7 @@ def image_hits(asset: DataFrame, req: SearchRequest, clauses: list[Clause] | Non
     if clauses is None:
         rows = rows.withColumn("rank", F.lit(1.0))
     else:
-        rows = _ranked(rows, _target(F.col("visual_analysis"), req.ocr_query is not None), clauses)
+        rows = ranked(rows, search_text(F.col("visual_analysis"), req.ocr_query is not None), clauses)
     return rows.select(
         F.col("id").alias("asset_id"),
         F.lit(None).cast("double").alias("best_scene_ts"),
@@ -93,7 +96,7 @@ def video_hits(scene: DataFrame, req: SearchRequest, clauses: list[Clause] | Non
     if clauses is None:
         rows = rows.withColumn("rank", F.lit(1.0))
     else:
-        rows = _ranked(rows, _target(F.col("metadata.analysis"), req.ocr_query is not None), clauses)
+        rows = ranked(rows, search_text(F.col("metadata.analysis"), req.ocr_query is not None), clauses)
     best = F.max_by(
         F.struct("start_ts", "rep_frame_path"), F.struct("rank", -F.col("start_ts"), -F.col("id"))
     )
@@ -120,8 +123,8 @@ def all_hits(asset: DataFrame, scene: DataFrame, library: DataFrame, req: Search
         none = asset.where(F.lit(False))
         images = image_hits(none, replace(req, tag="-"), None)
         return images.withColumn("final_rank", F.col("base_rank"))
-    images = image_hits(_in_scope(asset, library, req, "image"), req, clauses)
-    owners = _in_scope(asset, library, req, "video").select(F.col("id").alias("asset_id"))
+    images = image_hits(in_scope(asset, library, req, "image"), req, clauses)
+    owners = in_scope(asset, library, req, "video").select(F.col("id").alias("asset_id"))
     videos = video_hits(scene, req, clauses).join(owners, "asset_id", "left_semi")
     boost = F.lit(1.0) + F.coalesce("match_ratio", F.lit(0.0)) * 2.0
     return images.unionByName(videos).withColumn("final_rank", F.col("base_rank") * boost)

@@ -61,20 +61,6 @@ def word_ctes(terms: list[str]) -> dict[str, str]:
     }
 
 
-HITS = """
-scored as (select d.*, r.rank from sdoc d join ranks r using (key)),
-combined as (
-  select asset_id, null::double as best_scene_ts, 1.0::double as match_ratio, rank as base_rank,
-    null::varchar as best_rep_frame_path
-  from scored where scene_id is null
-  union all
-  select asset_id, first(start_ts order by rank desc, start_ts, scene_id),
-    sum(end_ts-start_ts)/nullif(max(end_ts),0), max(rank), first(rep order by rank desc, start_ts, scene_id)
-  from scored where scene_id is not null group by asset_id),
-final as (select *, base_rank*(1+2*coalesce(match_ratio,0)) as final_rank from combined)
-"""
-
-
 def hit_ctes(terms: list[str] | None, sdoc: str) -> dict[str, str]:
     """CTEs up to `final`: hits with their rank; without terms every searchable row ranks 1."""
     out = {"sdoc": sdoc}

@@ -78,13 +78,13 @@ def fts_operators(c: Catalog) -> DataFrame:
     """Phrase, exclusion and alternative in one query: the documents that match."""
     req = se.SearchRequest(query='"attion eriner" -thing or thanea')
     clauses = parse_query(req.query)
-    images = se._in_scope(c.asset, c.library, req, "image").where(F.col("visual_analysis").isNotNull())
-    owners = se._in_scope(c.asset, c.library, req, "video").select(F.col("id").alias("asset_id"))
+    images = se.in_scope(c.asset, c.library, req, "image").where(F.col("visual_analysis").isNotNull())
+    owners = se.in_scope(c.asset, c.library, req, "video").select(F.col("id").alias("asset_id"))
     scenes = c.scene.where(F.col("metadata").isNotNull()).join(owners, "asset_id", "left_semi")
-    found = se._ranked(images, se._target(F.col("visual_analysis"), False), clauses).select(
+    found = se.ranked(images, se.search_text(F.col("visual_analysis"), False), clauses).select(
         F.concat(F.lit("i"), F.col("id").cast("string")).alias("key"), F.col("id").alias("asset_id"))
     return found.unionByName(
-        se._ranked(scenes, se._target(F.col("metadata.analysis"), False), clauses).select(
+        se.ranked(scenes, se.search_text(F.col("metadata.analysis"), False), clauses).select(
             F.concat(F.lit("s"), F.col("id").cast("string")).alias("key"), "asset_id")
     )
 
