@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions.paths import has_media_suffix, join_path
-from scenelake.operators.ordered import running
+from scenelake.operators.ordered import nearest_marks
 from scenelake.schemas import (
     HAS_DERIVATIVES, IMAGE_SUFFIXES, MEDIA_SUFFIXES, REANALYSABLE, SEGMENTATION_VERSION,
     VIDEO_SUFFIXES,
@@ -319,11 +319,7 @@ def nearest_scene(
     )
     line = marks.unionByName(asked)
     is_moment = F.col("ts").isNotNull()
-    for name, t in (("before", F.col("t")), ("after", -F.col("t"))):
-        mark = F.when(~is_moment, F.struct(t.alias("at"), (-F.col("scene_id")).alias("neg_id")))
-        line = running(
-            line, ["asset_id"], t, [t, is_moment], mark, name, chunk_seconds, how=F.max
-        )
+    line = nearest_marks(line, ["asset_id"], F.col("t"), F.col("scene_id"), chunk_seconds)
     gap_before, gap_after = F.col("ts") - F.col("before.at"), -F.col("after.at") - F.col("ts")
     later = F.col("before").isNull() | (gap_after < gap_before)
     chosen = F.when(later, -F.col("after.neg_id")).otherwise(-F.col("before.neg_id"))

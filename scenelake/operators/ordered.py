@@ -64,3 +64,39 @@ def previous_value(
     joined = near.join(carry, [*keys, _CHUNK])
     found = F.coalesce("__near", "__carry")
     return joined.withColumn(name, found["__value"]).select(*df.columns, name)
+
+
+def nearest_marks(
+    df: DataFrame, keys: list[str], position: Column, mark: Column, width: float
+) -> DataFrame:
+    """Add `before` and `after`: the closest marked rows at or before and at or after each row.
+
+    `mark` is an integer id, null on rows that are not marks; results are structs of position (`at`,
+    negated in `after`) and negated id, so of marks at one position the lowest id is taken. Both
+    directions share one shuffle.
+    """
+    cut = _chunked(df.withColumn("__at", position).withColumn("__mark", mark), F.col("__at"), width)
+    marked = F.col("__mark").isNotNull()
+    cut = cut.select(
+        "*",
+        F.when(marked, F.struct(F.col("__at").alias("at"), (-F.col("__mark")).alias("neg_id"))).alias("__b"),
+        F.when(marked, F.struct((-F.col("__at")).alias("at"), (-F.col("__mark")).alias("neg_id"))).alias("__a"),
+    )
+    totals = cut.groupBy(*keys, _CHUNK).agg(F.max("__b").alias("b"), F.max("__a").alias("a"))
+    by_key, earlier = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    carry = totals.select(
+        *keys, _CHUNK,
+        F.max("b").over(by_key.orderBy(_CHUNK).rowsBetween(*earlier)).alias("__cb"),
+        F.max("a").over(by_key.orderBy(F.col(_CHUNK).desc()).rowsBetween(*earlier)).alias("__ca"),
+    )
+    inside = Window.partitionBy(*keys, _CHUNK)
+    last = F.col("__mark").isNull()
+    span = (Window.unboundedPreceding, Window.currentRow)
+    local = cut.select(
+        "*",
+        F.max("__b").over(inside.orderBy("__at", last).rowsBetween(*span)).alias("__lb"),
+        F.max("__a").over(inside.orderBy(F.col("__at").desc(), last).rowsBetween(*span)).alias("__la"),
+    )
+    return local.join(carry, [*keys, _CHUNK]).select(
+        *df.columns, F.greatest("__lb", "__cb").alias("before"), F.greatest("__la", "__ca").alias("after")
+    )
