@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from scenelake.llm.quality import op10_quality_rules
+from scenelake.llm.secrets import op3_secret_scans
 
 QUERIES = {
+    "op3_secret_scans": op3_secret_scans,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
