@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from scenelake.llm.bpe import op1_byte_bpe
 from scenelake.llm.quality import op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
 from scenelake.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_scans": op3_secret_scans,
     "op8_url_filters": op8_url_filters,
     "op10_quality_rules": op10_quality_rules,
