@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from scenelake.llm.bpe import op1_byte_bpe
+from scenelake.llm.mixing import op2_mixing
 from scenelake.llm.quality import op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
 from scenelake.llm.urls import op8_url_filters
+from scenelake.llm.vectors import op5_exact_top_k
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_mixing": op2_mixing,
     "op3_secret_scans": op3_secret_scans,
+    "op5_exact_top_k": op5_exact_top_k,
     "op8_url_filters": op8_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
