@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from scenelake.llm.bpe import op1_byte_bpe
+from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
 from scenelake.llm.quality import op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
 from scenelake.llm.urls import op8_url_filters
 from scenelake.llm.vectors import op5_exact_top_k
+from scenelake.llm.warc import op4_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
     "op3_secret_scans": op3_secret_scans,
+    "op4_warc": op4_warc,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_language_id": op6_language_id,
     "op8_url_filters": op8_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
