@@ -7,6 +7,7 @@ from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
 from scenelake.llm.quality import op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
+from scenelake.llm.toxicity import op7_toxicity
 from scenelake.llm.urls import op8_url_filters
 from scenelake.llm.vectors import op5_exact_top_k
 from scenelake.llm.warc import op4_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
