@@ -160,5 +160,13 @@ def mix_documents(docs: DataFrame, target: MixTarget = PRODUCTION) -> DataFrame:
     return draw(docs, "doc_id", document_levels(docs), F.size(words_of(text_of(docs, "text"))), target)
 
 
+def take_mix(docs: DataFrame, target: MixTarget = PRODUCTION) -> DataFrame:
+    """`docs` as often as the mix takes them, in the same columns. Keys tell rows apart; rows with a null key
+    can't be told apart and are left out."""
+    drawn = mix_documents(docs.where("doc_id is not null"), target).where("copies > 0").select("doc_id", "copies")
+    taken = docs.join(drawn, "doc_id").withColumn("copies", F.explode(F.expr("sequence(1L, copies)")))
+    return taken.select(*docs.columns)
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from scenelake.llm.bpe import op1_byte_bpe
 from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
+from scenelake.llm.ngram_join import op9_ngram_jaccard_join
 from scenelake.llm.quality import op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
 from scenelake.llm.toxicity import op7_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}

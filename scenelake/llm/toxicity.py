@@ -302,6 +302,23 @@ def score_toxicity(
     )
 
 
+def reject_toxic(
+    docs: DataFrame, index: bytes, text: str = "text", least: float = 0.5, model: ToxicityModel = ToxicityModel()
+) -> DataFrame:
+    """`docs` without the rows whose text scores `least` or more; rows and columns that stay are unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_label and terms
+
+    def clean(batches):
+        found = Index.from_bytes(shared.value, model)
+        for batch in batches:
+            keep = [
+                found.score(found.nearest(*found.vector(value.as_py() or ""))) < least for value in batch.column(text)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
