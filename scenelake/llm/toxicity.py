@@ -42,9 +42,9 @@ class ToxicityModel:
 
     per_label: int = 1500
     terms: int = 4000
-    least_ratio: float = 10.0
-    least_lift: float = 2.0
-    length_weight: float = 0.25
+    least_ratio: float = 30.0
+    least_lift: float = 5.0
+    length_weight: float = 0.2
     least_texts: int = 4
     k: int = 15
     block: int = 64
@@ -66,6 +66,7 @@ def grams_of(text: str) -> np.ndarray:
 class Index:
     """Terms, postings in blocks, and the largest weight of each block and term."""
 
+    FIRST = 8
     ARRAYS = ("terms", "idf", "labels", "keys", "posts", "weights", "starts", "tops", "steps", "levels", "prior")
 
     def __init__(self, arrays: dict[str, np.ndarray], model: ToxicityModel):
@@ -93,21 +94,37 @@ class Index:
 
     def nearest(self, places: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties to the smaller number; exact."""
-        k, size, best = self.model.k, self.model.block, []
+        k, best = self.model.k, []
         if not len(places):
             return best
         bounds = weights @ self.tops[places]
-        for block in np.argsort(-bounds, kind="stable"):
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        # The most promising blocks first; then, at once, all that may still hold one of the k best.
+        first, rest = order[: self.FIRST], order[self.FIRST :]
+        best = self._best(places, weights, first, best, without)
+        if len(best) == k:
             # Rounding may put a cosine a hair above its bound.
-            if bounds[block] <= 0 or len(best) == k and bounds[block] + 1e-9 < best[-1][0]:
-                break
-            sums = np.zeros(size)
-            for place, weight in zip(places, weights):
-                a, b = self.starts[place, block], self.starts[place, block + 1]
-                sums[self.posts[a:b] - block * size] += weight * self.weights[a:b]
-            found = [(float(sums[i]), int(block * size + i)) for i in np.flatnonzero(sums > 0)]
-            best = sorted(best + [f for f in found if f[1] != without], key=lambda f: (-f[0], f[1]))[:k]
-        return best
+            rest = rest[bounds[rest] + 1e-9 >= best[-1][0]]
+        return self._best(places, weights, rest, best, without) if len(rest) else best
+
+    def _best(self, places, weights, blocks, best, without):
+        """The k best of `best` and the examples in `blocks`, by the postings of these blocks alone."""
+        k, size = self.model.k, self.model.block
+        begins = self.starts[places[:, None], blocks].ravel()
+        lengths = self.starts[places[:, None], blocks + 1].ravel() - begins
+        at = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        each = np.repeat(np.repeat(weights, len(blocks)), lengths)
+        sums = np.bincount(self.posts[at], each * self.weights[at], minlength=self.blocks * size)
+        if without >= 0:
+            sums[without] = 0
+        least = best[-1][0] if len(best) == k else 0.0
+        found = np.flatnonzero(sums > 0 if least <= 0 else sums >= least)
+        if len(found) > k:
+            # Ties with the k-th are kept for the comparison by number below.
+            found = found[sums[found] >= np.partition(sums[found], -k)[-k]]
+        best = best + [(float(sums[i]), int(i)) for i in found]
+        return sorted(best, key=lambda f: (-f[0], f[1]))[:k]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
