@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.functions.text import similarity_query, term_weights, words_of
+from scenelake.functions.text import similarity_query, term_weights, tokens, words_of
 from scenelake.sources.search_docs import build_postings, n_words
 
 K1, B = 1.2, 0.75
@@ -23,6 +22,12 @@ K1, B = 1.2, 0.75
 MIN_SCORE, FLOOR, STEP, MIN_RESULTS, MAX_RESULTS = 0.65, 0.35, 0.10, 3, 20
 
 
+def live_documents(rows: DataFrame, library: DataFrame) -> DataFrame:
+    """Documents, or postings, of libraries that aren't in the trash."""
+    live = library.where(F.col("deleted_at").isNull()).select(F.col("slug").alias("library_slug"))
+    return rows.join(live, "library_slug", "left_semi")
+
+
 def restrict(
     docs: DataFrame, libraries: Iterable[str] = (), types: Iterable[str] = ()
 ) -> DataFrame:
@@ -78,35 +83,54 @@ def bm25_scores(
 
 def bm25_search(
     docs: DataFrame, query: str | None, libraries: Iterable[str] = (), types: Iterable[str] = (),
-    limit: int = 50, postings: DataFrame | None = None,
+    limit: int = 50, postings: DataFrame | None = None, tag: str | None = None, ocr: bool = False,
 ) -> DataFrame:
-    """The best documents holding every query word, one row per document; none for an empty query."""
+    """The best documents holding every query word, one row per document; none for an empty query.
+
+    With `tag` only documents that carry it; with `ocr` the words must stand in the OCR text. Both restrict the
+    scope, so that statistics are those of the documents that may be found.
+    """
     scope = restrict(docs, libraries, types)
     words = words_of(query or "")
     if not words:
         return scope.withColumn("score", F.lit(0.0)).where(F.lit(False))
     narrowed = None if postings is None else restrict(postings, libraries, types)
+    if tag or ocr:
+        if tag:
+            scope = scope.where(F.array_contains("tags", tag))
+        if ocr:
+            held = tokens(F.coalesce("ocr_text", F.lit("")))
+            scope = scope.where(F.size(F.array_except(F.array(*map(F.lit, words)), held)) == 0)
+        if narrowed is not None:
+            narrowed = narrowed.join(scope.select("id", "index_name"), ["id", "index_name"], "left_semi")
     scores = bm25_scores(scope, dict.fromkeys(words, 1), match_all=True, postings=narrowed)
     top = scores.orderBy(F.col("score").desc(), "id").limit(limit)
     return scope.join(top, "id")
 
 
-def active_documents(docs: DataFrame, policy: DataFrame, libraries: Iterable[str] | None = None) -> DataFrame:
-    """Documents of the active indexes of the libraries; `index_name` partitions are pruned."""
+def active_documents(
+    docs: DataFrame, policy: DataFrame, library: DataFrame, libraries: Iterable[str] | None = None,
+    include_deleted: bool = False,
+) -> DataFrame:
+    """Documents of the active indexes of the libraries; `index_name` partitions are pruned. Libraries in the
+    trash are left out before any statistic or cut, unless asked for."""
     rows = policy.where(F.col("active_index_name").isNotNull())
     if libraries is not None:
         rows = rows.where(F.col("library_slug").isin(list(libraries)))
     names = rows.select(F.col("active_index_name").alias("index_name"))
-    return docs.join(names, "index_name", "left_semi")
+    found = docs.join(names, "index_name", "left_semi")
+    return found if include_deleted else live_documents(found, library)
 
 
 def routed_search(
-    docs: DataFrame, policy: DataFrame, query: str, libraries: Iterable[str] | None = None,
-    types: Iterable[str] = (), limit: int = 50, postings: DataFrame | None = None,
+    docs: DataFrame, policy: DataFrame, library: DataFrame, query: str, libraries: Iterable[str] | None = None,
+    types: Iterable[str] = (), limit: int = 50, postings: DataFrame | None = None, tag: str | None = None,
+    ocr: bool = False, include_deleted: bool = False,
 ) -> DataFrame:
-    scope = active_documents(docs, policy, libraries)
-    narrowed = None if postings is None else active_documents(postings, policy, libraries)
-    return bm25_search(scope, query, libraries or (), types, limit, narrowed)
+    scope, narrowed = (
+        t if t is None else active_documents(t, policy, library, libraries, include_deleted) for t in (docs, postings)
+    )
+    return bm25_search(scope, query, libraries or (), types, limit, narrowed, tag, ocr)
 
 
 def has_active_index(policy: DataFrame, libraries: Iterable[str] | None = None) -> bool:
@@ -118,12 +142,15 @@ def has_active_index(policy: DataFrame, libraries: Iterable[str] | None = None)
 
 
 def shadow_search(
-    docs: DataFrame, index_name: str, query: str, limit: int = 50, postings: DataFrame | None = None
+    docs: DataFrame, index_name: str, library: DataFrame, query: str, limit: int = 50,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
-    """Search one named index whatever the policy says."""
-    named = F.col("index_name") == index_name
-    narrowed = None if postings is None else postings.where(named)
-    return bm25_search(docs.where(named), query, limit=limit, postings=narrowed)
+    """Search one named index whatever the policy says; libraries in the trash are left out."""
+    scope, narrowed = (
+        t if t is None else live_documents(t.where(F.col("index_name") == index_name), library)
+        for t in (docs, postings)
+    )
+    return bm25_search(scope, query, limit=limit, postings=narrowed)
 
 
 @dataclass(frozen=True)
@@ -145,33 +172,31 @@ class SimilarityScope:
     cameras: tuple[Camera, ...] = field(default=())
 
     def condition(self, exclude_asset_id: int) -> Column:
-        tests = [F.col("asset_id") != exclude_asset_id]
-        if self.library not in (None, "all"):
-            tests.append(F.col("library_slug") == self.library)
-        if set(self.asset_types) == {"image"}:
-            tests.append(F.col("scene_id") < 1)
-        elif set(self.asset_types) == {"video"}:
-            tests.append(F.col("scene_id") >= 1)
-        if self.from_ts is not None:
-            tests.append(F.col("capture_ts") >= self.from_ts)
-        if self.to_ts is not None:
-            tests.append(F.col("capture_ts") <= self.to_ts)
-        if self.min_sharpness is not None:
-            tests.append(F.col("sharpness_score") >= self.min_sharpness)
-        if self.has_face is not None:
-            tests.append(F.col("has_face") == self.has_face)
-        one_of = []
-        for cam in self.cameras:
-            parts = [
-                F.col(column) == value.strip()
-                for column, value in (("camera_make", cam.make), ("camera_model", cam.model))
-                if value and value.strip()
-            ]
-            if parts:
-                one_of.append(reduce(lambda a, b: a & b, parts))
-        if one_of:
-            tests.append(reduce(lambda a, b: a | b, one_of))
-        return reduce(lambda a, b: a & b, tests)
+        video = {("image",): False, ("video",): True}.get(tuple(sorted(set(self.asset_types))))
+        limits = (
+            ("library_slug", Column.__eq__, None if self.library == "all" else self.library),
+            ("capture_ts", Column.__ge__, self.from_ts),
+            ("capture_ts", Column.__le__, self.to_ts),
+            ("sharpness_score", Column.__ge__, self.min_sharpness),
+            ("has_face", Column.__eq__, self.has_face),
+        )
+        out = F.col("asset_id") != exclude_asset_id
+        for name, compare, value in limits:
+            if value is not None:
+                out = out & compare(F.col(name), F.lit(value))
+        if video is not None:
+            out = out & ((F.col("scene_id") >= 1) == F.lit(video))
+        wanted = [tuple((v or "").strip() or None for v in (c.make, c.model)) for c in self.cameras]
+        wanted = [w for w in wanted if any(w)]
+        if wanted:
+            # A camera names a make, a model or both; what it leaves open fits anything.
+            kind = "array<struct<make:string,model:string>>"
+            cameras = F.array(*(F.struct(*(F.lit(v) for v in w)) for w in wanted)).cast(kind)
+            fits = lambda own, value: value.isNull() | F.coalesce(F.col(own) == value, F.lit(False))
+            out = out & F.exists(
+                cameras, lambda c: fits("camera_make", c["make"]) & fits("camera_model", c["model"])
+            )
+        return out
 
 
 def thresholds(min_score: float, floor: float, step: float) -> list[float]:
@@ -227,7 +252,7 @@ def find_similar(
 
 
 def similar_assets(
-    docs: DataFrame, asset: DataFrame, policy: DataFrame, asset_id: int,
+    docs: DataFrame, asset: DataFrame, policy: DataFrame, library: DataFrame, asset_id: int,
     scope: SimilarityScope = SimilarityScope(), postings: DataFrame | None = None, **options: float,
 ) -> DataFrame:
     """Documents of active indexes like one asset, whose own text is the query."""
@@ -239,8 +264,8 @@ def similar_assets(
         raise ValueError(f"asset {asset_id} has no description or tags to compare by")
     slugs = None if scope.library in (None, "all") else [scope.library]
     if postings is not None:
-        postings = active_documents(postings, policy, slugs)
+        postings = active_documents(postings, policy, library, slugs)
     return find_similar(
-        active_documents(docs, policy, slugs), analysis["description"], analysis["tags"] or [],
+        active_documents(docs, policy, library, slugs), analysis["description"], analysis["tags"] or [],
         asset_id, scope, postings=postings, **options,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from scenelake.plans import oracle_parts as o
 from scenelake.plans.registry import query
 from scenelake.plans.tables import AS_OF, Catalog
 from scenelake.sources import search_docs as sd
+from scenelake.streaming.sync import sync_batch
 
 WORDS = ["attion", "eriner"]
+TAG = "en"
 TEXT = " ".join(WORDS)
 
 
@@ -137,8 +141,10 @@ _DOCS = {
 from image_asset where status='completed'
 union all select 'scene_'||s.id, s.id, s.asset_id, v.library_id, concat_ws(' ', s.description, s.ocr_text, s.tag)
 from scene s join video_asset v on v.id=s.asset_id where v.status='completed'""",
-    "doc": """select d.*, active_index_name as index_name from doc0 d join policy p using (library_slug) where active_index_name is not null
-union all select d.*, shadow_index_name from doc0 d join policy p using (library_slug) where shadow_index_name is not null""",
+    # Libraries in the trash are never searched.
+    "doc": """select * from (select d.*, active_index_name as index_name from doc0 d join policy p using (library_slug) where active_index_name is not null
+union all select d.*, shadow_index_name from doc0 d join policy p using (library_slug) where shadow_index_name is not null) i
+where library_slug in (select slug from library where deleted_epoch is null)""",
 }
 _ACTIVE = "index_name in (select active_index_name from policy where active_index_name is not null {0})"
 
@@ -194,7 +200,7 @@ def search_docs(c: Catalog) -> DataFrame:
     f"select * from doc where {_ACTIVE.format('')} and scene_id<1", _flat_weights(WORDS), len(WORDS))})
 def bm25_search(c: Catalog) -> DataFrame:
     """Image documents of all active indexes that hold both words."""
-    docs, postings = (rk.active_documents(t, c.policy) for t in (c.documents, c.postings))
+    docs, postings = (rk.active_documents(t, c.policy, c.library) for t in (c.documents, c.postings))
     return _scored(rk.bm25_search(docs, TEXT, types=["image"], postings=postings))
 
 
@@ -206,14 +212,14 @@ _THREE = "('src1','src3','src4')"
 def routed_search(c: Catalog) -> DataFrame:
     """Documents of three libraries through the indexes their policies name."""
     return _scored(rk.routed_search(
-        c.documents, c.policy, "the", ["src1", "src3", "src4"], limit=40, postings=c.postings
+        c.documents, c.policy, c.library, "the", ["src1", "src3", "src4"], limit=40, postings=c.postings
     ))
 
 
 @query("shadow_search", _scored_sql(50), {**_DOCS, **_bm25("select * from doc where index_name='media_scenes_src1_200'", _flat_weights(["the"]), 1)})
 def shadow_search(c: Catalog) -> DataFrame:
-    """One index by name, scanning its texts."""
-    return _scored(rk.shadow_search(c.documents, "media_scenes_src1_200", "the"))
+    """One index by name."""
+    return _scored(rk.shadow_search(c.documents, "media_scenes_src1_200", c.library, "the", postings=c.postings))
 
 
 _SOURCE = 2
@@ -242,7 +248,9 @@ def _similar_shown(docs: DataFrame) -> DataFrame:
     f"select * from doc where {_ACTIVE.format('')} and asset_id<>{_SOURCE}", _similar_weights(), None)})
 def similar_assets(c: Catalog) -> DataFrame:
     """The documents most like one image."""
-    return _similar_shown(rk.similar_assets(c.documents, c.asset, c.policy, _SOURCE, postings=c.postings))
+    return _similar_shown(rk.similar_assets(
+        c.documents, c.asset, c.policy, c.library, _SOURCE, postings=c.postings
+    ))
 
 
 _SCOPED = {**_DOCS, "meta": f"select id as asset_id, {o.CAPTURE_TS} as capture_ts, {o.MAKE} as camera_make, {o.MODEL} as camera_model from exif"}
@@ -258,6 +266,58 @@ def similarity_scope(c: Catalog) -> DataFrame:
         cameras=(rk.Camera("Canon"), rk.Camera(" NIKON ", "R5")),
     )
     found = rk.similar_assets(
-        c.documents, c.asset, c.policy, _SOURCE, scope, max_results=100, min_score=70.0, floor=20.0, step=0.7
+        c.documents, c.asset, c.policy, c.library, _SOURCE, scope, c.postings, max_results=100, min_score=70.0,
+        floor=20.0, step=0.7,
     )
     return _similar_shown(found)
+
+
+# Index upkeep: two increments, with one library that has no policy at first.
+
+_NEW = "src3"
+_SYNCED = {**_DOCS, "sdocs": f"""select d.*, coalesce(p.active_index_name, 'media_scenes_'||d.library_slug||'_{AS_OF}') as index_name
+from doc0 d left join (select * from policy where library_slug<>'{_NEW}') p using (library_slug)
+where library_slug in (select slug from library where deleted_epoch is null) and (p.library_slug is null or p.active_index_name is not null)"""}
+
+
+def _synced(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, postings and policies after two increments."""
+    root = f"{c.root}/synced-{uuid.uuid4().hex}"
+    docs, postings = f"{root}/documents", f"{root}/postings"
+    policy, cursor = c.policy.where(F.col("library_slug") != _NEW), None
+    half = c.asset.agg(F.percentile_approx("id", F.lit(0.5))).first()[0]
+    for asset in (c.asset.where(F.col("id") <= half), c.asset):
+        done = sync_batch(asset, c.scene, c.library, policy, docs, postings, AS_OF, cursor)
+        policy, cursor = done.policy, done.cursor
+    return sd.read_documents(c.spark, docs), sd.read_documents(c.spark, postings), policy
+
+
+@query("synced_documents", "select id, asset_id, scene_id, library_slug, index_name from sdocs", _SYNCED)
+def synced_documents(c: Catalog) -> DataFrame:
+    """Every document that two increments have written, with its index."""
+    return _synced(c)[0].select("id", "asset_id", "scene_id", "library_slug", "index_name")
+
+
+@query("search_after_sync", _scored_sql(50), {**_SYNCED, **_bm25(
+    f"select * from sdocs where library_slug in ('src1','{_NEW}')", _flat_weights(["the"]), 1)})
+def search_after_sync(c: Catalog) -> DataFrame:
+    """What was synced is found through its postings, in the new library too."""
+    docs, postings, policy = _synced(c)
+    return _scored(rk.routed_search(docs, policy, c.library, "the", ["src1", _NEW], postings=postings))
+
+
+@query("index_search_tag", _scored_sql(50), {**_DOCS, **_bm25(
+    f"select d.* from doc d where {_ACTIVE.format('')} and id in (select 'asset_'||id from image_asset where tag1='{TAG}' or tag2='{TAG}' union all select 'scene_'||id from scene where tag='{TAG}')",
+    _flat_weights(["the"]), 1)})
+def index_search_tag(c: Catalog) -> DataFrame:
+    """Documents of active indexes that carry a tag."""
+    return _scored(rk.routed_search(c.documents, c.policy, c.library, "the", postings=c.postings, tag=TAG))
+
+
+@query("index_search_ocr", _scored_sql(50), {**_DOCS, **_bm25(
+    f"""select d.* from doc d where {_ACTIVE.format('')} and id in (
+  select 'asset_'||id from image_asset where list_contains({o.split('ocr_text')}, 'attion') union all select 'scene_'||id from scene where list_contains({o.split('ocr_text')}, 'attion'))""",
+    _flat_weights(["attion"]), 1)})
+def index_search_ocr(c: Catalog) -> DataFrame:
+    """Documents of active indexes whose OCR text holds the word."""
+    return _scored(rk.routed_search(c.documents, c.policy, c.library, "attion", postings=c.postings, ocr=True))

@@ -20,7 +20,7 @@ from scenelake.operators.geo import reverse_geocode
 from scenelake.operators.workers import latest_heartbeat
 from scenelake.session import shared_folder, store
 from scenelake.sources.search_docs import (
-    append_documents, append_postings, build_documents, build_postings, read_documents, with_index,
+    build_documents, build_postings, read_documents, with_index, write_documents, write_postings,
 )
 
 AS_OF = 1706659199  # 2024-01-30 23:59:59 UTC, the "now" of every registered query
@@ -439,14 +439,14 @@ class Catalog:
             both = with_index(docs, self.policy).unionByName(
                 with_index(docs, self.policy, "shadow_index_name")
             )
-            append_documents(both, f"{self.root}/documents")
+            write_documents(both, f"{self.root}/documents", "base")
             self._tables["documents"] = read_documents(self.spark, f"{self.root}/documents")
         return self._tables["documents"]
 
     @property
     def postings(self) -> DataFrame:
         if "postings" not in self._tables:
-            append_postings(build_postings(self.documents), f"{self.root}/postings")
+            write_postings(build_postings(self.documents), f"{self.root}/postings", "base")
             self._tables["postings"] = read_documents(self.spark, f"{self.root}/postings")
         return self._tables["postings"]
 

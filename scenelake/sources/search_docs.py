@@ -82,13 +82,29 @@ def with_index(docs: DataFrame, policy: DataFrame, column: str = "active_index_n
     return docs.join(names, "library_slug")
 
 
-def append_documents(docs: DataFrame, path: str) -> None:
-    """Append to the index partitions, with each document's number of words.
+def write_documents(docs: DataFrame, path: str, batch_id: str) -> None:
+    """Write a batch's documents, with their number of words; a batch that is written again replaces itself.
 
     Rebalancing gathers each index's rows and splits a large index over as many tasks as it needs.
     """
     counted = docs.withColumn("n_words", n_words(docs)).hint("rebalance", "index_name")
-    counted.write.mode("append").partitionBy("index_name").parquet(path)
+    _replace_batch(counted, path, batch_id)
+
+
+def _replace_batch(rows: DataFrame, path: str, batch_id: str) -> None:
+    rows.withColumn("batch_id", F.lit(f"b{batch_id}")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("index_name", "batch_id").parquet(path)
+
+
+def write_batch(docs: DataFrame, documents: str, postings: str, batch_id: str) -> None:
+    """Write a batch's documents and then their postings, built from what was written.
+
+    After a failure in between, the same batch written again replaces both.
+    """
+    write_documents(docs, documents, batch_id)
+    written = docs.sparkSession.read.parquet(documents).where(F.col("batch_id") == f"b{batch_id}")
+    write_postings(build_postings(written), postings, batch_id)
 
 
 def document_text() -> Column:
@@ -115,15 +131,13 @@ def build_postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame
     ).agg(F.count("*").alias("tf"))
 
 
-def append_postings(postings: DataFrame, path: str) -> None:
-    """Append to the index partitions, ordered by term so that a query reads only its terms' row groups.
+def write_postings(postings: DataFrame, path: str, batch_id: str) -> None:
+    """Write a batch's postings, ordered by term so that a query reads only its terms' row groups.
 
     The range includes the document, so a word found everywhere is spread over many files.
     """
     ordered = postings.repartitionByRange("index_name", "term", "id")
-    ordered.sortWithinPartitions("index_name", "term", "id").write.mode("append").partitionBy(
-        "index_name"
-    ).parquet(path)
+    _replace_batch(ordered.sortWithinPartitions("index_name", "term", "id"), path, batch_id)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -151,9 +165,9 @@ def delete_index(spark: SparkSession, path: str, index_name: str) -> bool:
 
 def reset_sync(
     spark: SparkSession, path: str, policy: DataFrame, slugs: Iterable[str] | None = None,
-    checkpoint: str | None = None,
+    checkpoint: str | None = None, postings: str | None = None,
 ) -> DataFrame:
-    """Delete the active index and policy of some or all libraries and the sync cursor.
+    """Delete the active index (documents and `postings`) and policy of some or all libraries, and the cursor.
 
     Returns the remaining policy table. Policies are one row per library.
     """
@@ -162,6 +176,8 @@ def reset_sync(
     for _, index_name in doomed:
         if index_name is not None:
             delete_index(spark, path, index_name)
+            if postings is not None:
+                delete_index(spark, postings, index_name)
     if checkpoint is not None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

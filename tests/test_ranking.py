@@ -21,18 +21,28 @@ def docs(spark):
     return spark.createDataFrame(rows, DOC)
 
 
+@pytest.fixture(scope="module")
+def library(spark):
+    return spark.sql("select * from values ('a', timestamp(null)), ('b', timestamp(null)) as t(slug, deleted_at)")
+
+
+@pytest.fixture(scope="module")
+def with_trash(spark):
+    return spark.sql("select * from values ('a', timestamp'2024-01-01'), ('b', null) as t(slug, deleted_at)")
+
+
 def _ids(df):
     return sorted(r["asset_id"] for r in df.collect())
 
 
-def test_search(docs):
+def test_search(docs, library):
     assert _ids(rk.bm25_search(docs, "red balloon")) == [1, 2, 3]
     assert _ids(rk.bm25_search(docs, "red balloon", libraries=["a"])) == [1, 2]
     assert _ids(rk.bm25_search(docs, "red balloon", types=["video"])) == [3]
     assert _ids(rk.bm25_search(docs, "")) == [] == _ids(rk.bm25_search(docs, "missing red"))
     assert len(_ids(rk.bm25_search(docs, "red", limit=1))) == 1
     assert rk.bm25_search(docs, "red", limit=1).first()["asset_id"] == 2
-    assert _ids(rk.shadow_search(docs, "ib", "balloon")) == [3]
+    assert _ids(rk.shadow_search(docs, "ib", library, "balloon")) == [3]
 
 
 def test_postings_give_the_same_scores(docs):
@@ -43,9 +53,9 @@ def test_postings_give_the_same_scores(docs):
         assert scan == {r["id"]: round(r["score"], 9) for r in stored.collect()} and scan
 
 
-def test_routing(spark, docs):
+def test_routing(spark, docs, library):
     policy = spark.createDataFrame([("a", "ia"), ("b", None)], "library_slug string, active_index_name string")
-    assert _ids(rk.routed_search(docs, policy, "balloon")) == [1, 2]
+    assert _ids(rk.routed_search(docs, policy, library, "balloon")) == [1, 2]
     assert rk.has_active_index(policy, ["a"]) and not rk.has_active_index(policy, ["b"])
 
 
@@ -79,3 +89,18 @@ def test_similar(docs):
     found = rk.find_similar(docs, "a red balloon", ["Red"], 1, min_score=0.0, floor=0.0, step=0.0).collect()
     assert {r["asset_id"] for r in found} == {2, 3}
     assert rk.find_similar(docs, "", [], 1).count() == 0
+
+
+def test_trash_is_left_out_before_the_cut(spark, docs, with_trash):
+    policy = spark.createDataFrame([("a", "ia"), ("b", "ib")], "library_slug string, active_index_name string")
+    for postings in (None, build_postings(docs)):
+        find = lambda **o: _ids(rk.routed_search(docs, policy, with_trash, "balloon", limit=1, postings=postings, **o))
+        assert find() == [3] and find(include_deleted=True) != [3]
+    assert _ids(rk.shadow_search(docs, "ia", with_trash, "balloon")) == []
+
+
+def test_tag_and_ocr_restrict_the_scope(docs):
+    for postings in (None, build_postings(docs)):
+        assert _ids(rk.bm25_search(docs, "balloon", tag="red", postings=postings)) == [1]
+        assert _ids(rk.bm25_search(docs, "red", ocr=True, postings=postings)) == [3]
+        assert _ids(rk.bm25_search(docs, "balloon", ocr=True, postings=postings)) == []

@@ -51,27 +51,50 @@ def test_manifest_is_written_once(spark, tmp_path):
 
 def test_index_lifecycle(spark, tmp_path):
     c = open_catalog(spark, SF)
-    path = str(tmp_path / "docs")
-    cursor = sync_batch(c.asset, c.scene, c.library, c.policy, path, AS_OF)
+    path, posted = str(tmp_path / "docs"), str(tmp_path / "postings")
+    first = sync_batch(c.asset, c.scene, c.library, c.policy, path, posted, AS_OF)
     docs = sd.read_documents(spark, path)
     done = c.asset.where("status = 'completed'")
-    assert cursor == done.join(c.library.where("deleted_at is null"), F.col("slug") == F.col("library_id"), "left_semi").agg(F.max("id")).first()[0]
+    live = done.join(c.library.where("deleted_at is null"), F.col("slug") == F.col("library_id"), "left_semi")
+    assert first.cursor == live.agg(F.max("id")).first()[0]
     assert docs.where("scene_id = 0").select("asset_id").distinct().count() == docs.where("scene_id = 0").count()
-    before = docs.count()
-    assert sync_batch(c.asset, c.scene, c.library, c.policy, path, AS_OF, cursor) == cursor
-    assert sd.read_documents(spark, path).count() == before
+    before = docs.count(), sd.read_documents(spark, posted).count()
+    again = sync_batch(c.asset, c.scene, c.library, first.policy, path, posted, AS_OF, first.cursor)
+    assert again.cursor == first.cursor and again.left_out.isEmpty()
+    # The same batch once more, as after a failure: nothing is written twice.
+    sync_batch(c.asset, c.scene, c.library, first.policy, path, posted, AS_OF)
+    assert (sd.read_documents(spark, path).count(), sd.read_documents(spark, posted).count()) == before
+    docs = sd.read_documents(spark, path)
+    without = {r[0] for r in first.left_out.select("asset_id").collect()}
+    assert without == {r[0] for r in live.select("id").collect()} - {r[0] for r in docs.select("asset_id").collect()}
     names = {r[0] for r in docs.select("index_name").distinct().collect()}
     name = sorted(n for n in names if n.startswith("media_scenes_src1_"))[0]
     with pytest.raises(ValueError):
         sd.create_index(spark, path, name)
     sd.create_index(spark, path, "fresh")
     assert sd.delete_index(spark, path, "fresh") and not sd.delete_index(spark, path, "fresh")
-    left = sd.reset_sync(spark, path, c.policy, ["src1"])
+    left = sd.reset_sync(spark, path, c.policy, ["src1"], postings=posted)
     assert left.where("library_slug = 'src1'").count() == 0 and left.count() == c.policy.count() - 1
-    assert sd.read_documents(spark, path).where(F.col("index_name") == name).count() == 0
+    for table in (path, posted):
+        assert sd.read_documents(spark, table).where(F.col("index_name") == name).count() == 0
     sd.reset_sync(spark, path, c.policy, checkpoint=str(tmp_path / "none"))
 
 
+def test_a_library_without_policy_keeps_one_index(spark, tmp_path):
+    c = open_catalog(spark, SF)
+    path, posted = str(tmp_path / "docs"), str(tmp_path / "postings")
+    stored = {"policy": c.policy.where("library_slug <> 'src2'")}
+    half = c.asset.agg(F.percentile_approx("id", F.lit(0.5))).first()[0]
+    cursor = None
+    for asset, as_of in ((c.asset.where(F.col("id") <= half), 100), (c.asset, 200)):
+        done = sync_batch(asset, c.scene, c.library, stored["policy"], path, posted, as_of, cursor)
+        stored["policy"], cursor = done.policy, done.cursor
+    docs = sd.read_documents(spark, path).where("library_slug = 'src2'")
+    assert {r[0] for r in docs.select("index_name").collect()} == {"media_scenes_src2_100"}
+    assert stored["policy"].where("library_slug = 'src2'").first()["active_index_name"] == "media_scenes_src2_100"
+    assert docs.count() == docs.select("id").distinct().count() > 0
+
+
 def test_filters_and_partitions_reach_the_files(spark):
     from scenelake.operators import catalog as cat
     from scenelake.operators import ranking as rk
@@ -84,7 +107,7 @@ def test_filters_and_partitions_reach_the_files(spark):
 
     plan = plan_of(cat.eligible_work(c.asset, c.library, "proxied", ["jpg", "png"], AS_OF))
     assert "In(ext, [jpg,png])" in plan and "BroadcastHashJoin" in plan
-    plan = plan_of(rk.shadow_search(c.documents, "media_scenes_src1_200", "the"))
+    plan = plan_of(rk.shadow_search(c.documents, "media_scenes_src1_200", c.library, "the"))
     assert "PartitionFilters: [isnotnull(index_name" in plan
     plan = plan_of(rk.bm25_scores(c.documents, {"the": 1, "of": 1}, True, c.postings))
     assert "In(term, [of,the])" in plan

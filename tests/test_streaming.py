@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from scenelake.operators.workers import latest_heartbeat
 from scenelake.plans.tables import AS_OF, open_catalog
-from scenelake.sources.search_docs import build_documents, with_index
 from scenelake.streaming.heartbeat import heartbeat_table, liveness_stream
 from scenelake.streaming.sync import scan_stream, sync_stream
 
@@ -53,15 +52,32 @@ def test_silence_is_reported(spark, tmp_path):
 def test_sync_stream_writes_each_document_once(spark, tmp_path):
     c = open_catalog(spark, SF)
     live = c.asset
-    source, out = str(tmp_path / "in"), str(tmp_path / "docs")
+    source, out, posted = (str(tmp_path / n) for n in ("in", "docs", "postings"))
+    # One library has no policy yet.
+    policies = [c.policy.where("library_slug <> 'src2'")]
     for part in (live.where("id % 3 = 0"), live.where("id % 3 <> 0")):
         part.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(live.schema).parquet(source)
-        sync_stream(stream, lambda: c.scene, lambda: c.library, lambda: c.policy, out, str(tmp_path / "ck"), AS_OF).awaitTermination()
-    kept = live.join(c.library.where("deleted_at is null").select(F.col("slug").alias("library_id")), "library_id", "left_semi")
-    wanted = with_index(build_documents(kept, c.scene, AS_OF), c.policy)
+        sync_stream(
+            stream, lambda: c.scene, lambda: c.library, lambda: policies[-1], policies.append, out, posted,
+            str(tmp_path / "ck"), AS_OF,
+        ).awaitTermination()
+    known = {r[0] for r in c.library.where("deleted_at is null").select("slug").collect()}
+    done = [r for r in c.asset.where("status = 'completed'").collect() if r["library_id"] in known]
+    scenes = {}
+    for r in c.scene.select("id", "asset_id").collect():
+        scenes.setdefault(r["asset_id"], []).append(f"scene_{r['id']}")
+    closed = {r["library_slug"] for r in c.policy.where("active_index_name is null").collect()}
+    wanted = sorted(
+        name for r in done if r["library_id"] not in closed or r["library_id"] == "src2"
+        for name in ([f"asset_{r['id']}"] if r["type"] == "image" else scenes.get(r["id"], []))
+    )
     got = spark.read.parquet(out)
-    assert got.count() == wanted.count() == got.select("id", "index_name").distinct().count()
+    assert sorted(r["id"] for r in got.select("id").collect()) == wanted
+    assert got.where("library_slug = 'src2'").select("index_name").distinct().count() == 1
+    words = spark.read.parquet(posted).groupBy("id").agg(F.sum("tf").alias("n"))
+    assert words.join(got.select("id", "n_words"), "id").where("n <> n_words").isEmpty()
+    assert got.where("n_words > 0").join(words, "id", "left_anti").isEmpty()
 
 
 def test_scan_stream(spark, tmp_path):
