@@ -161,11 +161,14 @@ def mix_documents(docs: DataFrame, target: MixTarget = PRODUCTION) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, target: MixTarget = PRODUCTION) -> DataFrame:
-    """`docs` as often as the mix takes them, in the same columns. Keys tell rows apart; rows with a null key
-    can't be told apart and are left out."""
-    drawn = mix_documents(docs.where("doc_id is not null"), target).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(drawn, "doc_id").withColumn("copies", F.explode(F.expr("sequence(1L, copies)")))
-    return taken.select(*docs.columns)
+    """`docs` as often as the mix takes them, in the same columns. Keys tell rows apart: rows that
+    repeat one are all taken as often as it is drawn most, and rows with a null key are left out."""
+    drawn = mix_documents(docs.where("doc_id is not null"), target).where("copies > 0")
+    # A row per copy before the join, so no column of the documents can clash with a count.
+    copies = drawn.groupBy("doc_id").agg(F.max("copies").alias("copies")).select(
+        "doc_id", F.explode(F.expr("sequence(1L, copies)")).alias("copy")
+    ).select("doc_id")
+    return docs.join(copies, "doc_id").select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -269,7 +269,7 @@ def fit(
         def rows():
             for batch in batches:
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if (k not in seen):
+                    if k not in seen:
                         seen.add(k)
                         yield k, t, chosen[k]
 
@@ -278,7 +278,8 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["index"])
 
     # One task: the sample is bounded. Sorted, so that every run numbers the examples alike.
-    return bytes(examples.coalesce(1).sortWithinPartitions("k").mapInArrow(build, "index binary").first()[0])
+    built = examples.coalesce(1).sortWithinPartitions("k").mapInArrow(build, "index binary").first()
+    return bytes(built[0]) if built else build_index(iter(()), shares, model).to_bytes()
 
 
 def score_toxicity(
