@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cell sizes in degrees, finest first. At 120 the neighbourhood of a cell is the whole globe.
-CELL_SIZES = (1.0, 10.0, 120.0)
+from scenelake.session import cut_lineage
+
+# Edges of the cells, finest first, in Earth radii: about 13, 130 and 640 km.
+CELL_EDGES = (0.002, 0.02, 0.1)
+AXES = ("x", "y", "z")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -17,50 +22,81 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def _cell(value: Column, size: float, offset: float) -> Column:
-    return F.floor((value + offset) / size).cast("int")
+def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Adds the point's place on the unit sphere. Cells in space know neither poles nor a date line."""
+    a, o = F.radians(lat), F.radians(lon)
+    return df.withColumns({"x": F.cos(a) * F.cos(o), "y": F.cos(a) * F.sin(o), "z": F.sin(a)})
+
+
+def _cells(edge: float) -> list[Column]:
+    return [F.floor(F.col(c) / edge).cast("int").alias(f"c_{c}") for c in AXES]
+
+
+def _around(places: DataFrame, edge: float) -> DataFrame:
+    """Places copied to the 27 cells around their own."""
+    for c in AXES:
+        own = F.floor(F.col(c) / edge).cast("int")
+        places = places.withColumn(f"c_{c}", F.explode(F.array(own - 1, own, own + 1)))
+    return places.drop(*AXES)
+
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """The best offer of each point, summed up before the shuffle."""
+    angle = haversine(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon"))
+    return pairs.groupBy("id").agg(F.min(F.struct(angle.alias("angle"), "g_id", "place")).alias("best"))
 
-def _neighbourhood(places: DataFrame, size: float) -> DataFrame:
-    """Places copied to the 3x3 cells around their own, longitudes wrapping around."""
-    columns = F.lit(int(360 / size))
-    rows = F.array(*[_cell(F.col("g_lat"), size, 90.0) + d for d in (-1, 0, 1)])
-    cols = F.array(*[F.pmod(_cell(F.col("g_lon"), size, 180.0) + d, columns) for d in (-1, 0, 1)])
-    return places.withColumn("c_lat", F.explode(rows)).withColumn("c_lon", F.explode(F.array_distinct(cols)))
+
+def _far(points: DataFrame, places: DataFrame, edge: float) -> DataFrame:
+    """Nearest places of points that have none within `edge`.
+
+    First against the cells that hold a place: the nearest of one known place per cell bounds the distance, and
+    cells that begin beyond it are out. The sphere meets only so many cells of one edge, whatever the gazetteer
+    holds, so this work grows with the points alone. Then the places of the cells that are left.
+    """
+    by_cell = places.select("g_lat", "g_lon", *AXES, *_cells(edge))
+    names = [f"c_{c}" for c in AXES]
+    held = by_cell.groupBy(*names).agg(F.min(F.struct(*AXES)).alias("one"))
+    # At most 4 pi / edge^2 squares, each in a few cells: some thousand at the last edge, kept as one value.
+    cells = held.agg(F.collect_list(F.struct(*names, "one"))).scalar()
+
+    def gap(cell: Column) -> Column:
+        beyond = [F.greatest(cell[f"c_{c}"] * edge - F.col(c), F.col(c) - (cell[f"c_{c}"] + 1) * edge, F.lit(0.0)) for c in AXES]
+        return sum((x * x for x in beyond), F.lit(0.0))
+
+    def known(cell: Column) -> Column:
+        return sum(((F.col(c) - cell["one"][c]) * (F.col(c) - cell["one"][c]) for c in AXES), F.lit(0.0))
+
+    bounds = points.withColumn("cells", cells).withColumn("most", F.array_min(F.transform("cells", known)))
+    near = bounds.select(
+        "id", "lat", "lon", F.explode(F.filter("cells", lambda cell: gap(cell) <= F.col("most") + 1e-9)).alias("c")
+    ).select("id", "lat", "lon", *(F.col(f"c.{n}") for n in names))
+    placed = places.withColumns(dict(zip(names, _cells(edge)))).drop(*AXES)
+    return _nearest(near.join(placed, names))
 
 
 def reverse_geocode(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Add `place` (country, region, city of the nearest gazetteer entry) to points with id, lat, lon.
 
-    Equi joins on grid cells. A place within the distance to the edge of the 3x3 cells around a point
-    is provably the nearest; points without one go on to coarser cells. Only gazetteer rows are copied
-    to neighbour cells, so a crowded cell of points is streamed, never replicated, and a point keeps
-    one candidate before the shuffle. All rounds aggregate by id and share its partitioning.
+    Equi joins on cells in space. A place no further than a cell's edge lies in one of the 27 cells around a
+    point, so the nearest of those is the nearest of all; points without one go on to wider cells, and only they
+    do. Places are copied, points never. What is left after the widest cells goes through `_far`.
     """
-    places = gazetteer.select(
-        F.col("place_id").alias("g_id"), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"),
-        F.struct("country", "region", "city").alias("place"),
-    )
-    wrapped = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0
-    empty = F.lit(None).cast("struct<angle:double,g_id:bigint,place:struct<country:string,region:string,city:string>>")
-    state = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        "id", "lat", wrapped.alias("lon"), empty.alias("best")
+    places = _on_sphere(
+        gazetteer.select(
+            F.col("place_id").alias("g_id"), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"),
+            F.struct("country", "region", "city").alias("place"),
+        ).where("g_lat is not null and g_lon is not null"),
+        "g_lat", "g_lon",
     )
-    for size in CELL_SIZES:
-        open_point = F.col("best").isNull()
-        cells = state.withColumn("c_lat", F.when(open_point, _cell(F.col("lat"), size, 90.0))).withColumn(
-            "c_lon", F.pmod(_cell(F.col("lon"), size, 180.0), F.lit(int(360 / size)))
-        )
-        angle = haversine(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon"))
-        offer = F.when(F.col("g_id").isNotNull(), F.struct(angle.alias("angle"), "g_id", "place"))
-        nearest = cells.join(_neighbourhood(places, size), ["c_lat", "c_lon"], "left").groupBy("id").agg(
-            F.any_value("lat").alias("lat"), F.any_value("lon").alias("lon"),
-            F.any_value("best").alias("best"), F.min(offer).alias("offer"),
-        )
-        reach = F.lit(180.0) if size == CELL_SIZES[-1] else F.least(
-            F.lit(size), F.degrees(F.asin(F.sin(F.radians(F.lit(size))) * F.cos(F.radians("lat"))))
-        )
-        proven = F.when(F.degrees("offer.angle") <= reach, F.col("offer"))
-        state = nearest.select("id", "lat", "lon", F.coalesce("best", proven).alias("best"))
-    answers = state.select("id", F.col("best.place").alias("place"), F.col("best.angle").alias("angle"))
+    open_points = cut_lineage(_on_sphere(
+        points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", "lat", "lon"), "lat", "lon"
+    ))
+    answers = None
+    for edge in CELL_EDGES:
+        joined = open_points.select("*", *_cells(edge)).join(_around(places, edge), [f"c_{c}" for c in AXES])
+        settled = cut_lineage(_nearest(joined).where(F.col("best.angle") <= 2 * math.asin(edge / 2)))
+        answers = settled if answers is None else answers.unionByName(settled)
+        open_points = open_points.join(settled.select("id"), "id", "left_anti")
+    answers = answers.unionByName(_far(cut_lineage(open_points), places, CELL_EDGES[-1]))
+    answers = answers.select("id", F.col("best.place").alias("place"), F.col("best.angle").alias("angle"))
     return points.join(answers, "id", "left")

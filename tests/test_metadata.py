@@ -72,3 +72,28 @@ def test_nearest_place_equals_brute_force(spark):
     assert got[1004]["place"] is None and len(got) == len(points)
     for p in points[:-1]:
         assert got[p[0]]["angle"] == pytest.approx(min(angle(p, g) for g in places), abs=1e-9)
+
+
+def test_nearest_place_equals_brute_force(spark):
+    rng = random.Random(2)
+    places = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(400)]
+    places += [(1000 + i, 48 + rng.random() / 50, 2 + rng.random() / 50) for i in range(400)] + [(2000, 90.0, 0.0), (2001, 0.0, 180.0)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(100)]
+    points += [(200 + i, 48 + rng.random() / 40, 2 + rng.random() / 40) for i in range(100)]
+    points += [(400, -90.0, 5.0), (401, 89.99, -170.0), (402, 0.01, -179.999)]
+
+    def angle(a, b):
+        la, lo, ma, mo = map(math.radians, (a[1], a[2], b[1], b[2]))
+        h = math.sin((ma - la) / 2) ** 2 + math.cos(la) * math.cos(ma) * math.sin((mo - lo) / 2) ** 2
+        return 2 * math.asin(math.sqrt(min(1.0, h)))
+
+    for known in (places, places[:3], places[:1]):
+        pts = spark.createDataFrame(points, "id long, lat double, lon double")
+        gaz = spark.createDataFrame(
+            [(i, la, lo, "c", "r", str(i)) for i, la, lo in known],
+            "place_id long, lat double, lon double, country string, region string, city string",
+        )
+        for r in reverse_geocode(pts, gaz).collect():
+            point = next(p for p in points if p[0] == r["id"])
+            assert abs(r["angle"] - min(angle(point, q) for q in known)) < 1e-9
+            assert abs(angle(point, next(q for q in known if str(q[0]) == r["place"]["city"])) - r["angle"]) < 1e-9
