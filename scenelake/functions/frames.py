@@ -96,8 +96,29 @@ def token_set_similarity(left: str | None, right: str | None) -> float:
 
 
 def token_set_ratio(left: Column, right: Column) -> Column:
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    score.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(score, "double")(left, right)
+    """`token_set_similarity` as a column. Only the longest common subsequence of what two word sets don't share
+    is left to Python, and only where nothing simpler decides."""
+    words = lambda text: F.array_distinct(
+        F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    )
+    ours, theirs = words(left), words(right)
+    joined = lambda found: F.array_join(F.array_sort(found), " ")
+    shared, mine, yours = F.array_intersect(ours, theirs), F.array_except(ours, theirs), F.array_except(theirs, ours)
+    empty = (F.size(ours) == 0) | (F.size(theirs) == 0)
+    held = (F.size(shared) > 0) & ((F.size(mine) == 0) | (F.size(yours) == 0))
+    compared = ~empty & ~held
+
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else common_subsequence(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+    common.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    run = F.pandas_udf(common, "bigint")(F.when(compared, joined(mine)), F.when(compared, joined(yours)))
+    base, a, b = (F.length(joined(x)) for x in (shared, mine, yours))
+    gap = F.when(base > 0, 1).otherwise(0)
+    whole_a, whole_b = base + gap + a, base + gap + b
+    likeness = lambda edits, length: 100.0 * (1 - edits / length)
+    best = F.greatest(
+        likeness(a + b - 2 * run, whole_a + whole_b),
+        F.when(base > 0, likeness(gap + a, base + whole_a)), F.when(base > 0, likeness(gap + b, base + whole_b)),
+    )
+    return F.when(empty, 0.0).when(held, 100.0).otherwise(best)

@@ -58,6 +58,17 @@ def semantic_duplicates(
     ).drop("previous")
 
 
+def mark_semantic_duplicates(
+    scene: DataFrame, ratio: float = SEMANTIC_DUPLICATE_RATIO, chunk_seconds: float = 3600.0
+) -> DataFrame:
+    """Scenes with the flag in their metadata; scenes without metadata stay without."""
+    flagged = semantic_duplicates(scene, ratio, chunk_seconds)
+    return flagged.withColumn(
+        "metadata",
+        F.when(F.col("metadata").isNotNull(), F.col("metadata").withField("semantic_duplicate", F.col("semantic_duplicate"))),
+    ).select(*scene.columns)
+
+
 def _with_analysis(scene: DataFrame, values: dict[str, Column]) -> Column:
     kind = scene.schema["metadata"].dataType
     old = F.col("metadata")

@@ -68,7 +68,26 @@ def segment_resume(c: Catalog) -> DataFrame:
     return _shown(closed.unionByName(seg.closed_scenes(late)))
 
 
-@query("semantic_duplicates")
+# Longest common subsequence by diagonals of its table: all cells of one follow from the two before. Cells beyond
+# the ends of a text compare with nothing and so change nothing.
+_ALIKE = {
+    "before": "select id, asset_id, description as t, lag(description) over (partition by asset_id order by start_ts, id) as p from scene",
+    "sets": r"""select *, list_distinct(list_filter(string_split_regex(p,'\s+'), lambda x: x<>'')) as wp, list_distinct(list_filter(string_split_regex(t,'\s+'), lambda x: x<>'')) as wt
+from before where length(p)>0 and length(t)>0 and p<>t""",
+    "parts": """select id, wp, wt, list_filter(wp, lambda x: list_contains(wt,x)) as both_, array_to_string(list_sort(list_filter(wp, lambda x: not list_contains(wt,x))),' ') as a,
+  array_to_string(list_sort(list_filter(wt, lambda x: not list_contains(wp,x))),' ') as b, length(array_to_string(list_filter(wp, lambda x: list_contains(wt,x)),' ')) as base from sets""",
+    "todo": "select id, string_split(a,'') as ca, string_split(b,'') as cb, length(a) as n, length(b) as m from parts where len(wp)>0 and len(wt)>0 and not (len(both_)>0 and (a='' or b=''))",
+    "diag": """select id, ca, cb, n, m, 1 as d, [0,0] as p1, [0] as p2 from todo
+union all select id, ca, cb, n, m, d+1, [0]||list_transform(range(1,d+1), lambda i: case when ca[i]=cb[d+1-i] then p2[i]+1 else greatest(p1[i],p1[i+1]) end)||[0], p1 from diag where d<n+m""",
+    "alike": """select id, case when len(wp)=0 or len(wt)=0 then 0.0::double when len(both_)>0 and (a='' or b='') then 100.0::double
+  else greatest(100.0*(1-(length(a)+length(b)-2*p1[n+1])::double/(2*(base+(base>0)::int)+length(a)+length(b))),
+    case when base>0 then 100.0*(1-(1+length(a))::double/(2*base+1+length(a))) end, case when base>0 then 100.0*(1-(1+length(b))::double/(2*base+1+length(b))) end) end as s
+from parts left join (select * from diag where d=n+m) using (id)""",
+}
+
+
+@query("semantic_duplicates", f"""select id, asset_id, round(sim,4) as similarity, coalesce(sim>{vision.SEMANTIC_DUPLICATE_RATIO},false) as semantic_duplicate
+from (select b.id, asset_id, case when p=t and length(t)>0 then 100.0::double else s end as sim from before b left join alike using (id)) q""", _ALIKE)
 def semantic_duplicates(c: Catalog) -> DataFrame:
     """Scenes with their likeness to the scene before."""
     rows = vision.semantic_duplicates(c.scene)

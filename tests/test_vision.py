@@ -89,3 +89,12 @@ def test_value_sets(spark):
     from scenelake.schemas import METADATA_STATUSES
 
     assert [r[0] for r in invalid_rows(df, "metadata_status", METADATA_STATUSES).collect()] == ["odd"]
+
+
+def test_semantic_duplicates_are_marked_in_the_metadata(spark):
+    c = open_catalog(spark, SF)
+    flags = {r["id"]: r["semantic_duplicate"] for r in vision.semantic_duplicates(c.scene).collect()}
+    marked = vision.mark_semantic_duplicates(c.scene)
+    assert marked.columns == c.scene.columns and marked.count() == c.scene.count()
+    for r in marked.select("id", "metadata").collect():
+        assert r["metadata"] is None or r["metadata"]["semantic_duplicate"] == flags[r["id"]]
