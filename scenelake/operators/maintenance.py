@@ -66,15 +66,28 @@ def file_totals(files: DataFrame) -> DataFrame:
 
 
 def missing_sources(
-    asset: DataFrame, library: DataFrame, project_assets: DataFrame, source_files: DataFrame
+    asset: DataFrame, library: DataFrame, project_assets: DataFrame, source_files: DataFrame,
+    unreadable: DataFrame | None = None,
 ) -> DataFrame:
-    """Live assets whose file is gone or lies outside its library; project members are protected."""
+    """Live assets whose file is gone or lies outside its library; project members are protected.
+
+    `unreadable` (library_id, path) are folders that the inventory could not list: assets below them are not
+    known to be gone and are left out. An empty path is the root, hence the whole library.
+    """
     roots = live_libraries(library).select(F.col("slug").alias("library_id"), "absolute_path")
     known = asset_paths(asset, library, project_assets).join(roots, "library_id")
     present = source_files.select("library_id", "rel_path", F.lit(True).alias("present"))
     checked = known.join(present, ["library_id", "rel_path"], "left")
     outside = escapes_root(F.col("absolute_path"), F.col("rel_path"))
     gone = checked.where(F.col("present").isNull() | outside)
+    if unreadable is not None:
+        parts = F.split("rel_path", "/")
+        above = F.transform(
+            F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
+        )
+        closed = unreadable.select("library_id", F.col("path").alias("folder"))
+        hidden = gone.withColumn("folder", F.explode(above)).join(closed, ["library_id", "folder"], "left_semi")
+        gone = gone.join(hidden.select("id"), "id", "left_anti")
     return gone.select("id", "library_id", "rel_path", F.col("is_in_project").alias("protected"))
 
 

@@ -111,3 +111,40 @@ def test_filters_and_partitions_reach_the_files(spark):
     assert "PartitionFilters: [isnotnull(index_name" in plan
     plan = plan_of(rk.bm25_scores(c.documents, {"the": 1, "of": 1}, True, c.postings))
     assert "In(term, [of,the])" in plan
+
+
+def test_unreadable_folders_are_rows_and_hide_what_is_below(spark, tmp_path):
+    from scenelake.operators.maintenance import missing_sources
+    from scenelake.sources import inventory
+
+    with pytest.raises(FileNotFoundError):
+        inventory.list_files(spark, str(tmp_path / "none"))
+    taken = inventory.take_inventory(spark, str(tmp_path / "none"))
+    assert taken.files.isEmpty() and [r["path"] for r in taken.unreadable.collect()] == [""]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jpg").write_text("x")
+    whole = inventory.take_inventory(spark, str(tmp_path / "in"))
+    assert [r["path"] for r in whole.files.collect()] == ["a.jpg"] and whole.unreadable.isEmpty()
+    c = open_catalog(spark, SF)
+    nothing = c.source_file.where("false")
+    gone = missing_sources(c.asset, c.library, c.project_assets, nothing)
+    one = gone.where("rel_path like '%/%'").first()
+    folder = one["rel_path"].rsplit("/", 1)[0]
+    closed = spark.createDataFrame([(one["library_id"], folder)], "library_id string, path string")
+    left = missing_sources(c.asset, c.library, c.project_assets, nothing, closed)
+    below = (F.col("library_id") == one["library_id"]) & F.col("rel_path").startswith(folder + "/")
+    assert left.where(below).isEmpty() and left.count() == gone.where(~below).count()
+    root = spark.createDataFrame([(one["library_id"], "")], "library_id string, path string")
+    assert missing_sources(c.asset, c.library, c.project_assets, nothing, root).where(
+        F.col("library_id") == one["library_id"]
+    ).isEmpty()
+
+
+def test_a_folder_that_cannot_be_listed(monkeypatch):
+    from scenelake.sources import inventory
+
+    def refuse(path):
+        raise PermissionError("no")
+
+    monkeypatch.setattr(inventory.os, "scandir", refuse)
+    assert list(inventory._entries("/x/y")) == [("/x/y", None, None, None, "no")]
