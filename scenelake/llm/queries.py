@@ -6,6 +6,7 @@ from scenelake.llm.bpe import op1_byte_bpe
 from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
 from scenelake.llm.ngram_join import op9_ngram_jaccard_join
+from scenelake.llm.oracles import ORACLES
 from scenelake.llm.quality import op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
 from scenelake.llm.toxicity import op7_toxicity
@@ -13,6 +14,8 @@ from scenelake.llm.urls import op8_url_filters
 from scenelake.llm.vectors import op5_exact_top_k
 from scenelake.llm.warc import op4_warc
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
@@ -25,4 +28,3 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
