@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.paths import has_media_suffix, join_path
@@ -71,18 +71,26 @@ def browse(
     rows = live_assets(asset, library, slug)
     if types:
         rows = rows.where(F.col("type").isin(list(types)))
+    return rows.orderBy(*_ordering(sort_by, order)).offset(offset).limit(limit)
+
+
+def _ordering(sort_by: str, order: str) -> list[Column]:
     *leading, last = SORT_COLUMNS[sort_by]
-    final = F.col(last).asc() if order == "asc" else F.col(last).desc()
-    return rows.orderBy(*leading, final, "id").offset(offset).limit(limit)
+    return [*map(F.col, leading), F.col(last).asc() if order == "asc" else F.col(last).desc(), F.col("id")]
 
 
 def browse_page(
-    asset: DataFrame, library: DataFrame, slug: str, limit: int = 50, offset: int = 0, **listing
+    asset: DataFrame, library: DataFrame, slug: str, sort_by: str = "date", order: str = "desc",
+    types: Iterable[str] | None = None, limit: int = 50, offset: int = 0,
 ) -> DataFrame:
-    """A page whose rows tell, in `has_more`, whether another one follows."""
-    page = browse(asset, library, slug, limit=limit, offset=offset, **listing)
-    following = browse(asset, library, slug, limit=1, offset=offset + limit, **listing)
-    return page.withColumn("has_more", following.agg(F.count("*") > 0).scalar())
+    """A page whose rows tell, in `has_more`, whether another one follows: one row more is fetched and left out.
+    The window holds that page only."""
+    rows = browse(asset, library, slug, sort_by, order, types, limit + 1, offset)
+    place = Window.orderBy(*_ordering(sort_by, order))
+    numbered = rows.withColumn("__n", F.row_number().over(place)).withColumn(
+        "has_more", F.count("*").over(Window.partitionBy(F.lit(0))) > limit
+    )
+    return numbered.where(F.col("__n") <= limit).drop("__n")
 
 
 def assets_of_library(

@@ -18,7 +18,7 @@ from scenelake.functions import exif
 from scenelake.functions.paths import suffix
 from scenelake.operators.geo import reverse_geocode
 from scenelake.operators.workers import latest_heartbeat
-from scenelake.session import shared_folder, store
+from scenelake.session import run_folder, store
 from scenelake.sources.search_docs import (
     build_documents, build_postings, read_documents, with_index, write_documents, write_postings,
 )
@@ -298,7 +298,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.root = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+        self.root = f"{run_folder(spark)}/catalog-{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
 
     def flat(self, name: str) -> DataFrame:
@@ -308,9 +308,9 @@ class Catalog:
             _fill(with_tables(f"select * from {name}"), {**refs, "ts_us": _SPARK_TS})
         )
 
-    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _stored(self, name: str, build: Callable[[], DataFrame], order: tuple[str, ...] = ()) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = store(build(), f"{self.root}/{name}")
+            self._tables[name] = store(build(), f"{self.root}/{name}", order)
         return self._tables[name]
 
     @property
@@ -354,7 +354,7 @@ class Catalog:
 
     @property
     def asset(self) -> DataFrame:
-        return self._stored("asset", self._asset)
+        return self._stored("asset", self._asset, ("library_id", "id"))
 
     def _asset(self) -> DataFrame:
         analysis = F.when(
@@ -377,7 +377,7 @@ class Catalog:
 
     @property
     def scene(self) -> DataFrame:
-        return self._stored("scene", self._scene)
+        return self._stored("scene", self._scene, ("asset_id", "start_ts"))
 
     def _scene(self) -> DataFrame:
         analysis = F.struct(

@@ -55,22 +55,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; `clean_up` deletes it."""
+    return f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the interim and derived tables of this application. Call it when a job's results are written:
+    what was read from them can't be computed again afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an interim result to the shared folder and go on from there.
 
     A lost executor then costs a re-read instead of recomputing every step before, and unlike an RDD
     checkpoint the rows are computed once.
     """
-    path = f"{shared_folder(df.sparkSession)}/interim-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/interim-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
+def store(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> DataFrame:
     """Write a table once, in evenly sized files, and read it back.
 
     What is read back has known file sizes and column statistics, so later plans prune columns, push
-    filters down and broadcast small tables on their own.
+    filters down and broadcast small tables on their own. With `order` files hold ranges of these columns, so
+    filters on the leading ones leave out files and row groups.
     """
-    df.hint("rebalance").write.mode("errorifexists").parquet(path)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df.hint("rebalance")
+    dealt.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -88,11 +88,13 @@ def write_documents(docs: DataFrame, path: str, batch_id: str) -> None:
     Rebalancing gathers each index's rows and splits a large index over as many tasks as it needs.
     """
     counted = docs.withColumn("n_words", n_words(docs)).hint("rebalance", "index_name")
-    _replace_batch(counted, path, batch_id)
+    _replace_batch(counted, path, batch_id, ["id"])
 
 
-def _replace_batch(rows: DataFrame, path: str, batch_id: str) -> None:
-    rows.withColumn("batch_id", F.lit(f"b{batch_id}")).write.mode("overwrite").option(
+def _replace_batch(rows: DataFrame, path: str, batch_id: str, order: list[str]) -> None:
+    """Replace a batch's partitions, each file sorted by `order`."""
+    named = rows.withColumn("batch_id", F.lit(f"b{batch_id}"))
+    named.sortWithinPartitions("index_name", "batch_id", *order).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("index_name", "batch_id").parquet(path)
 
@@ -136,8 +138,7 @@ def write_postings(postings: DataFrame, path: str, batch_id: str) -> None:
 
     The range includes the document, so a word found everywhere is spread over many files.
     """
-    ordered = postings.repartitionByRange("index_name", "term", "id")
-    _replace_batch(ordered.sortWithinPartitions("index_name", "term", "id"), path, batch_id)
+    _replace_batch(postings.repartitionByRange("index_name", "term", "id"), path, batch_id, ["term", "id"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -148,3 +148,10 @@ def test_a_folder_that_cannot_be_listed(monkeypatch):
 
     monkeypatch.setattr(inventory.os, "scandir", refuse)
     assert list(inventory._entries("/x/y")) == [("/x/y", None, None, None, "no")]
+
+
+def test_libraries_are_stored_apart(spark):
+    c = open_catalog(spark, SF)
+    files = c.asset.select(F.input_file_name().alias("f"), "library_id", "id")
+    parts = files.groupBy("f").agg(F.min("library_id").alias("a"), F.max("library_id").alias("b")).orderBy("a", "b").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(parts, parts[1:]))
