@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scenelake.functions.text import cover_rank, parse_query, tokens
 from scenelake.operators import ranking as rk
 from scenelake.operators import search as se
+from scenelake.operators.find import find
 from scenelake.plans import oracle_parts as o
 from scenelake.plans.registry import query
 from scenelake.plans.tables import AS_OF, Catalog
@@ -321,3 +322,35 @@ def index_search_tag(c: Catalog) -> DataFrame:
 def index_search_ocr(c: Catalog) -> DataFrame:
     """Documents of active indexes whose OCR text holds the word."""
     return _scored(rk.routed_search(c.documents, c.policy, c.library, "attion", postings=c.postings, ocr=True))
+
+
+# One entry point.
+
+_SHOWN = f"""asset_id, a.type, case when a.status not in ('pending','processing','failed','poisoned') then '/media/'||library_id||'/thumbnails/'||(asset_id%1000)||'/'||asset_id||'.jpg' end as thumbnail_url,
+  case when a.type='video' and best_rep_frame_path<>'' then '/media/'||best_rep_frame_path end as preview_url, '/media/'||video_preview_path as video_preview_url,
+  a.status, error_message, round(final_rank,6) as final_rank, round(coalesce(match_ratio,0)*100,1) as match_ratio,
+  printf('%02d:%02d', cast(floor(best_scene_ts) as bigint)//60, cast(floor(best_scene_ts) as bigint)%60) as best_scene_ts, best_scene_ts as best_scene_ts_seconds,
+  library_id as library_slug, coalesce(l.name, l.slug) as library_name, {o.BASENAME} as filename"""
+
+
+def _found(c: Catalog, policy: DataFrame, **how) -> DataFrame:
+    rows = find(c.asset, c.scene, c.library, policy, c.documents, c.postings, se.SearchRequest(**how))
+    return rows.withColumn("final_rank", F.round("final_rank", 6))
+
+
+@query("search", f"""select {_SHOWN}, 'index' as searched from (
+  select asset_id, first(start_ts order by score desc, scene_id) as best_scene_ts, null::double as match_ratio, max(score) as final_rank, first(rep order by score desc, scene_id) as best_rep_frame_path
+  from (select d.*, q.score, s.start_ts, coalesce(s.rep_frame_path, i.preview_path) as rep from (select * from bm25 order by score desc, id limit 50) q join bdoc d on d.id=q.id
+    left join scene s on d.id like 'scene_%' and s.id=d.scene_id left join asset i on d.id like 'asset_%' and i.id=d.asset_id) e group by asset_id) h
+join asset a on a.id=h.asset_id join library l on l.slug=a.library_id""", {**_DOCS, **_bm25(
+    f"select * from doc where {_ACTIVE.format('')}", _flat_weights(WORDS), len(WORDS))})
+def search(c: Catalog) -> DataFrame:
+    """Words through the active indexes, shown as assets."""
+    return _found(c, c.policy, query=TEXT).drop("incomplete")
+
+
+@query("search_fallback", f"select {_SHOWN}, 'catalog' as searched from (select * from final order by final_rank desc, asset_id limit 50) q join asset a on a.id=q.asset_id join library l on l.slug=a.library_id",
+       o.hit_ctes(["attion"], o.searchable()))
+def search_fallback(c: Catalog) -> DataFrame:
+    """The same without any index: over the catalog."""
+    return _found(c, c.policy.where("false"), query="attion").drop("incomplete")

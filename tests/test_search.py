@@ -93,3 +93,17 @@ def test_result_rows(tables, spark):
     row = result_rows(hits, asset, library).first()
     assert row["preview_url"] == "/media/f1.jpg" and row["best_scene_ts"] == "00:00"
     assert row["library_name"] == "A" and row["match_ratio"] == 50.0 and row["filename"] == "v.mp4"
+
+
+def test_one_entry_point_routes_and_flags(spark):
+    from scenelake.operators.find import find
+    from scenelake.operators.search import SearchRequest
+    from scenelake.plans.tables import open_catalog
+
+    c = open_catalog(spark, "/root/testdata/sf0.001")
+    tables = (c.asset, c.scene, c.library, c.policy, c.documents, c.postings)
+    by_index = find(*tables, SearchRequest(query="the", limit=10)).collect()
+    assert by_index and {r["searched"] for r in by_index} == {"index"}
+    by_tag = find(*tables, SearchRequest(tag="en", limit=10)).collect()
+    assert {r["searched"] for r in by_tag} <= {"catalog"}
+    assert len({r["incomplete"] for r in by_index}) == 1
