@@ -21,7 +21,7 @@ from scenelake.llm.mixing import take_mix
 from scenelake.llm.ngram_join import JoinParameters, keep_one
 from scenelake.llm.secrets import redact
 from scenelake.llm.toxicity import fit, held_out, reject_toxic
-from scenelake.session import shared_folder
+from scenelake.session import run_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.llm.common import table, text_of
-from scenelake.session import cut_lineage, shared_folder
+from scenelake.session import cut_lineage, run_folder
 
 INDEX = (
     "archive string, offset long, length long, key long, url string, record_type string, digest string, "
@@ -214,7 +214,7 @@ def read_records(index: DataFrame, folder: str, settings: WarcSettings = WarcSet
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/warc-{uuid.uuid4().hex}"
     index = write_archives(table(spark, sf_dir, "pages"), folder)
     records = read_records(index, folder)
     # The digest is that of the payload that was read; a revisit's size is its response's.
