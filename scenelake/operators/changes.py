@@ -175,7 +175,7 @@ def reclaim_leases(asset: DataFrame, as_of: int, slug: str | None = None) -> Dat
         "worker_id": F.lit(None).cast("string"),
         "lease_expires_at": F.lit(None).cast("timestamp"),
         "retry_count": F.when(spent, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
-        "error_message": F.when(spent, "Lease expired (reclaimed)").otherwise(F.col("error_message")),
+        "error_message": F.when(spent, "lease ran out too often").otherwise(F.col("error_message")),
     }
     return _where(asset, _expired(as_of), slug, rules)
 
@@ -304,7 +304,7 @@ def status_after_failure(
 def error_after_failure(stage: Column, error_class: Column, message: Column, retries: Column) -> Column:
     """Stored message: none for a transient error, a note when a video ran out of retries."""
     note = F.concat(
-        message, F.lit("\n\nRetry limit exceeded (retry_count="), retries.cast("string"),
+        message, F.lit("\n\ngave up after too many tries ("), retries.cast("string"),
         F.lit(f" > {MAX_RETRIES})"),
     )
     transient = (error_class == TRANSIENT) & stage.isin("image_analysis", "video_analysis")

@@ -92,9 +92,9 @@ def fleet_health(workers: DataFrame, as_of: int) -> DataFrame:
         )
         .when(
             F.col("stale_count") > 0,
-            F.concat(F.lit("No active workers — last heartbeat was "), idle, F.lit("s ago")),
+            F.concat(F.lit("all workers are stale, the latest seen "), idle, F.lit("s before")),
         )
-        .otherwise("No workers have ever registered")
+        .otherwise("no worker is known")
     )
     return totals.select(
         F.when(F.col("active_count") > 0, "healthy").otherwise("degraded").alias("status"),

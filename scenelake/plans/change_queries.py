@@ -108,7 +108,7 @@ _EXPIRED = f"status='processing' and lease_epoch is not null and lease_epoch<{AS
 @query("reclaim_leases", f"""select id, case when x and retry_count>5 then 'poisoned' when x then 'pending' else status end as status,
   case when not x then worker_id end as worker_id, case when not x then lease_epoch end as lease_epoch,
   case when x and retry_count>5 then retry_count+1 else retry_count end as retry_count,
-  case when x and retry_count>5 then 'Lease expired (reclaimed)' else error_message end as error_message
+  case when x and retry_count>5 then 'lease ran out too often' else error_message end as error_message
 from (select *, coalesce({_EXPIRED}, false) as x from asset) q""")
 def reclaim_leases(c: Catalog) -> DataFrame:
     return _state(ch.reclaim_leases(c.asset, AS_OF))
@@ -202,7 +202,7 @@ def apply_attributes(c: Catalog) -> DataFrame:
 @query("retry_policy", """select id, stage, kind, case when kind='transient' and stage in ('image_analysis','video_analysis') then 'proxied'
   when kind='permanent' or stage='image_analysis' then 'poisoned' when retry_count>5 then 'poisoned' else 'failed' end as status,
   case when kind='transient' and stage in ('image_analysis','video_analysis') then null
-  when stage='video_proxy' and kind<>'permanent' and retry_count>5 then 'oops'||chr(10)||chr(10)||'Retry limit exceeded (retry_count='||retry_count||' > 5)' else 'oops' end as message
+  when stage='video_proxy' and kind<>'permanent' and retry_count>5 then 'oops'||chr(10)||chr(10)||'gave up after too many tries ('||retry_count||' > 5)' else 'oops' end as message
 from (select id, retry_count, case id%4 when 0 then 'image_analysis' when 1 then 'video_analysis' when 2 then 'video_proxy' else 'image_proxy' end as stage,
   case cast(floor(id/4) as bigint)%3 when 0 then 'transient' when 1 then 'permanent' else 'other' end as kind from asset) q""")
 def retry_policy(c: Catalog) -> DataFrame:

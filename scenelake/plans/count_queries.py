@@ -88,8 +88,8 @@ def active_transcodes(c: Catalog) -> DataFrame:
 
 
 @query("fleet_health", f"""select case when a>0 then 'healthy' else 'degraded' end as status,
-  case when a=1 then '1 worker active' when a>0 then a||' workers active' when s>0 then 'No active workers — last heartbeat was '||({AS_OF}-latest)||'s ago'
-  else 'No workers have ever registered' end as detail, a as active_count, s as stale_count
+  case when a=1 then '1 worker active' when a>0 then a||' workers active' when s>0 then 'all workers are stale, the latest seen '||({AS_OF}-latest)||'s before'
+  else 'no worker is known' end as detail, a as active_count, s as stale_count
 from (select count(*) filter (seen_epoch>={AS_OF}-60) as a, count(*) filter (seen_epoch<{AS_OF}-60) as s, max(seen_epoch) as latest from worker) q""")
 def fleet_health(c: Catalog) -> DataFrame:
     return workers.fleet_health(c.worker, AS_OF)

@@ -113,8 +113,8 @@ def test_peers_and_ghosts(spark, asset):
     assert workers.list_workers(ws).collect()[-1]["worker_id"] == "ancient"
     assert workers.fleet(ws, "25").first()["version"] == "25"
     assert workers.fleet_health(ws, NOW).first()["detail"] == "4 workers active"
-    assert workers.fleet_health(ws.where("worker_id = 'ancient'"), NOW).first()["detail"].endswith("90000s ago")
-    assert workers.fleet_health(ws.limit(0), NOW).first()["detail"] == "No workers have ever registered"
+    assert workers.fleet_health(ws.where("worker_id = 'ancient'"), NOW).first()["detail"].endswith("90000s before")
+    assert workers.fleet_health(ws.limit(0), NOW).first()["detail"] == "no worker is known"
 
 
 def test_preview_counts_what_the_clean_up_takes(spark, asset, library):

@@ -66,7 +66,7 @@ def test_reclaim(spark):
     )
     rows = by_id(ch.reclaim_leases(df, NOW))
     assert (rows[1]["status"], rows[1]["retry_count"]) == ("poisoned", 7)
-    assert rows[1]["error_message"] == "Lease expired (reclaimed)"
+    assert rows[1]["error_message"] == "lease ran out too often"
     assert (rows[2]["status"], rows[2]["retry_count"], rows[2]["worker_id"]) == ("pending", 5, None)
     assert rows[3]["status"] == rows[4]["status"] == "processing"
     assert by_id(ch.reclaim_leases(df, NOW, slug="other"))[1]["status"] == "processing"
