@@ -139,6 +139,21 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(cd,6) as class_distance, round(wd,6) as word_distance from judged"""
 
 
+def _quality_listed(rules: quality.QualityRules = quality.QualityRules()) -> str:
+    listed = "[" + ",".join(f"'{w}'" for w in rules.words) + "]"
+    return f"""with base as ({_quality(rules)}),
+words as (select doc_id, lang, {WORDS} as ws from documents),
+own as (select doc_id, lang, ws, list_transform({listed}, lambda w: len(list_filter(ws, lambda x: x=w)))::bigint[] as h from words),
+at_ as (select doc_id, lang, unnest(h) as n, generate_subscripts(h,1) as i from own),
+ref as (select lang, i, sum(n)/sum(sum(n)) over (partition by lang) as q from at_ where lang is not null group by lang, i),
+share as (select doc_id, i, n/nullif(sum(n) over (partition by doc_id),0) as p from at_),
+near as (select doc_id, min(d) as d from (select doc_id, r.lang, sqrt(greatest(0,sum(coalesce(p*log2(nullif(p,0)/((p+q)/2)),0)+coalesce(q*log2(nullif(q,0)/((p+q)/2)),0))/2)) as d
+  from share join ref r using (i) where p is not null group by all) x group by 1),
+all_ as (select b.doc_id, b.n_words, list_sum(o.h)::bigint as n_listed, b.kept as kept_histograms, n.d from base b join own o using (doc_id) left join near n using (doc_id))
+select doc_id, n_words, n_listed, kept_histograms, kept_histograms and not 100*(n_listed+{rules.listed_slack})<{rules.min_listed_percent}*n_words
+  and not coalesce(n_listed>={rules.min_listed} and d>{rules.max_listed_distance!r},false) as kept, round(d,6) as listed_distance from all_"""
+
+
 ORACLES = {
     "op2_mixing": _mixing(),
     "op3_secret_scans": _secrets(),
@@ -146,4 +161,5 @@ ORACLES = {
     "op5_exact_top_k": TOP_K,
     "op9_ngram_jaccard_join": JOIN,
     "op10_quality_rules": _quality(),
+    "op10_quality_listed": _quality_listed(),
 }

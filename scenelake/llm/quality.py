@@ -5,6 +5,9 @@ reference languages by Jensen-Shannon distance (base 2, so 0 to 1). The referenc
 the histograms over all texts that declare it. A text is rejected if it lies far from every language, in a
 histogram that holds enough for the distance to mean something (the minimum-length guards).
 
+Most words of any text are in the last bin of the common-word histogram, which keeps its distance small. So the
+common words are also compared among themselves, and their share of a text has a limit of its own.
+
 Everything is an expression over one row but for the references, one grouped sum.
 """
 
@@ -44,6 +47,9 @@ class QualityRules:
     `window`: words a repeated passage has at least. `min_words`, `max_repeat_percent`: base rules.
     `max_class_distance`, `max_word_distance`: largest Jensen-Shannon distance to the nearest language.
     `min_chars`, `min_words_compared`: a shorter text isn't held against the histogram.
+    `min_listed_percent`, `listed_slack`: a text has at least this share of common words, less the slack, so that
+    texts of some 38 words on can fail. `max_listed_distance`: largest distance of the common words among
+    themselves to the nearest language, in a text with `min_listed` of them.
     """
 
     window: int = 8
@@ -54,6 +60,10 @@ class QualityRules:
     min_chars: int = 200
     min_words_compared: int = 200
     words: tuple[str, ...] = field(default_factory=lambda: tuple(dict.fromkeys(COMMON_WORDS.split())))
+    min_listed_percent: int = 8
+    listed_slack: int = 3
+    max_listed_distance: float = 0.75
+    min_listed: int = 20
 
 
 def _repeated_words(words: Column, window: int) -> Column:
@@ -199,7 +209,8 @@ def _nearest(histogram: str, references: list[list[float]]) -> Column:
 
 
 def quality_verdicts(counts: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """`counts` with `base_failed`, both distances and `kept`.
+    """`counts` with `base_failed`, the distances, `n_listed` (common words) and two verdicts: `kept` by the base
+    rules and the two histograms, `kept_listed` by the rules for common words too.
 
     Without any declared language there is no reference: distances are null and only the base rules hold.
     """
@@ -208,25 +219,39 @@ def quality_verdicts(counts: DataFrame, rules: QualityRules = QualityRules()) ->
     # At least two values under array_min and friends keep one plan for any number of languages.
     class_distance = _nearest("classes", [r[0] for r in references]) if references else nothing
     word_distance = _nearest("commons", [r[1] for r in references]) if references else nothing
+    listed = [[x / sum(r[1][:-1]) for x in r[1][:-1]] for r in references if sum(r[1][:-1]) > 0]
+    listed_distance = _nearest("listed", listed) if listed else nothing
     base_failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     odd_classes = (chars >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance)
     odd_words = (F.col("n_words") >= rules.min_words_compared) & (F.col("word_distance") > rules.max_word_distance)
+    few_listed = F.lit(100) * (F.col("n_listed") + rules.listed_slack) < rules.min_listed_percent * F.col("n_words")
+    odd_listed = (F.col("n_listed") >= rules.min_listed) & (F.col("listed_distance") > rules.max_listed_distance)
     return (
-        counts.withColumns({"class_distance": class_distance, "word_distance": word_distance, "base_failed": base_failed})
+        counts.withColumn("listed", F.slice("commons", 1, len(rules.words)))
+        .withColumns({
+            "class_distance": class_distance, "word_distance": word_distance, "base_failed": base_failed,
+            "n_listed": F.aggregate("listed", F.lit(0).cast("long"), lambda a, x: a + x),
+            "listed_distance": listed_distance,
+        })
         .withColumn(
             "kept",
             ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)),
         )
+        .withColumn(
+            "kept_listed",
+            F.col("kept") & ~((few_listed & bool(listed)) | F.coalesce(odd_listed, F.lit(False))),
+        )
+        .drop("listed")
     )
 
 
 def judge_quality(
     docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", key: str = "doc_id", lang: str = "lang"
 ) -> DataFrame:
-    """A row per document: key, counts, `base_failed`, distances and `kept`.
+    """A row per document: key, counts, `base_failed`, distances, `kept` and `kept_listed`.
 
     Null and empty texts have no words and fail the base rules; null keys and languages stay; repeated rows are
     judged each; an empty table gives an empty result. Only the three named columns are read. The counts are
@@ -242,3 +267,12 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
+
+
+def op10_quality_listed(spark, sf_dir: str) -> DataFrame:
+    """The verdict by all rules, those for common words among them."""
+    judged = judge_quality(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "n_listed", F.col("kept").alias("kept_histograms"), F.col("kept_listed").alias("kept"),
+        F.round("listed_distance", 6).alias("listed_distance"),
+    )

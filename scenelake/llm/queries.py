@@ -7,7 +7,7 @@ from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
 from scenelake.llm.ngram_join import op9_ngram_jaccard_join
 from scenelake.llm.oracles import ORACLES
-from scenelake.llm.quality import op10_quality_rules
+from scenelake.llm.quality import op10_quality_listed, op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
 from scenelake.llm.toxicity import op7_toxicity
 from scenelake.llm.urls import op8_url_filters
@@ -27,4 +27,5 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op10_quality_listed": op10_quality_listed,
 }

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import struct
 
@@ -169,6 +170,20 @@ def test_far_from_every_language_is_rejected(spark):
     assert not kept[99] and all(kept[i] for i in range(20))
 
 
+def test_fluent_text_without_common_words_is_rejected(spark):
+    rng = random.Random(4)
+    common = "the and of to in is it for that with was be on as".split()
+    strange = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(5, 9)))
+    text = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else strange() for _ in range(n))
+    rows = [(i, text(60 + 20 * i, 0.2), "en") for i in range(30)]
+    rows += [(90, text(500, 0), None), (91, text(60, 0), "en"), (92, " ".join(strange() if i % 5 else "como" for i in range(500)), None)]
+    got = {r["doc_id"]: r for r in quality.judge_quality(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept_listed"] for i in range(30))
+    # The two histograms let all three through.
+    assert [(got[i]["kept"], got[i]["kept_listed"]) for i in (90, 91, 92)] == [(True, False)] * 3
+
+
 def examples():
     toxic = [f"you are a moron and pathetic number {i} " * (1 + i % 3) for i in range(30)]
     clean = [f"a quiet morning by the sea number {i} " * (1 + i % 4) for i in range(60)]
