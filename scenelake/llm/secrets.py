@@ -4,7 +4,8 @@ A candidate is a run of at least `window` characters of the base-64 alphabets th
 slides over it; counts of its characters, and with them the sum of c * log2(c) that gives Shannon's entropy,
 change by one character in and one out. Each character class (hexadecimal, capitals and digits, base 64) has
 its own limit. Sums are whole numbers (units of 2^-20 bits), so no rounding depends on an engine or an order.
-Windows over the limit merge to spans; candidates on the allow-list are left out.
+What the allow-list matches, and '=' between two parts, cut a candidate to tokens. A window lies within one token,
+and one over the limit makes the whole token a span.
 
 All of it are expressions over one row: no shuffle, and no row leaves the JVM.
 """
@@ -27,17 +28,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 HEX_PLACES = [ALPHABET.index(c) + 1 for c in "0123456789abcdefABCDEF"]
+LOWER_PLACES = [ALPHABET.index(c) + 1 for c in "abcdefghijklmnopqrstuvwxyz"]
 UPPER_PLACES = [ALPHABET.index(c) + 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
 DIGIT_PLACES = [ALPHABET.index(c) + 1 for c in "0123456789"]
 SCALE = 1 << 20
 
+# Fixed value: parts of a path that look like words, behind what is allowed of it.
+WORD_PARTS = r"(?:(?<=/)(?:[A-Za-z_-]{1,19}[0-9]{0,3}(?:/|$))*)?"
+
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
 @dataclass(frozen=True)
 class EntropyRules:
     """`window`: characters in a window. The limits are bits a character, the least for a secret.
-    `allowed`: a candidate in which one of these patterns is found is no secret."""
+    `mixed_bits`: of windows with capitals, small letters and digits; 0.3 % of random ones lie below.
+    `allowed`: what one of these patterns matches in a candidate is no secret; what stands beside it is judged."""
 
     window: int = 20
     hex_bits: float = 2.9
@@ -48,11 +54,18 @@ class EntropyRules:
         r"(?i)example|placeholder|x{6}|0123456789|abcdefghij",
         r"^/?([A-Za-z_-]{2,}/){3}",
     )
+    mixed_bits: float = 3.55
 
     def most(self, bits: float) -> int:
         """Largest sum of c * log2(c) of a window with at least so many bits a character."""
         return math.floor(self.window * (math.log2(self.window) - bits) * SCALE)
 
+    @property
+    def cuts(self) -> str:
+        """Pattern of what stands between the tokens of a candidate."""
+        whole_first = sorted(self.allowed, key=lambda a: not a.startswith("^"))
+        return "|".join([*(f"(?:{a}){WORD_PARTS}" for a in whole_first), "=(?=[^=])"])
+
     @property
     def gains(self) -> list[int]:
         """What the sum gains when the count of a character goes from i to i + 1."""
@@ -79,11 +92,11 @@ def _places(text: Column, pattern: str, found: Column, kind: int) -> Column:
     )
 
 
-def _windows(candidate: Column, rules: EntropyRules) -> Column:
-    """Spans within a candidate that its windows of high entropy cover."""
+def _is_high(token: Column, rules: EntropyRules) -> Column:
+    """Whether one of the token's windows is of high entropy."""
     w = rules.window
     gains = F.array(*map(F.lit, rules.gains))
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     moves = let(codes, lambda c: F.zip_with(
         c,
         F.slice(F.concat(F.array_repeat(F.lit(0), w), c), 1, F.size(c)),
@@ -91,8 +104,8 @@ def _windows(candidate: Column, rules: EntropyRules) -> Column:
     ))
     start = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"),
-        F.lit(0).alias("hex"), F.lit(0).alias("upper"), F.lit(0).alias("digits"), F.lit(0).alias("end"),
-        F.array().cast(f"array<{SPAN}>").alias("spans"),
+        F.lit(0).alias("hex"), F.lit(0).alias("upper"), F.lit(0).alias("lower"), F.lit(0).alias("digits"),
+        F.lit(0).alias("end"), F.lit(False).alias("high"),
     )
 
     def change(x: Column, places: list[int]) -> Column:
@@ -110,6 +123,7 @@ def _windows(candidate: Column, rules: EntropyRules) -> Column:
             (acc["sum"] + F.when(x["came"] == x["left"], 0).otherwise(gained - lost)).alias("sum"),
             (acc["hex"] + change(x, HEX_PLACES)).alias("hex"),
             (acc["upper"] + change(x, UPPER_PLACES)).alias("upper"),
+            (acc["lower"] + change(x, LOWER_PLACES)).alias("lower"),
             (acc["digits"] + change(x, DIGIT_PLACES)).alias("digits"),
             (acc["end"] + 1).alias("end"),
         )
@@ -118,28 +132,19 @@ def _windows(candidate: Column, rules: EntropyRules) -> Column:
             most = (
                 F.when(m["hex"] == w, rules.most(rules.hex_bits))
                 .when(m["upper"] == w, rules.most(rules.upper_bits))
+                .when((m["lower"] > 0) & (m["upper"] > m["digits"]), rules.most(rules.mixed_bits))
                 .otherwise(rules.most(rules.base64_bits))
             )
             high = (m["end"] >= w) & (m["digits"] > 0) & (m["digits"] < w) & (m["sum"] <= most)
-            spans, last = acc["spans"], F.get(acc["spans"], F.size(acc["spans"]) - 1)
-            begin = m["end"] - w
-            joins = F.coalesce(last["end"] >= begin, F.lit(False))
-            grown = F.concat(
-                F.slice(spans, 1, F.greatest(F.size(spans) - joins.cast("int"), F.lit(0))),
-                F.array(F.struct(
-                    F.when(joins, last["start"]).otherwise(begin).alias("start"),
-                    F.lit(KINDS.index("entropy")).alias("kind"), m["end"].alias("end"),
-                )),
-            )
             return F.struct(
-                m["counts"].alias("counts"), m["sum"].alias("sum"), m["hex"].alias("hex"),
-                m["upper"].alias("upper"), m["digits"].alias("digits"), m["end"].alias("end"),
-                F.when(high, grown).otherwise(spans).alias("spans"),
+                m["counts"].alias("counts"), m["sum"].alias("sum"), m["hex"].alias("hex"), m["upper"].alias("upper"),
+                m["lower"].alias("lower"), m["digits"].alias("digits"), m["end"].alias("end"),
+                (acc["high"] | high).alias("high"),
             )
 
-        return let(moved, judged)
+        return F.when(acc["high"], acc).otherwise(let(moved, judged))
 
-    return F.aggregate(moves, start, step, lambda acc: acc["spans"])
+    return F.aggregate(moves, start, step, lambda acc: acc["high"])
 
 
 def _entropy_spans(text: Column, rules: EntropyRules) -> Column:
@@ -147,26 +152,32 @@ def _entropy_spans(text: Column, rules: EntropyRules) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def of_found(matches: Column) -> Column:
+        def tokens(s: Column, at: Column) -> Column:
+            allowed = F.regexp_extract_all(s, F.lit(rules.cuts), F.lit(0))
+            begins = F.concat(
+                F.array(F.lit(0)),
+                F.transform(_places(s, rules.cuts, allowed, KINDS.index("entropy")), lambda p: p["end"]),
+            )
+            return F.zip_with(
+                F.split(s, rules.cuts, -1), begins, lambda x, b: F.struct(x.alias("s"), (at + b).alias("at"))
+            )
+
         def wanted(s: Column) -> Column:
-            bad = F.lit(False)
-            for allowed in rules.allowed:
-                bad = bad | s.rlike(allowed)
-            return s.rlike("[0-9]") & ~bad
+            return (F.length(s) >= rules.window) & s.rlike("[0-9]")
 
         placed = F.zip_with(
             matches, _places(text, pattern, matches, KINDS.index("entropy")),
             lambda s, p: F.struct(s.alias("s"), p["start"].alias("at")),
         )
+        parts = F.flatten(F.transform(F.filter(placed, lambda x: wanted(x["s"])), lambda x: tokens(x["s"], x["at"])))
         inner = F.transform(
-            F.filter(placed, lambda x: wanted(x["s"])),
-            lambda x: F.transform(
-                _windows(x["s"], rules),
-                lambda p: F.struct(
-                    (p["start"] + x["at"]).alias("start"), p["kind"].alias("kind"), (p["end"] + x["at"]).alias("end")
-                ),
+            F.filter(parts, lambda x: wanted(x["s"]) & _is_high(x["s"], rules)),
+            lambda x: F.struct(
+                x["at"].alias("start"), F.lit(KINDS.index("entropy")).alias("kind"),
+                (x["at"] + F.length(x["s"])).alias("end"),
             ),
         )
-        return F.when(F.size(matches) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(F.flatten(inner))
+        return F.when(F.size(matches) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(inner)
 
     return let(found, of_found)
 

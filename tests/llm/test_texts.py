@@ -114,6 +114,31 @@ def test_redaction(spark, docs, no_docs):
     assert secrets.redact(no_docs).count() == 0
 
 
+def test_secrets_beside_harmless_parts_and_whole_tokens(spark):
+    rng = random.Random(8)
+    key = "9aF3kLm2Qp7ZtX4vB8nR1cWqT5yU"
+    beside = [
+        f"EXAMPLE_KEY={key}", f"db/prod/main/{key}", f"https://x.test/services/hooks/incoming/{key}", f"{key}/placeholder",
+        f"/usr/local/lib/{key}/site-packages/x1",
+    ]
+    harmless = ["/usr/local/lib/python3/site-packages/x1", "Users/me/Documents/Python3/site-packages/x1", "my_example_of_0123456789_key"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 40) for _ in range(300)]
+    rows = list(enumerate([*beside, *harmless, *(f"a {d} b" for d in drawn)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for i, text in rows[: len(beside)]:
+        assert key not in clean[i] and "[SECRET]" in clean[i], text
+    for i, text in rows[len(beside) : len(beside) + len(harmless)]:
+        assert clean[i] == text
+    # A window needs a digit; of the others next to none is missed, and none is covered in part.
+    got = [(d, clean[len(beside) + len(harmless) + i]) for i, d in enumerate(drawn) if re.search("[0-9]", d)]
+    assert all(t in ("a [SECRET] b", f"a {d} b") for d, t in got)
+    assert sum(t == "a [SECRET] b" for _, t in got) >= 0.99 * len(got)
+    assert all(t == "a [SECRET] b" for d, t in got if len(d) == 40)
+
+
+
 def counts(text):
     text = text or ""
     words, covered, places = WORD.findall(text), set(), collections.defaultdict(list)
