@@ -14,6 +14,10 @@ Counting. Overlaps of the pairs that are left are counted fragment by fragment a
 Groups. What is asked for is which texts are connected, not every link. Equal sets are one node. Within each
 candidate segment all nodes are first held against one of them. Then only nodes that are not connected yet, of
 the same segment, are compared, in blocks of bounded size; pairs within a component never are.
+
+Links. Both ends of a link are in one component. So all links are found by holding the nodes of each component
+against each other, in blocks of bounded size, with exact overlaps. Those of equal sets are counted from the
+number of copies.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from scenelake.session import cut_lineage
 class JoinParameters:
     """`words` in an n-gram. `percent`: least similarity. `load`: n-grams a segment holds about, in the
     largest set of a class. `parts`: fragments in which overlaps are counted. `block`: most rows of one segment
-    that meet at once, about. `filter_bits`: of the filter on ids before texts are moved; it may pass too many."""
+    that meet at once, about; `block_grams`: most n-grams of one component that do. `filter_bits`: of the filter on ids before texts are moved; it may pass too many."""
 
     words: int = 4
     percent: int = 85
@@ -45,6 +49,7 @@ class JoinParameters:
     parts: int = 8
     block: int = 256
     filter_bits: int = 1 << 23
+    block_grams: int = 1 << 18
 
     def least_overlap(self, a: int, b: int) -> int:
         """Smallest i with 100 * i >= percent * (a + b - i)."""
@@ -219,19 +224,22 @@ def _possible(pairs: DataFrame, nodes: DataFrame, p: JoinParameters) -> DataFram
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, p: JoinParameters) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those that are links: overlaps counted by fragment, summed by pair."""
-    spark = pairs.sparkSession
-    pairs = cut_lineage(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod("id", F.lit(p.filter_bits)).alias("at"))
+def _filter_of(ids: DataFrame, p: JoinParameters):
+    """A filter of fixed size on (id), as a broadcast: it only spares moving sets that aren't asked for."""
+    ends = ids.select(F.pmod("id", F.lit(p.filter_bits)).alias("at"))
     words = ends.groupBy(F.expr("at div 8").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits")
     )
-    # A filter of fixed size: it only spares moving sets that are in no pair.
     held = np.zeros(p.filter_bits // 8, np.uint8)
     for word, bits in words.collect():
         held[word] = bits
-    shared = spark.sparkContext.broadcast(held.tobytes())
+    return ids.sparkSession.sparkContext.broadcast(held.tobytes())
+
+
+def _links(pairs: DataFrame, texts: DataFrame, p: JoinParameters) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that are links: overlaps counted by fragment, summed by pair."""
+    pairs = cut_lineage(pairs)
+    shared = _filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), p)
 
     def work(key, text):
         at = key % p.filter_bits
@@ -351,18 +359,8 @@ def _across(multi: DataFrame, state: DataFrame, nodes: DataFrame, p: JoinParamet
     return dealt.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
-) -> DataFrame:
-    """A row per document: key, `n_shingles` (size of its set) and `component_id` (smallest key it is linked to,
-    over any number of links, itself included).
-
-    Keys are whole numbers. Null, empty and blank texts have empty sets and are linked with nothing. Rows with a
-    null key keep their size and have a null component. A key stands for one text: rows that repeat both are each
-    returned, and other texts under the same key may share their links. An empty table gives an empty result. Only the two named columns are read.
-    """
-    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
-    named = whole.where("k is not null")
+def _connected(named: DataFrame, p: JoinParameters) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (k, text): size and fingerprint of each row, the nodes, and the components of linked nodes."""
     prints = cut_lineage(sizes_and_prints(named, p))
     sets = cut_lineage(
         prints.where("print is not null").groupBy("print").agg(F.min(F.struct("k", "n", "bits")).alias("s"))
@@ -378,7 +376,147 @@ def near_duplicates(
     links = _links(_possible(stars, sets, p), named, p)
     state = components(links)
     more = _links(_across(multi, state, sets, p), named, p)
-    state = components(links.unionByName(more))
+    return prints, sets, components(links.unionByName(more))
+
+
+def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the first `split` sets with the others; of all with all if there are no others."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    width, other = 4096, slice(split, None) if split < len(sets) else slice(None)
+    counts = np.zeros((split, len(sets[other])), np.int64)
+    for low in range(0, int(place[-1]) + 1, width):
+        begin, end = np.searchsorted(place, [low, low + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[begin:end], place[begin:end] - low] = 1
+        counts += (has[:split] @ has[other].T).astype(np.int64)
+    return counts
+
+
+def _linked(named: DataFrame, prints: DataFrame, sets: DataFrame, state: DataFrame, p: JoinParameters, pairs: bool) -> DataFrame:
+    """All links within components: pairs (a, b, overlap) of nodes, or else (node, links), the documents that hold
+    the sets a node is linked to, in parts to be summed."""
+    copies = prints.where("print is not null").groupBy("print").agg(F.count_distinct("k").alias("copies"))
+    members = cut_lineage(state.join(sets.select("print", "node", "n"), "node").join(copies, "print"))
+    shared = _filter_of(members.select(F.col("node").alias("id")), p)
+
+    def work(key, text):
+        at = key % p.filter_bits
+        if shared.value[at >> 3] >> (at & 7) & 1:
+            grams = ngrams(text, p.words)
+            if len(grams):
+                yield xxhash.xxh3_128_digest(grams.tobytes()), _signed(grams)
+
+    texts = _mapped(named, "print binary, grams array<bigint>", [pa.binary(), pa.list_(pa.int64())], work)
+    sizes = members.groupBy("component").agg(
+        F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_grams)).cast("int").alias("blocks")
+    )
+    cells = (
+        members.join(sizes, "component").join(texts.dropDuplicates(["print"]), "print")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select(
+            "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node",
+            "copies", "grams",
+        )
+    )
+    names = ["a", "b", "overlap"] if pairs else ["node", "links"]
+
+    def of_cell(i: int, j: int, cell: list[tuple]) -> Iterator[tuple]:
+        cell.sort(key=lambda r: r[0])
+        split = sum(r[0] == i for r in cell)
+        if len(cell) < 2 or not split or (i != j and split == len(cell)):
+            return
+        counts = _overlaps([r[3] for r in cell], split)
+        one, two = cell[:split], cell if i == j else cell[split:]
+        n_one, n_two = (np.array([len(r[3]) for r in x]) for x in (one, two))
+        found = 100 * counts >= p.percent * (n_one[:, None] + n_two[None, :] - counts)
+        if i == j:
+            np.fill_diagonal(found, False)
+        if pairs:
+            for x, y in zip(*np.nonzero(np.triu(found) if i == j else found)):
+                a, b = one[x][1], two[y][1]
+                yield min(a, b), max(a, b), int(counts[x, y])
+            return
+        yield from zip([r[1] for r in one], (found @ np.array([r[2] for r in two])).tolist())
+        if i != j:
+            yield from zip([r[1] for r in two], (found.T @ np.array([r[2] for r in one])).tolist())
+
+    def run(batches):
+        # Rows come sorted by cell; one may go on in the next batch.
+        def batch_of(rows):
+            columns = list(zip(*rows)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+        at, cell, out = None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "own", "node", "copies")]
+            for (component, i, j, *row), grams in zip(zip(*columns), batch.column("grams")):
+                if (component, i, j) != at:
+                    for made in of_cell(*at[1:], cell) if at else ():
+                        out.append(made)
+                        if len(out) >= 10_000:
+                            yield batch_of(out)
+                            out = []
+                    at, cell = (component, i, j), []
+                cell.append((*row, grams.values.to_numpy()))
+        for made in of_cell(*at[1:], cell) if at else ():
+            out.append(made)
+        yield batch_of(out)
+
+    dealt = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return dealt.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def near_duplicate_links(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
+) -> tuple[DataFrame, DataFrame]:
+    """All links, as pairs (a, b, overlap; a < b) of representatives, and who they stand for: (key, node) of every row
+    with a set, where a node is the smallest key with that set. Rows of one node are linked with each other."""
+    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
+    named = whole.where("k is not null")
+    prints, sets, state = _connected(named, p)
+    members = prints.where("print is not null").select("k", "print").join(sets.select("print", "node"), "print")
+    return _linked(named, prints, sets, state, p, True), members.select(F.col("k").alias(key), "node")
+
+
+def near_duplicate_counts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
+) -> DataFrame:
+    """As `near_duplicates`, with `n_links`: how many other keys a document is linked with itself, those of equal sets
+    among them; 0 for empty sets, null for null keys."""
+    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
+    named = whole.where("k is not null")
+    prints, sets, state = _connected(named, p)
+    counts = _linked(named, prints, sets, state, p, False).groupBy("node").agg(F.sum("links").alias("links"))
+    copies = prints.where("print is not null").groupBy("print").agg(F.count_distinct("k").alias("copies"))
+    classes = sets.select("print", "node").join(state, "node", "left").join(counts, "node", "left").join(copies, "print")
+    found = prints.join(classes, "print", "left").select(
+        "k", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "k").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
+    )
+    nothing = F.lit(None).cast("long")
+    nameless = sizes_and_prints(whole.where("k is null"), p).select(
+        "k", F.col("n").alias("n_shingles"), F.col("k").alias("component_id"), nothing.alias("n_links")
+    )
+    return found.unionByName(nameless).withColumnRenamed("k", key)
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
+) -> DataFrame:
+    """A row per document: key, `n_shingles` (size of its set) and `component_id` (smallest key it is linked to,
+    over any number of links, itself included).
+
+    Keys are whole numbers. Null, empty and blank texts have empty sets and are linked with nothing. Rows with a
+    null key keep their size and have a null component. A key stands for one text: rows that repeat both are each
+    returned, and other texts under the same key may share their links. An empty table gives an empty result. Only the two named columns are read.
+    """
+    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
+    named = whole.where("k is not null")
+    prints, sets, state = _connected(named, p)
     classes = sets.select("print", "node").join(state, "node", "left").select(
         "print", F.coalesce("component", "node").alias("component")
     )
@@ -402,3 +540,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinPa
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    return near_duplicate_counts(table(spark, sf_dir, "documents"))

@@ -103,6 +103,11 @@ reach(doc_id, r) as (select doc_id, doc_id from docs union select b.x, r from re
 select d.doc_id, coalesce(n,0)::bigint as n_shingles, c as component_id
 from docs d left join size using (doc_id) join (select doc_id, min(r) as c from reach group by 1) m on m.doc_id=d.doc_id"""
 
+LINKS = JOIN.rpartition("\nselect d.doc_id")[0] + """
+select d.doc_id, coalesce(n,0)::bigint as n_shingles, c as component_id, coalesce(l,0)::bigint as n_links
+from docs d left join size using (doc_id) join (select doc_id, min(r) as c from reach group by 1) m on m.doc_id=d.doc_id
+left join (select x as doc_id, count(*) as l from both_ group by 1) k on k.doc_id=d.doc_id"""
+
 
 def _quality(rules: quality.QualityRules = quality.QualityRules()) -> str:
     left, steps = "text", []
@@ -160,6 +165,7 @@ ORACLES = {
     "op4_warc": WARC,
     "op5_exact_top_k": TOP_K,
     "op9_ngram_jaccard_join": JOIN,
+    "op9_ngram_jaccard_links": LINKS,
     "op10_quality_rules": _quality(),
     "op10_quality_listed": _quality_listed(),
 }

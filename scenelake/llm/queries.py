@@ -5,7 +5,7 @@ from __future__ import annotations
 from scenelake.llm.bpe import op1_byte_bpe
 from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
-from scenelake.llm.ngram_join import op9_ngram_jaccard_join
+from scenelake.llm.ngram_join import op9_ngram_jaccard_join, op9_ngram_jaccard_links
 from scenelake.llm.oracles import ORACLES
 from scenelake.llm.quality import op10_quality_listed, op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
@@ -26,6 +26,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op9_ngram_jaccard_links": op9_ngram_jaccard_links,
     "op10_quality_rules": op10_quality_rules,
     "op10_quality_listed": op10_quality_listed,
 }

@@ -274,6 +274,38 @@ def test_near_duplicates_equal_brute_force(spark, docs, p):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == grouped(rows, p) and len(got) == len(rows)
 
 
+def test_every_link_is_counted(spark, docs, no_docs):
+    p = ngram_join.JoinParameters(block=3, block_grams=100, filter_bits=64)
+    rng = random.Random(12)
+    rows = []
+    for n in (3, 90, 300, 600):
+        base = [f"w{rng.randrange(50)}" for _ in range(n)]
+        for _ in range(10):
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + n // 200)):
+                copy[rng.randrange(n)] = "other"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(100, ""), (101, None), (102, rows[0][1]), (103, rows[15][1].upper())]
+    sets = {i: sets_of(t, p.words) for i, t in rows}
+    links = {
+        (a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sets, 2)
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= p.percent * len(sets[a] | sets[b])
+    }
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_duplicate_counts(df, p=p).collect()
+    components = {i: c for i, (_, c) in grouped(rows, p).items()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["component_id"], r["n_links"]) == (components[r["doc_id"]], sum(r["doc_id"] in x for x in links))
+    pairs, members = ngram_join.near_duplicate_links(df, p=p)
+    node = {r["doc_id"]: r["node"] for r in members.collect()}
+    want = {(min(node[a], node[b]), max(node[a], node[b]), c) for (a, b), c in links.items() if node[a] != node[b]}
+    found = [tuple(r) for r in pairs.collect()]
+    assert set(found) == want and len(found) == len(want) > 20
+    assert {r["n_links"] for r in ngram_join.near_duplicate_counts(docs).where("doc_id is null").collect()} == {None}
+    assert ngram_join.near_duplicate_counts(no_docs).count() == 0
+
+
 def test_near_duplicates_edges(docs, no_docs):
     got = ngram_join.near_duplicates(docs).collect()
     known = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
