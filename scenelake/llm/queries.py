@@ -13,6 +13,7 @@ from scenelake.llm.toxicity import op7_toxicity
 from scenelake.llm.urls import op8_url_filters
 from scenelake.llm.vectors import op5_exact_top_k
 from scenelake.llm.warc import op4_warc
+from scenelake.llm.whitening import op12_whitening
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -29,4 +30,5 @@ QUERIES = {
     "op9_ngram_jaccard_links": op9_ngram_jaccard_links,
     "op10_quality_rules": op10_quality_rules,
     "op10_quality_listed": op10_quality_listed,
+    "op12_whitening": op12_whitening,
 }
