@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scenelake.llm import mixing, quality, secrets
+from scenelake.llm import mixing, phrases, quality, secrets
 from scenelake.llm.common import WORD
 
 TEXT = "coalesce(text,'')"
@@ -159,6 +159,24 @@ select doc_id, n_words, n_listed, kept_histograms, kept_histograms and not 100*(
   and not coalesce(n_listed>={rules.min_listed} and d>{rules.max_listed_distance!r},false) as kept, round(d,6) as listed_distance from all_"""
 
 
+def _phrases(p: phrases.PhraseParameters = phrases.PhraseParameters()) -> str:
+    return f"""with pieces as (select coalesce(lang,'und') as lang, unnest(string_split_regex(translate({TEXT},
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+spans as (select lang, w, unnest(range(1, {p.longest + 1})) as m from words where len(w) > 0),
+begins as (select lang, w, m, unnest(range(1, len(w)-m+2)) as i from spans where len(w) >= m),
+f as (select lang, m, array_to_string(w[i:i+m-1], ' ') as phrase, count(*)::hugeint as f from begins group by all),
+total as (select lang, sum(f)::hugeint as n from f where m = 1 group by 1),
+cand as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= {p.least}),
+cut as (select lang, m, phrase, a, w, unnest(range(1, m)) as k from cand),
+part as (select c.lang, c.m, c.phrase, c.a, c.k, x.f as l, y.f as r, n, 1000*c.a*n//(x.f*y.f) as score from cut c join total using (lang)
+  join f x on x.lang=c.lang and x.phrase=array_to_string(c.w[1:k], ' ') join f y on y.lang=c.lang and y.phrase=array_to_string(c.w[k+1:c.m], ' ')),
+best as (select * from part qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (select distinct b.lang, b.phrase from cand b join cand o on o.lang=b.lang and o.m>b.m and 100*o.a>=100*b.a and contains(' '||o.phrase||' ', ' '||b.phrase||' '))
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best anti join held using (lang, phrase)) where rank <= {p.top}"""
+
+
 ORACLES = {
     "op2_mixing": _mixing(),
     "op3_secret_scans": _secrets(),
@@ -168,4 +186,5 @@ ORACLES = {
     "op9_ngram_jaccard_links": LINKS,
     "op10_quality_rules": _quality(),
     "op10_quality_listed": _quality_listed(),
+    "op11_phrases": _phrases(),
 }

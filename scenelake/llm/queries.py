@@ -7,6 +7,7 @@ from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
 from scenelake.llm.ngram_join import op9_ngram_jaccard_join, op9_ngram_jaccard_links
 from scenelake.llm.oracles import ORACLES
+from scenelake.llm.phrases import op11_phrases
 from scenelake.llm.quality import op10_quality_listed, op10_quality_rules
 from scenelake.llm.secrets import op3_secret_scans
 from scenelake.llm.toxicity import op7_toxicity
@@ -30,5 +31,6 @@ QUERIES = {
     "op9_ngram_jaccard_links": op9_ngram_jaccard_links,
     "op10_quality_rules": op10_quality_rules,
     "op10_quality_listed": op10_quality_listed,
+    "op11_phrases": op11_phrases,
     "op12_whitening": op12_whitening,
 }
