@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scenelake.llm.bpe import op1_byte_bpe
+from scenelake.llm.bytenet import op13_bytenet
 from scenelake.llm.langid import op6_language_id
 from scenelake.llm.mixing import op2_mixing
 from scenelake.llm.ngram_join import op9_ngram_jaccard_join, op9_ngram_jaccard_links
@@ -33,4 +34,5 @@ QUERIES = {
     "op10_quality_listed": op10_quality_listed,
     "op11_phrases": op11_phrases,
     "op12_whitening": op12_whitening,
+    "op13_bytenet": op13_bytenet,
 }

@@ -9,7 +9,7 @@ from scenelake.llm.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("SCENELAKE_SF_DIR", "/root/testdata/sf0.01")
 #: Merges, trained likelihoods, votes of neighbours, trained weights and eigenvectors aren't SQL.
-WITHOUT = {"op1_byte_bpe", "op6_language_id", "op7_toxicity", "op8_url_filters", "op12_whitening"}
+WITHOUT = {"op1_byte_bpe", "op6_language_id", "op7_toxicity", "op8_url_filters", "op12_whitening", "op13_bytenet"}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
