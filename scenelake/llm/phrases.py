@@ -8,9 +8,8 @@ with the number of times each was parsed; counting goes on in the dictionary onl
 Ownership. A chunk that another one follows leaves n-grams that begin in its last `overlap` words to that one. As
 no phrase is longer than `overlap` + 1 words, each occurrence lies whole in the chunk that owns its first word.
 
-Counting. Phrases of k words are counted after those of k - 1: an occurrence goes on only if both phrases of k - 1
-words in it are frequent. A filter of bounded size says so; it may pass too many, which costs time and changes no
-result. Counts are summed per batch of chunks before they are shuffled, as phrases, not as hashes.
+Counting. Words are counted first, then pairs of frequent words, then all longer phrases in which every pair is
+frequent. A filter of bounded size says what is; it may pass too many, which costs time and changes no result. Counts are summed per batch of chunks before they are shuffled, as phrases, not as hashes.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ class PhraseParameters:
     least: int = 100
     top: int = 2000
     every: int = 32
-    words: int = 400_000
+    words: int = 1_000_000
     filter_bits: int = 1 << 26
     salts: int = 16
 
@@ -203,21 +202,24 @@ class _Words:
         self.weights = np.repeat(chunks.column("n").to_numpy(), sizes)
         self.lang = np.repeat(lang.indices.to_numpy().astype(np.int64), sizes)
 
-    def frequent_starts(self, k: int, known: Filter | None) -> np.ndarray:
-        """Places of owned phrases of k words in which every shorter phrase is one that the filter holds."""
-        if k == 1:
-            return np.flatnonzero(self.owned)
+    def starts(self, sizes: tuple[int, ...], known: Filter | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Sizes and places of owned phrases, in which every shorter phrase, up to the sizes that have been counted, is
+        one that the filter holds."""
+        if known is None:
+            yield 1, np.flatnonzero(self.owned)
+            return
         words = _hashes(self.words.to_pylist())
         hashes = _begun(_hashes(self.langs.to_pylist())[self.lang], words[self.codes])
         alive = known.holds(hashes)
-        for j in range(2, k + 1):
-            at = np.flatnonzero(alive[:-1] & alive[1:] & (self.left[:-1] >= j))
-            if j == k:
-                return at[self.owned[at]]
-            hashes[at] = _longer(hashes[at], words[self.codes[at + j - 1]])
+        for k in range(2, sizes[-1] + 1):
+            at = np.flatnonzero(alive[:-1] & alive[1:] & (self.left[:-1] >= k))
+            if k in sizes:
+                yield k, at[self.owned[at]]
+            else:
+                hashes[at] = _longer(hashes[at], words[self.codes[at + k - 1]])
+                at = at[known.holds(hashes[at])]
             alive = np.zeros(len(alive), bool)
-            alive[at[known.holds(hashes[at])]] = True
-        raise AssertionError
+            alive[at] = True
 
     def counts(self, k: int, at: np.ndarray) -> pa.RecordBatch:
         """(lang, phrase, n) of the phrases of k words that begin `at`."""
@@ -238,8 +240,8 @@ class _Words:
         )
 
 
-def counted(dictionary: DataFrame, k: int, known: np.ndarray | None, p: PhraseParameters) -> DataFrame:
-    """(lang, phrase, f) of the phrases of k words that occur `least` times or more."""
+def counted(dictionary: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, p: PhraseParameters) -> DataFrame:
+    """(lang, phrase, f) of the phrases of so many words that occur `least` times or more."""
     shared = dictionary.sparkSession.sparkContext.broadcast(known)  # at most filter_bits
 
     def run(batches):
@@ -248,7 +250,8 @@ def counted(dictionary: DataFrame, k: int, known: np.ndarray | None, p: PhrasePa
 
         def out():
             words = _Words(pa.Table.from_batches(waiting), p)
-            return words.counts(k, words.frequent_starts(k, held))
+            for k, at in words.starts(sizes, held):
+                yield words.counts(k, at)
 
         for batch in batches:
             # Slices, so that what is looked at together is bounded whatever a batch holds.
@@ -258,10 +261,10 @@ def counted(dictionary: DataFrame, k: int, known: np.ndarray | None, p: PhrasePa
                 waiting.append(part)
                 size += part.nbytes
                 if size >= 6 * p.words:
-                    yield out()
+                    yield from out()
                     waiting, size = [], 0
         if waiting:
-            yield out()
+            yield from out()
 
     found = dictionary.select("lang", "chunk", "followed", "n").mapInArrow(run, "lang string, phrase string, n bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= p.least)
@@ -270,10 +273,11 @@ def counted(dictionary: DataFrame, k: int, known: np.ndarray | None, p: PhrasePa
 def frequent_phrases(dictionary: DataFrame, p: PhraseParameters) -> DataFrame:
     """(lang, phrase, f, k) of all phrases of 1 to `longest` words that occur `least` times or more."""
     found, known = None, None
-    for k in range(1, p.longest + 1):
-        level = cut_lineage(counted(dictionary, k, known, p).withColumn("k", F.lit(k)))
+    for sizes in ((1,), (2,), tuple(range(3, p.longest + 1))):
+        level = counted(dictionary, sizes, known, p).withColumn("k", F.size(F.split("phrase", " ")))
+        level = cut_lineage(level)
         found = level if found is None else found.unionByName(level)
-        known = filter_of(found, p)
+        known = filter_of(found, p) if sizes[-1] < p.longest else None
     return found
 
 
