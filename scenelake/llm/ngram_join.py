@@ -12,8 +12,10 @@ end of its class stands in the class below too. Parity bitmaps bound the overlap
 Counting. Overlaps of the pairs that are left are counted fragment by fragment and summed per pair.
 
 Groups. What is asked for is which texts are connected, not every link. Equal sets are one node. Within each
-candidate segment all nodes are first held against one of them. Then only nodes that are not connected yet, of
-the same segment, are compared, in blocks of bounded size; pairs within a component never are.
+candidate segment all nodes are first held against one of them, then what that leaves apart against another.
+Nodes still apart are compared by size and bitmap, in blocks of bounded size, and of those that may link no more
+edges are kept than connect them. Nodes so connected are verified in blocks, with their n-grams at hand; of the links
+found there, again no more are given out than connect them.
 
 Links. Both ends of a link are in one component. So all links are found by holding the nodes of each component
 against each other, in blocks of bounded size, with exact overlaps. Those of equal sets are counted from the
@@ -30,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.llm.common import table, text_of
@@ -290,20 +292,46 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def _across(multi: DataFrame, state: DataFrame, nodes: DataFrame, p: JoinParameters) -> DataFrame:
-    """Pairs (a, b, na, nb) of nodes that share a segment, aren't connected yet and may link."""
-    placed = multi.select("key", "node").join(state, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
+class _Sets:
+    """Union-find over what a cell holds."""
+
+    def __init__(self):
+        self.above: dict = {}
+
+    def root(self, x):
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def unite(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _open_rows(multi: DataFrame, state: DataFrame) -> DataFrame:
+    """(key, node, component, rows, last) of segments whose nodes are not all in one component."""
+    placed = cut_lineage(
+        multi.select("key", "node").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
-    rows = placed.groupBy("key").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows")
-    ).where("least <> most")
-    open_rows = placed.join(rows.select("key", "rows"), "key").join(nodes.select("node", "n", "bits"), "node")
+    rows = cut_lineage(
+        placed.groupBy("key").agg(
+            F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"),
+            F.max("node").alias("last"),
+        ).where("least <> most").select("key", "rows", "last")
+    )
+    return placed.join(rows, "key")
+
+
+def _may_connect(open_rows: DataFrame, nodes: DataFrame, p: JoinParameters) -> DataFrame:
+    """Edges (a, b) over nodes that share a segment, as few as keep together all that aren't connected yet and may
+    link: of each cell less than it has rows."""
     blocks = F.ceil(F.col("rows") / p.block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # Each block of a segment's rows meets itself and every other block in a cell of its own.
     cells = (
-        open_rows.withColumn("blocks", blocks).withColumn("own", own)
+        open_rows.join(nodes.select("node", "n", "bits"), "node").withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
             "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n",
@@ -311,31 +339,34 @@ def _across(multi: DataFrame, state: DataFrame, nodes: DataFrame, p: JoinParamet
         )
     )
 
-    def pairs_of(cell: list[tuple]) -> Iterator[tuple]:
-        groups: dict[int, list[tuple]] = {}
-        for own_block, node, n, component, bits in cell:
-            groups.setdefault(component, []).append((own_block, node, _facts(n, bits)))
-        many = list(groups.values())
-        alone = len({r[0] for r in cell}) == 1
-        for x, first in enumerate(many):
-            for second in many[x + 1 :]:
-                for block_a, a, fact_a in first:
-                    for block_b, b, fact_b in second:
-                        if (alone or block_a != block_b) and _may_link(fact_a, fact_b, p):
-                            low, high = ((a, fact_a), (b, fact_b)) if a < b else ((b, fact_b), (a, fact_a))
-                            yield low[0], high[0], low[1][0], high[1][0]
+    def edges_of(cell: list[tuple]) -> Iterator[tuple]:
+        sets = _Sets()
+        rows = [(own_block, node, component, _facts(n, bits)) for own_block, node, n, component, bits in cell]
+        alone = len({r[0] for r in rows}) == 1
+        # In a cell of two blocks, what each connects by itself comes first and isn't given out again.
+        for within in (True,) if alone else (True, False):
+            for x, (block_a, a, of_a, fact_a) in enumerate(rows):
+                for block_b, b, of_b, fact_b in rows[x + 1 :]:
+                    # Nodes, not their components, are united: each pair that may link ends up connected by edges.
+                    if (
+                        of_a != of_b and (block_a == block_b) == within and sets.root(a) != sets.root(b)
+                        and _may_link(fact_a, fact_b, p)
+                    ):
+                        sets.unite(a, b)
+                        if alone or not within:
+                            yield (a, b) if a < b else (b, a)
 
     def run(batches):
         # Rows come sorted by cell; one may go on in the next batch.
         at, cell, seen = None, [], set()
 
         def batch_of(rows):
-            columns = list(zip(*rows)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "na", "nb"])
+            columns = list(zip(*rows)) or [()] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
         def found(rows):
-            # The same pair often shares many segments; what a task has given out lately it doesn't repeat.
-            fresh = [r for r in pairs_of(rows) if r not in seen]
+            # The same edge often comes from many segments; what a task has given out lately it doesn't repeat.
+            fresh = [r for r in edges_of(rows) if r not in seen]
             if len(seen) > 200_000:
                 seen.clear()
             seen.update(fresh)
@@ -355,8 +386,8 @@ def _across(multi: DataFrame, state: DataFrame, nodes: DataFrame, p: JoinParamet
                 cell.append(tuple(row))
         yield batch_of(out + found(cell))
 
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint").distinct()
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _connected(named: DataFrame, p: JoinParameters) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -366,17 +397,25 @@ def _connected(named: DataFrame, p: JoinParameters) -> tuple[DataFrame, DataFram
         prints.where("print is not null").groupBy("print").agg(F.min(F.struct("k", "n", "bits")).alias("s"))
         .select("print", F.col("s.k").alias("node"), F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
     )
-    by_key = Window.partitionBy("key")
-    multi = cut_lineage(
-        segments_of_nodes(named, p)
-        .withColumn("hub", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key))
-        .where("hub <> last").select("key", "node", "hub")
+    segments = cut_lineage(segments_of_nodes(named, p))
+    # One segment may be in a large share of all texts: summed before the shuffle, and joined as rows that can be split.
+    hubs = cut_lineage(
+        segments.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     )
+    multi = segments.join(hubs, "key")
     stars = multi.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(_possible(stars, sets, p), named, p)
+    # The first hub may be unlike all others, so what it leaves apart meets another one.
+    left = _open_rows(multi, components(links))
+    second = left.where("node <> last").select(F.col("node").alias("a"), F.col("last").alias("b")).distinct()
+    links = cut_lineage(links.unionByName(_links(_possible(second, sets, p), named, p)))
     state = components(links)
-    more = _links(_across(multi, state, sets, p), named, p)
-    return prints, sets, components(links.unionByName(more))
+    coarse = components(cut_lineage(_may_connect(_open_rows(multi, state), sets, p)))
+    links = cut_lineage(links.unionByName(_linked(named, prints, sets, coarse, p, "edges").select("a", "b")))
+    state = components(links)
+    # Blocks are held against each other last, and only in groups that are still apart.
+    links = cut_lineage(links.unionByName(_linked(named, prints, sets, coarse, p, "edges", state).select("a", "b")))
+    return prints, sets, components(links)
 
 
 def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -395,11 +434,32 @@ def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     return counts
 
 
-def _linked(named: DataFrame, prints: DataFrame, sets: DataFrame, state: DataFrame, p: JoinParameters, pairs: bool) -> DataFrame:
-    """All links within components: pairs (a, b, overlap) of nodes, or else (node, links), the documents that hold
-    the sets a node is linked to, in parts to be summed."""
+def _linked(named: DataFrame, prints: DataFrame, sets: DataFrame, state: DataFrame, p: JoinParameters, what: str, fine: DataFrame | None = None) -> DataFrame:
+    """Links within the components of `state`, verified in cells that hold the n-grams of their nodes. `pairs`: all, as
+    (a, b, overlap); `counts`: (node, links), the documents that hold the sets a node is linked to, in parts to be
+    summed; `edges`: as many as connect what is linked, within blocks; or, if `fine` says what is connected by
+    now, across blocks of components that aren't."""
     copies = prints.where("print is not null").groupBy("print").agg(F.count_distinct("k").alias("copies"))
-    members = cut_lineage(state.join(sets.select("print", "node", "n"), "node").join(copies, "print"))
+    members = state.join(sets.select("print", "node", "n"), "node").join(copies, "print")
+    if fine is None:
+        members = cut_lineage(members.withColumn("fine", F.col("node")))
+    else:
+        now = fine.select("node", F.col("component").alias("fine"))
+        members = cut_lineage(members.join(now, "node", "left").withColumn("fine", F.coalesce("fine", "node")))
+
+    sizes = members.groupBy("component").agg(
+        F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_grams)).cast("int").alias("blocks"),
+        F.min("fine").alias("least"), F.max("fine").alias("most"),
+    )
+    if fine is not None:
+        sizes = sizes.where("blocks > 1 and least <> most")
+        members = cut_lineage(members.join(sizes.select("component"), "component", "left_semi"))
+    sizes = sizes.select("component", "blocks")
+    names = ["node", "links"] if what == "counts" else ["a", "b", "overlap"]
+    schema = ", ".join(f"{n} bigint" for n in names)
+    if members.isEmpty():
+        return named.sparkSession.createDataFrame([], schema)
+    asked = {"edges": "i = j" if fine is None else "i <> j"}.get(what, "true")
     shared = _filter_of(members.select(F.col("node").alias("id")), p)
 
     def work(key, text):
@@ -410,35 +470,33 @@ def _linked(named: DataFrame, prints: DataFrame, sets: DataFrame, state: DataFra
                 yield xxhash.xxh3_128_digest(grams.tobytes()), _signed(grams)
 
     texts = _mapped(named, "print binary, grams array<bigint>", [pa.binary(), pa.list_(pa.int64())], work)
-    sizes = members.groupBy("component").agg(
-        F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_grams)).cast("int").alias("blocks")
-    )
     cells = (
         members.join(sizes, "component").join(texts.dropDuplicates(["print"]), "print")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
             "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node",
-            "copies", "grams",
-        )
+            "copies", "fine", "grams",
+        ).where(asked)
     )
-    names = ["a", "b", "overlap"] if pairs else ["node", "links"]
 
     def of_cell(i: int, j: int, cell: list[tuple]) -> Iterator[tuple]:
         cell.sort(key=lambda r: r[0])
         split = sum(r[0] == i for r in cell)
         if len(cell) < 2 or not split or (i != j and split == len(cell)):
             return
-        counts = _overlaps([r[3] for r in cell], split)
+        counts = _overlaps([r[4] for r in cell], split)
         one, two = cell[:split], cell if i == j else cell[split:]
-        n_one, n_two = (np.array([len(r[3]) for r in x]) for x in (one, two))
+        n_one, n_two = (np.array([len(r[4]) for r in x]) for x in (one, two))
         found = 100 * counts >= p.percent * (n_one[:, None] + n_two[None, :] - counts)
         if i == j:
             np.fill_diagonal(found, False)
-        if pairs:
+        if what != "counts":
+            joined = _Sets()
             for x, y in zip(*np.nonzero(np.triu(found) if i == j else found)):
                 a, b = one[x][1], two[y][1]
-                yield min(a, b), max(a, b), int(counts[x, y])
+                if what == "pairs" or joined.unite(one[x][3], two[y][3]):
+                    yield min(a, b), max(a, b), int(counts[x, y])
             return
         yield from zip([r[1] for r in one], (found @ np.array([r[2] for r in two])).tolist())
         if i != j:
@@ -452,7 +510,7 @@ def _linked(named: DataFrame, prints: DataFrame, sets: DataFrame, state: DataFra
 
         at, cell, out = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "own", "node", "copies")]
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "own", "node", "copies", "fine")]
             for (component, i, j, *row), grams in zip(zip(*columns), batch.column("grams")):
                 if (component, i, j) != at:
                     for made in of_cell(*at[1:], cell) if at else ():
@@ -467,79 +525,109 @@ def _linked(named: DataFrame, prints: DataFrame, sets: DataFrame, state: DataFra
         yield batch_of(out)
 
     dealt = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return dealt.mapInArrow(run, schema)
+
+
+def _identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(k, text) of the rows with a key and of those without; and, only if a key stands for several texts, (id, key, h):
+    a number for each key and text hash, which then stand in place of the keys."""
+    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
+    named, nameless = whole.where("k is not null"), whole.where("k is null")
+    hashed = named.withColumn("h", F.xxhash64("text"))
+    clashes = hashed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").limit(1).count()
+    if not clashes:
+        return named, nameless, None
+    ids = cut_lineage(
+        hashed.select("k", "h").distinct().select(F.monotonically_increasing_id().alias("id"), F.col("k").alias("key"), "h")
+    )
+    numbered = hashed.withColumnRenamed("k", "key").join(ids, ["key", "h"]).select(F.col("id").alias("k"), "text")
+    return cut_lineage(numbered), nameless, ids
 
 
 def near_duplicate_links(
     docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
 ) -> tuple[DataFrame, DataFrame]:
     """All links, as pairs (a, b, overlap; a < b) of representatives, and who they stand for: (key, node) of every row
-    with a set, where a node is the smallest key with that set. Rows of one node are linked with each other."""
-    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
-    named = whole.where("k is not null")
+    with a set, where a node is the smallest key with that set. Rows of one node are linked with each other. If a key
+    stands for several texts, representatives are numbers of their own."""
+    named, _, ids = _identified(docs, key, text)
     prints, sets, state = _connected(named, p)
     members = prints.where("print is not null").select("k", "print").join(sets.select("print", "node"), "print")
-    return _linked(named, prints, sets, state, p, True), members.select(F.col("k").alias(key), "node")
+    if ids is not None:
+        members = members.join(ids.select(F.col("id").alias("k"), "key"), "k").select(F.col("key").alias("k"), "node")
+    return _linked(named, prints, sets, state, p, "pairs"), members.select(F.col("k").alias(key), "node")
 
 
-def near_duplicate_counts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
-) -> DataFrame:
-    """As `near_duplicates`, with `n_links`: how many other keys a document is linked with itself, those of equal sets
-    among them; 0 for empty sets, null for null keys."""
-    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
-    named = whole.where("k is not null")
+def _grouped(named: DataFrame, ids: DataFrame | None, p: JoinParameters, links: bool) -> DataFrame:
+    """(k, n_shingles, component_id) of each named row, with n_links if asked for; with `ids`, and h, of each id."""
     prints, sets, state = _connected(named, p)
-    counts = _linked(named, prints, sets, state, p, False).groupBy("node").agg(F.sum("links").alias("links"))
-    copies = prints.where("print is not null").groupBy("print").agg(F.count_distinct("k").alias("copies"))
-    classes = sets.select("print", "node").join(state, "node", "left").join(counts, "node", "left").join(copies, "print")
-    found = prints.join(classes, "print", "left").select(
-        "k", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "k").alias("component_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
+    classes = sets.select("print", "node").join(state, "node", "left")
+    columns = ["k", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "k").alias("component_id")]
+    if links:
+        counts = _linked(named, prints, sets, state, p, "counts").groupBy("node").agg(F.sum("links").alias("links"))
+        copies = prints.where("print is not null").groupBy("print").agg(F.count_distinct("k").alias("copies"))
+        classes = classes.join(counts, "node", "left").join(copies, "print")
+        columns.append((F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"))
+    found = prints.join(classes, "print", "left").select(*columns)
+    if ids is None:
+        return found
+    # Numbers back to keys: a component is named by its smallest key.
+    back = cut_lineage(found.join(ids.withColumnRenamed("id", "k"), "k"))
+    named_by = back.groupBy("component_id").agg(F.min("key").alias("least"))
+    rest = ["n_links"] if links else []
+    return back.join(named_by, "component_id").select(
+        F.col("key").alias("k"), "n_shingles", F.col("least").alias("component_id"), *rest, "h", F.col("component_id").alias("class")
     )
-    nothing = F.lit(None).cast("long")
-    nameless = sizes_and_prints(whole.where("k is null"), p).select(
-        "k", F.col("n").alias("n_shingles"), F.col("k").alias("component_id"), nothing.alias("n_links")
-    )
-    return found.unionByName(nameless).withColumnRenamed("k", key)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
+    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters(), links: bool = False
 ) -> DataFrame:
-    """A row per document: key, `n_shingles` (size of its set) and `component_id` (smallest key it is linked to,
-    over any number of links, itself included).
+    """A row per document: key, `n_shingles` (size of its set), `component_id` (smallest key it is linked to, over any
+    number of links, itself included) and, with `links`, `n_links`: how many other documents it is linked with itself,
+    those of equal sets among them.
 
     Keys are whole numbers. Null, empty and blank texts have empty sets and are linked with nothing. Rows with a
-    null key keep their size and have a null component. A key stands for one text: rows that repeat both are each
-    returned, and other texts under the same key may share their links. An empty table gives an empty result. Only the two named columns are read.
+    null key keep their size; their component and links are null. Rows that repeat key and text are one document,
+    each returned; other texts under the same key are documents of their own. An empty table gives an empty
+    result. Only the two named columns are read.
     """
-    whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
-    named = whole.where("k is not null")
-    prints, sets, state = _connected(named, p)
-    classes = sets.select("print", "node").join(state, "node", "left").select(
-        "print", F.coalesce("component", "node").alias("component")
-    )
-    found = prints.join(classes, "print", "left").select(
-        "k", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id")
-    )
-    nameless = sizes_and_prints(whole.where("k is null"), p).select(
-        "k", F.col("n").alias("n_shingles"), F.col("k").alias("component_id")
+    named, nameless, ids = _identified(docs, key, text)
+    found = _grouped(named, ids, p, links)
+    columns = ["k", "n_shingles", "component_id", *(["n_links"] if links else [])]
+    nothing = F.lit(None).cast("long")
+    rest = sizes_and_prints(nameless, p).select(
+        "k", F.col("n").alias("n_shingles"), F.col("k").alias("component_id"), nothing.alias("n_links")
     )
-    return found.unionByName(nameless).withColumnRenamed("k", key)
+    return found.select(columns).unionByName(rest.select(columns)).withColumnRenamed("k", key)
+
+
+def near_duplicate_counts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()
+) -> DataFrame:
+    return near_duplicates(docs, key, text, p, True)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", p: JoinParameters = JoinParameters()) -> DataFrame:
-    """`docs` with one row of each group of near duplicates: the one of the smallest key, once if it is repeated.
-    Rows with a null key can't be told apart and stay. Columns stay as they are."""
-    found = near_duplicates(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null"), "k", "t", p)
-    first = cut_lineage(found.where("k = component_id").select(F.col("k").alias(key)).distinct())
-    kept = docs.join(first, key, "left_semi").dropDuplicates([key])
+    """`docs` with one row of each group of near duplicates: the one of the smallest key, once if it is repeated, and of
+    several texts under that key one. Other texts under a key are documents of their own. Rows with a null key can't be
+    told apart and stay. Columns stay as they are."""
+    named, _, ids = _identified(docs, key, text)
+    found = _grouped(named, ids, p, False)
+    if ids is None:
+        first = cut_lineage(found.where("k = component_id").select(F.col("k").alias(key)).distinct())
+        kept = docs.join(first, key, "left_semi").dropDuplicates([key])
+    else:
+        chosen = cut_lineage(found.groupBy("class").agg(F.min(F.struct("k", "h")).alias("s")))
+        first = chosen.select(F.col("s.k").alias("_own_key"), F.col("s.h").alias("_own_hash"))
+        hashed = docs.withColumns({"_own_key": F.col(key).cast("bigint"), "_own_hash": F.xxhash64(text_of(docs, text))})
+        names = ["_own_key", "_own_hash"]
+        kept = hashed.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
     return kept.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), links=True)
 
 
 def op9_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:

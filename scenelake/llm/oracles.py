@@ -182,7 +182,7 @@ ORACLES = {
     "op3_secret_scans": _secrets(),
     "op4_warc": WARC,
     "op5_exact_top_k": TOP_K,
-    "op9_ngram_jaccard_join": JOIN,
+    "op9_ngram_jaccard_join": LINKS,
     "op9_ngram_jaccard_links": LINKS,
     "op10_quality_rules": _quality(),
     "op10_quality_listed": _quality_listed(),

@@ -322,6 +322,57 @@ def test_near_duplicates_edges(docs, no_docs):
     assert ngram_join.near_duplicates(no_docs).count() == 0
 
 
+def near_copies(n, seed=3):
+    """Sets of which neighbours link and few others do, so that one hub can't connect them."""
+    rng = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(n):
+        base = list(base)
+        base[rng.randrange(120)] = f"v{i}"
+        rows.append((i, " ".join(base)))
+    return rows
+
+
+def test_long_chains_in_small_blocks(spark):
+    p = ngram_join.JoinParameters(words=1, percent=90, block=4, parts=2)
+    rows = near_copies(60) + [(100 + i, t + " end") for i, t in near_copies(40, 8)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p=p).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == grouped(rows, p)
+
+
+def test_edges_not_pairs(spark):
+    """What comes out of the cells of one segment grows with its rows, not with their pairs."""
+    p = ngram_join.JoinParameters(block=16)
+    empty = spark.createDataFrame([], "node long, component long")
+    made = {}
+    for n in (64, 128):
+        multi = spark.createDataFrame([(7, i) for i in range(n)], "key long, node long")
+        nodes = spark.createDataFrame([(i, 50, b"\0" * 16) for i in range(n)], "node long, n long, bits binary")
+        edges = ngram_join._may_connect(ngram_join._open_rows(multi, empty), nodes, p)
+        found = edges.collect()
+        made[n] = len(found)
+        assert {r["component"] for r in ngram_join.components(edges).collect()} == {0}
+    # Less than a row each, and one edge for each two blocks.
+    assert made[64] < 64 + 8 * 7 / 2 and made[128] < 128 + 16 * 15 / 2
+
+
+def test_one_key_for_several_texts(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    third = " ".join(f"y{i}" for i in range(60))
+    rows = [(1, words, "a"), (1, other, "b"), (1, third, "c"), (2, other + " end", "d"), (3, third, "e"), (1, words, "f"), (4, "", "g"), (4, None, "h"), (None, words, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert texts == sorted([(1, words), (1, other), (1, third), (4, ""), (0, words)])
+    got = ngram_join.near_duplicates(df, links=True).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_links"] or 0) for r in got) == sorted(
+        [(1, 1, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (1, 1, 0), (4, 4, 0), (4, 4, 0), (0, 0, 0)]
+    )
+
+
 def test_most_difference_is_tight():
     for percent in (80, 85):
         p = ngram_join.JoinParameters(percent=percent)
