@@ -8,8 +8,9 @@ with the number of times each was parsed; counting goes on in the dictionary onl
 Ownership. A chunk that another one follows leaves n-grams that begin in its last `overlap` words to that one. As
 no phrase is longer than `overlap` + 1 words, each occurrence lies whole in the chunk that owns its first word.
 
-Counting. Words are counted first, then pairs of frequent words, then all longer phrases in which every pair is
-frequent. A filter of bounded size says what is; it may pass too many, which costs time and changes no result. Counts are summed per batch of chunks before they are shuffled, as phrases, not as hashes.
+Counting. Words are counted first, then pairs of frequent words by their hashes, then all phrases in which every pair
+may be frequent, as what they are. A filter of bounded size says what may be; hashes that meet, and a filter
+that is full, let too many pass, which costs time and changes no result. Counts are summed per batch of chunks before they are shuffled.
 """
 
 from __future__ import annotations
@@ -129,18 +130,18 @@ def parsed(docs: DataFrame, p: PhraseParameters) -> DataFrame:
 
 
 class Filter:
-    """A set of hashes in a fixed number of bits, two a hash; it may hold more than was put in."""
+    """A set of keys in a fixed number of bits, two a key; it may hold more than was put in."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(len(bits) * 64 - 1)
+        self.bits = bits
 
     @staticmethod
-    def places(hashes: np.ndarray, bits: int) -> np.ndarray:
-        mask = np.uint64(bits - 1)
-        return np.concatenate([hashes & mask, (hashes >> np.uint64(32)) & mask])
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        mask, spread = np.uint64(bits - 1), _mixed(keys)
+        return np.concatenate([spread & mask, (spread >> np.uint64(32)) & mask])
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        one, two = np.split(self.places(hashes, len(self.bits) * 64), 2)
+        one, two = np.split(self.places(_key(hashes), len(self.bits) * 64), 2)
         found = [self.bits[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1) for x in (one, two)]
         return (found[0] & found[1]).astype(bool)
 
@@ -157,23 +158,32 @@ def _longer(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(phrase + word * _ODD)
 
 
-def filter_of(phrases: DataFrame, p: PhraseParameters) -> np.ndarray:
-    """Bits of the filter on (lang, phrase), as many as the number of phrases asks for up to `filter_bits`."""
-    size = min(p.filter_bits, 1 << max(12, int(16 * phrases.count()).bit_length()))
+def _key(hashes: np.ndarray) -> np.ndarray:
+    """What is shuffled of a hash: 36 bits tell enough apart, and pack well."""
+    return hashes >> np.uint64(28)
+
+
+def keys_of_words(words: DataFrame) -> DataFrame:
+    """(key) of (lang, phrase) of one word each."""
+
+    def run(batches):
+        for batch in batches:
+            langs, words = (_hashes(batch.column(c).to_pylist()) for c in ("lang", "phrase"))
+            yield pa.RecordBatch.from_arrays([pa.array(_key(_begun(langs, words)).astype(np.int64))], names=["key"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "key bigint")
+
+
+def filter_of(keys: DataFrame, p: PhraseParameters) -> np.ndarray:
+    """Bits of the filter on (key), as many as the number of keys asks for up to `filter_bits`."""
+    size = min(p.filter_bits, 1 << max(12, int(16 * keys.count()).bit_length()))
 
     def places(batches):
         for batch in batches:
-            hashes = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                words = _hashes(phrase.split(" "))
-                h = _begun(_hashes([lang]), words[:1])
-                for i in range(1, len(words)):
-                    h = _longer(h, words[i : i + 1])
-                hashes.append(h)
-            at = Filter.places(np.concatenate(hashes or [np.zeros(0, np.uint64)]), size).astype(np.int64)
+            at = Filter.places(batch.column("key").to_numpy().astype(np.uint64), size).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
-    words = phrases.select("lang", "phrase").mapInArrow(places, "at bigint").groupBy(F.expr("at div 64").alias("word")).agg(
+    words = keys.mapInArrow(places, "at bigint").groupBy(F.expr("at div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")
     )
     found = words.toArrow()
@@ -202,24 +212,23 @@ class _Words:
         self.weights = np.repeat(chunks.column("n").to_numpy(), sizes)
         self.lang = np.repeat(lang.indices.to_numpy().astype(np.int64), sizes)
 
-    def starts(self, sizes: tuple[int, ...], known: Filter | None) -> Iterator[tuple[int, np.ndarray]]:
-        """Sizes and places of owned phrases, in which every shorter phrase, up to the sizes that have been counted, is
-        one that the filter holds."""
-        if known is None:
-            yield 1, np.flatnonzero(self.owned)
-            return
+    def pairs(self, known: Filter) -> tuple[np.ndarray, np.ndarray]:
+        """Places where two words follow each other that the filter holds, and the hashes of these pairs."""
         words = _hashes(self.words.to_pylist())
         hashes = _begun(_hashes(self.langs.to_pylist())[self.lang], words[self.codes])
         alive = known.holds(hashes)
-        for k in range(2, sizes[-1] + 1):
-            at = np.flatnonzero(alive[:-1] & alive[1:] & (self.left[:-1] >= k))
-            if k in sizes:
-                yield k, at[self.owned[at]]
-            else:
-                hashes[at] = _longer(hashes[at], words[self.codes[at + k - 1]])
-                at = at[known.holds(hashes[at])]
-            alive = np.zeros(len(alive), bool)
+        at = np.flatnonzero(alive[:-1] & alive[1:] & (self.left[:-1] >= 2))
+        return at, _longer(hashes[at], words[self.codes[at + 1]])
+
+    def starts(self, known: Filter, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Sizes and places of owned phrases of two words and more, in which the filter holds every word and pair."""
+        at, hashes = self.pairs(known)
+        at = at[known.holds(hashes)]
+        for k in range(2, longest + 1):
+            yield k, at[self.owned[at]]
+            alive = np.zeros(len(self.codes), bool)
             alive[at] = True
+            at = np.flatnonzero(alive[:-1] & alive[1:] & (self.left[:-1] > k))
 
     def counts(self, k: int, at: np.ndarray) -> pa.RecordBatch:
         """(lang, phrase, n) of the phrases of k words that begin `at`."""
@@ -240,45 +249,53 @@ class _Words:
         )
 
 
-def counted(dictionary: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, p: PhraseParameters) -> DataFrame:
-    """(lang, phrase, f) of the phrases of so many words that occur `least` times or more."""
-    shared = dictionary.sparkSession.sparkContext.broadcast(known)  # at most filter_bits
+def _over_words(dictionary: DataFrame, schema: str, work, p: PhraseParameters) -> DataFrame:
+    """What `work` makes of the words of many chunks at a time, whose number is bounded whatever a batch holds."""
 
     def run(batches):
-        held = None if shared.value is None else Filter(shared.value)
         waiting, size = [], 0
-
-        def out():
-            words = _Words(pa.Table.from_batches(waiting), p)
-            for k, at in words.starts(sizes, held):
-                yield words.counts(k, at)
-
         for batch in batches:
-            # Slices, so that what is looked at together is bounded whatever a batch holds.
             step = max(1, batch.num_rows * 6 * p.words // max(batch.nbytes, 1))
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
                 waiting.append(part)
                 size += part.nbytes
                 if size >= 6 * p.words:
-                    yield from out()
+                    yield from work(_Words(pa.Table.from_batches(waiting), p))
                     waiting, size = [], 0
         if waiting:
-            yield from out()
+            yield from work(_Words(pa.Table.from_batches(waiting), p))
+
+    return dictionary.select("lang", "chunk", "followed", "n").mapInArrow(run, schema)
+
 
-    found = dictionary.select("lang", "chunk", "followed", "n").mapInArrow(run, "lang string, phrase string, n bigint")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= p.least)
+def _frequent(counts: DataFrame, p: PhraseParameters, *by: str) -> DataFrame:
+    return cut_lineage(counts.groupBy(*by).agg(F.sum("n").alias("f")).where(F.col("f") >= p.least))
 
 
 def frequent_phrases(dictionary: DataFrame, p: PhraseParameters) -> DataFrame:
     """(lang, phrase, f, k) of all phrases of 1 to `longest` words that occur `least` times or more."""
-    found, known = None, None
-    for sizes in ((1,), (2,), tuple(range(3, p.longest + 1))):
-        level = counted(dictionary, sizes, known, p).withColumn("k", F.size(F.split("phrase", " ")))
-        level = cut_lineage(level)
-        found = level if found is None else found.unionByName(level)
-        known = filter_of(found, p) if sizes[-1] < p.longest else None
-    return found
+    context, phrase = dictionary.sparkSession.sparkContext, "lang string, phrase string, n bigint"
+    counts = _over_words(dictionary, phrase, lambda w: [w.counts(1, np.flatnonzero(w.owned))], p)
+    words = _frequent(counts, p, "lang", "phrase")
+    word_keys = keys_of_words(words)
+    of_words = context.broadcast(filter_of(word_keys, p))  # at most filter_bits, as below
+
+    def pair_counts(w: _Words):
+        at, hashes = w.pairs(Filter(of_words.value))
+        keys, inverse = np.unique(_key(hashes[w.owned[at]]), return_inverse=True)
+        sums = np.bincount(inverse, w.weights[at[w.owned[at]]], minlength=len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], names=["key", "n"])
+
+    pair_keys = _frequent(_over_words(dictionary, "key bigint, n bigint", pair_counts, p), p, "key").select("key")
+    of_both = context.broadcast(filter_of(word_keys.unionByName(pair_keys), p))
+
+    def longer_counts(w: _Words):
+        for k, at in w.starts(Filter(of_both.value), p.longest):
+            yield w.counts(k, at)
+
+    longer = _frequent(_over_words(dictionary, phrase, longer_counts, p), p, "lang", "phrase")
+    return words.unionByName(longer).withColumn("k", F.size(F.split("phrase", " ")))
 
 
 def scored(phrases: DataFrame, totals: DataFrame, p: PhraseParameters) -> DataFrame:
