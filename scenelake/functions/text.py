@@ -110,12 +110,7 @@ def cover_rank(words: Column, clauses: list[Clause]) -> Column:
     One left-to-right pass keeps the last position of every query term. A span ends wherever the
     latest possible start moves forward, so each minimal span counts exactly once.
     """
-    positive = [c for c in clauses if c.terms]
-    if not positive:
-        return F.lit(0.0)
-    terms = sorted({t for c in positive for t in c.terms})
-    number = {t: i for i, t in enumerate(terms)}
-    vocabulary = F.array(*[F.lit(t) for t in terms])
+    vocabulary = F.array(*[F.lit(t) for t in terms_of(clauses)]).cast("array<string>")
     hits = F.filter(
         F.transform(
             words,
@@ -123,6 +118,52 @@ def cover_rank(words: Column, clauses: list[Clause]) -> Column:
         ),
         lambda h: h["term"] > 0,
     )
+    return _cover_rank(hits, clauses)
+
+
+def terms_of(clauses: list[Clause]) -> list[str]:
+    """All terms that may count for a rank, sorted."""
+    return sorted({t for c in clauses for t in c.terms})
+
+
+def places_of(held: Column, term: str) -> Column:
+    """Where a term stands, from a map of terms to places."""
+    return F.coalesce(held[term], F.array().cast("array<int>"))
+
+
+def matches_at(held: Column, clauses: list[Clause]) -> Column:
+    """`matches` from a map of terms to the places where they stand, instead of from the text."""
+
+    def starts(term: str, back: int) -> Column:
+        return F.transform(places_of(held, term), lambda p: p - F.lit(back))
+
+    def has(part: tuple[str, ...]) -> Column:
+        return F.size(reduce(F.array_intersect, [starts(w, i) for i, w in enumerate(part)])) > 0
+
+    def one(clause: Clause) -> Column:
+        tests = [has(p) for p in [*((w,) for w in clause.words), *clause.phrases]]
+        return reduce(lambda a, b: a & b, tests + [~has(p) for p in clause.excluded])
+
+    return reduce(lambda a, b: a | b, [one(c) for c in clauses]) if clauses else F.lit(False)
+
+
+def cover_rank_at(held: Column, clauses: list[Clause]) -> Column:
+    """`cover_rank` from a map of terms to the places where they stand."""
+
+    def hits_of(term: str, number: int) -> Column:
+        return F.transform(places_of(held, term), lambda p: F.struct(p.alias("pos"), F.lit(number).alias("term")))
+
+    hits = [hits_of(t, i + 1) for i, t in enumerate(terms_of(clauses))]
+    return _cover_rank(F.sort_array(F.concat(*hits)), clauses) if hits else F.lit(0.0)
+
+
+def _cover_rank(hits: Column, clauses: list[Clause]) -> Column:
+    """The rank from (pos, term) of every hit, in order; terms are numbered from 1."""
+    positive = [c for c in clauses if c.terms]
+    if not positive:
+        return F.lit(0.0)
+    terms = terms_of(positive)
+    number = {t: i for i, t in enumerate(terms)}
 
     def earliest(last: Column, clause: Clause) -> Column:
         places = [last[number[t]] for t in clause.terms]

@@ -45,7 +45,7 @@ def restrict(
 def bm25_scores(
     docs: DataFrame, weights: Mapping[str, float], match_all: bool, postings: DataFrame | None = None
 ) -> DataFrame:
-    """(id, score) of the documents holding any, or all, of the weighted terms.
+    """(id, score) of the documents holding any, or all, of the weighted terms, with asset and scene where known.
 
     With stored `postings` of the same documents only rows of the query's terms are read; without, the
     texts are scanned and only occurrences of the terms leave the scan. Collection statistics are a
@@ -73,19 +73,23 @@ def bm25_scores(
     part = F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
     )
-    scores = found.join(factors, "term").groupBy("id").agg(
+    # Of which asset a document is comes with its postings.
+    keys = [c for c in ("id", "asset_id", "scene_id") if c in found.columns]
+    scores = found.join(factors, "term").groupBy(*keys).agg(
         F.sum(F.col("factor") * part).alias("score"), F.count("*").alias("held")
     )
     if match_all:
         scores = scores.where(F.col("held") == len(terms))
-    return scores.select("id", "score")
+    return scores.select(*keys, "score")
 
 
 def bm25_search(
     docs: DataFrame, query: str | None, libraries: Iterable[str] = (), types: Iterable[str] = (),
     limit: int = 50, postings: DataFrame | None = None, tag: str | None = None, ocr: bool = False,
+    per_asset: bool = False,
 ) -> DataFrame:
-    """The best documents holding every query word, one row per document; none for an empty query.
+    """The best documents holding every query word, one row per document; none for an empty query. With `per_asset`
+    the best document of each of the best assets, of equal ones the earliest scene.
 
     With `tag` only documents that carry it; with `ocr` the words must stand in the OCR text. Both restrict the
     scope, so that statistics are those of the documents that may be found.
@@ -104,8 +108,12 @@ def bm25_search(
         if narrowed is not None:
             narrowed = narrowed.join(scope.select("id", "index_name"), ["id", "index_name"], "left_semi")
     scores = bm25_scores(scope, dict.fromkeys(words, 1), match_all=True, postings=narrowed)
-    top = scores.orderBy(F.col("score").desc(), "id").limit(limit)
-    return scope.join(top, "id")
+    order = "id"
+    if per_asset:
+        best = F.max_by(F.struct("id", "score"), F.struct("score", -F.col("scene_id")))
+        scores, order = scores.groupBy("asset_id").agg(best.alias("best")).select("asset_id", "best.*"), "asset_id"
+    top = scores.orderBy(F.col("score").desc(), order).limit(limit)
+    return scope.join(top.select("id", "score"), "id")
 
 
 def active_documents(
@@ -125,12 +133,12 @@ def active_documents(
 def routed_search(
     docs: DataFrame, policy: DataFrame, library: DataFrame, query: str, libraries: Iterable[str] | None = None,
     types: Iterable[str] = (), limit: int = 50, postings: DataFrame | None = None, tag: str | None = None,
-    ocr: bool = False, include_deleted: bool = False,
+    ocr: bool = False, include_deleted: bool = False, per_asset: bool = False,
 ) -> DataFrame:
     scope, narrowed = (
         t if t is None else active_documents(t, policy, library, libraries, include_deleted) for t in (docs, postings)
     )
-    return bm25_search(scope, query, libraries or (), types, limit, narrowed, tag, ocr)
+    return bm25_search(scope, query, libraries or (), types, limit, narrowed, tag, ocr, per_asset)
 
 
 def has_active_index(policy: DataFrame, libraries: Iterable[str] | None = None) -> bool:
@@ -247,7 +255,7 @@ def find_similar(
     if postings is not None:
         postings = postings.join(inside.select("id"), "id", "left_semi")
     scores = bm25_scores(inside, weights, match_all=False, postings=postings)
-    top = scores.orderBy(F.col("score").desc(), "id").limit(max_results)
+    top = scores.select("id", "score").orderBy(F.col("score").desc(), "id").limit(max_results)
     return inside.join(adaptive_cut(top, **cut), "id")
 
 

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from scenelake.functions.paths import (
     base_name, media_url, mm_ss, preview_url, thumbnail_url,
 )
-from scenelake.functions.text import Clause, cover_rank, matches, normalise, parse_query
+from scenelake.functions.stem import stem
+from scenelake.functions.text import (
+    Clause, cover_rank, cover_rank_at, matches, matches_at, normalise, parse_query, terms_of,
+)
 from scenelake.operators.catalog import live_assets
+from scenelake.sources.text_index import TextIndex
 
 MAX_LIMIT = 500
 
@@ -67,6 +71,72 @@ def ranked(rows: DataFrame, text: Column, clauses: list[Clause]) -> DataFrame:
     return hit.withColumn("rank", cover_rank(F.split(F.trim(normal), " "), clauses))
 
 
+def stemmed(clauses: list[Clause]) -> list[Clause]:
+    """The same query over stems."""
+    parts = lambda ps: tuple(tuple(map(stem, p)) for p in ps)
+    return [Clause(tuple(map(stem, c.words)), parts(c.phrases), parts(c.excluded)) for c in clauses]
+
+
+def found_at(index: TextIndex, clauses: list[Clause], field: str | None = None) -> DataFrame:
+    """Images and scenes (kind, id, asset_id, start_ts, end_ts, rank) that satisfy a query, from postings alone.
+
+    Every alternative needs a word that must occur. `field` keeps to the `description` or the `ocr` text. What is
+    gathered per text is one row per word of the query.
+    """
+    if any(not c.terms for c in clauses):
+        raise ValueError("an alternative without a word that must occur can't be answered from postings")
+    if index.stemmed:
+        clauses = stemmed(clauses)
+    terms = sorted({*terms_of(clauses), *(w for c in clauses for p in c.excluded for w in p)})
+    rows = index.rows("word", terms)
+    inside = {
+        None: F.col("places"),
+        "ocr": F.filter("places", lambda p: p > F.col("ocr_from")),
+        "description": F.filter("places", lambda p: p <= F.col("described")),
+    }[field]
+    rows = rows.withColumn("places", inside).where(F.size("places") > 0)
+    texts = rows.groupBy("kind", "id", "asset_id", "start_ts", "end_ts").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("held")
+    )
+    hits = texts.where(matches_at(F.col("held"), clauses))
+    return hits.select("kind", "id", "asset_id", "start_ts", "end_ts", cover_rank_at(F.col("held"), clauses).alias("rank"))
+
+
+def indexed_rows(index: TextIndex, req: SearchRequest, clauses: list[Clause] | None) -> DataFrame:
+    """Images and scenes that a request finds in the index, whatever their library."""
+    tagged = index.rows("tag", [req.tag]).select("kind", "id", "asset_id", "start_ts", "end_ts") if req.tag else None
+    if clauses is None:
+        return tagged.withColumn("rank", F.lit(1.0))
+    found = found_at(index, clauses, "ocr" if req.ocr_query is not None else None)
+    return found if tagged is None else found.join(tagged.select("kind", "id"), ["kind", "id"], "left_semi")
+
+
+def _as_image_hits(rows: DataFrame, asset_id: str) -> DataFrame:
+    return rows.select(
+        F.col(asset_id).alias("asset_id"),
+        F.lit(None).cast("double").alias("best_scene_ts"),
+        F.lit(1.0).alias("match_ratio"),
+        F.col("rank").alias("base_rank"),
+        F.lit(None).cast("string").alias("best_rep_frame_path"),
+    )
+
+
+def _indexed_hits(
+    asset: DataFrame, scene: DataFrame, library: DataFrame, req: SearchRequest, clauses: list[Clause] | None, index: TextIndex
+) -> DataFrame:
+    """Hits from the index. The catalog gives which assets count and the frames of the best scenes, never a text."""
+    rows = indexed_rows(index, req, clauses)
+    owners = [in_scope(asset, library, req, kind).select(F.col("id").alias("asset_id")) for kind in ("image", "video")]
+    images = _as_image_hits(rows.where("kind = 'image'").join(owners[0], "asset_id", "left_semi"), "asset_id")
+    scenes = rows.where("kind = 'scene'").join(owners[1], "asset_id", "left_semi")
+    videos = _per_video(scenes, F.struct("start_ts", "id"))
+    if req.full_duration:
+        videos = _over_whole(videos, scene)
+    frames = scene.select(F.col("id").alias("best_id"), "rep_frame_path")
+    shown = videos.withColumn("best_id", F.col("best.id")).join(frames, "best_id", "left")
+    return images.unionByName(_as_video_hits(shown, F.col("rep_frame_path")))
+
+
 def image_hits(asset: DataFrame, req: SearchRequest, clauses: list[Clause] | None) -> DataFrame:
     rows = asset.where(F.col("visual_analysis").isNotNull())
     if req.tag:
@@ -75,12 +145,29 @@ def image_hits(asset: DataFrame, req: SearchRequest, clauses: list[Clause] | Non
         rows = rows.withColumn("rank", F.lit(1.0))
     else:
         rows = ranked(rows, search_text(F.col("visual_analysis"), req.ocr_query is not None), clauses)
-    return rows.select(
-        F.col("id").alias("asset_id"),
-        F.lit(None).cast("double").alias("best_scene_ts"),
-        F.lit(1.0).alias("match_ratio"),
-        F.col("rank").alias("base_rank"),
-        F.lit(None).cast("string").alias("best_rep_frame_path"),
+    return _as_image_hits(rows, "id")
+
+
+def _per_video(rows: DataFrame, best: Column) -> DataFrame:
+    """Matching scenes rolled up: of the best one what is asked for, and the share of matching time."""
+    return rows.groupBy("asset_id").agg(
+        F.max_by(best, F.struct("rank", -F.col("start_ts"), -F.col("id"))).alias("best"),
+        F.sum(F.col("end_ts") - F.col("start_ts")).alias("matched"), F.max("end_ts").alias("total"),
+        F.max("rank").alias("base_rank"),
+    )
+
+
+def _over_whole(videos: DataFrame, scene: DataFrame) -> DataFrame:
+    """Measured against the last scene of the video, matching or not."""
+    ends = scene.groupBy("asset_id").agg(F.max("end_ts").alias("total"))
+    return videos.drop("total").join(ends, "asset_id")
+
+
+def _as_video_hits(videos: DataFrame, frame: Column) -> DataFrame:
+    return videos.select(
+        "asset_id", F.col("best.start_ts").alias("best_scene_ts"),
+        (F.col("matched") / F.nullif(F.col("total"), F.lit(0.0))).alias("match_ratio"),
+        "base_rank", frame.alias("best_rep_frame_path"),
     )
 
 
@@ -97,25 +184,20 @@ def video_hits(scene: DataFrame, req: SearchRequest, clauses: list[Clause] | Non
         rows = rows.withColumn("rank", F.lit(1.0))
     else:
         rows = ranked(rows, search_text(F.col("metadata.analysis"), req.ocr_query is not None), clauses)
-    best = F.max_by(
-        F.struct("start_ts", "rep_frame_path"), F.struct("rank", -F.col("start_ts"), -F.col("id"))
-    )
-    videos = rows.groupBy("asset_id").agg(
-        best.alias("best"), F.sum(F.col("end_ts") - F.col("start_ts")).alias("matched"),
-        F.max("end_ts").alias("total"), F.max("rank").alias("base_rank"),
-    )
+    videos = _per_video(rows, F.struct("start_ts", "rep_frame_path"))
     if req.full_duration:
-        ends = scene.groupBy("asset_id").agg(F.max("end_ts").alias("total"))
-        videos = videos.drop("total").join(ends, "asset_id")
-    return videos.select(
-        "asset_id", F.col("best.start_ts").alias("best_scene_ts"),
-        (F.col("matched") / F.nullif(F.col("total"), F.lit(0.0))).alias("match_ratio"),
-        "base_rank", F.col("best.rep_frame_path").alias("best_rep_frame_path"),
-    )
+        videos = _over_whole(videos, scene)
+    return _as_video_hits(videos, F.col("best.rep_frame_path"))
+
 
+def all_hits(
+    asset: DataFrame, scene: DataFrame, library: DataFrame, req: SearchRequest, index: TextIndex | None = None
+) -> DataFrame:
+    """Every hit with its final rank, before the top-k cut.
 
-def all_hits(asset: DataFrame, scene: DataFrame, library: DataFrame, req: SearchRequest) -> DataFrame:
-    """Every hit with its final rank, before the top-k cut."""
+    With an `index` only postings of the query's words and tag are read, and no text. Without one, and for a query
+    with an alternative that only excludes, texts are scanned.
+    """
     clauses = None
     if req.query or req.ocr_query:
         clauses = parse_query(req.query or req.ocr_query)
@@ -123,18 +205,29 @@ def all_hits(asset: DataFrame, scene: DataFrame, library: DataFrame, req: Search
         none = asset.where(F.lit(False))
         images = image_hits(none, replace(req, tag="-"), None)
         return images.withColumn("final_rank", F.col("base_rank"))
-    images = image_hits(in_scope(asset, library, req, "image"), req, clauses)
-    owners = in_scope(asset, library, req, "video").select(F.col("id").alias("asset_id"))
-    videos = video_hits(scene, req, clauses).join(owners, "asset_id", "left_semi")
+    if index is not None and all(c.terms for c in clauses or ()):
+        hits = _indexed_hits(asset, scene, library, req, clauses, index)
+    else:
+        if index is not None and index.stemmed:
+            raise ValueError("a query that only excludes can't be searched by stems")
+        owners = in_scope(asset, library, req, "video").select(F.col("id").alias("asset_id"))
+        videos = video_hits(scene, req, clauses).join(owners, "asset_id", "left_semi")
+        hits = image_hits(in_scope(asset, library, req, "image"), req, clauses).unionByName(videos)
     boost = F.lit(1.0) + F.coalesce("match_ratio", F.lit(0.0)) * 2.0
-    return images.unionByName(videos).withColumn("final_rank", F.col("base_rank") * boost)
+    return hits.withColumn("final_rank", F.col("base_rank") * boost)
 
 
-def search_assets(asset: DataFrame, scene: DataFrame, library: DataFrame, req: SearchRequest) -> DataFrame:
-    """The `limit` best hits; equal ranks are ordered by asset id."""
+def check_limit(req: SearchRequest) -> None:
     if not 1 <= req.limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    return top_hits(all_hits(asset, scene, library, req), req.limit)
+
+
+def search_assets(
+    asset: DataFrame, scene: DataFrame, library: DataFrame, req: SearchRequest, index: TextIndex | None = None
+) -> DataFrame:
+    """The `limit` best hits; equal ranks are ordered by asset id."""
+    check_limit(req)
+    return top_hits(all_hits(asset, scene, library, req, index), req.limit)
 
 
 def top_hits(hits: DataFrame, limit: int) -> DataFrame:
@@ -149,9 +242,9 @@ def with_confidence(hits: DataFrame) -> DataFrame:
     return hits.withColumn("confidence", pct).withColumn("band", band)
 
 
-def result_rows(hits: DataFrame, asset: DataFrame, library: DataFrame) -> DataFrame:
-    """Hits of live assets with links, labels and library names, as shown to a user."""
-    own = live_assets(asset, library).select(
+def result_rows(hits: DataFrame, asset: DataFrame, library: DataFrame, include_deleted: bool = False) -> DataFrame:
+    """Hits with links, labels and library names, as shown to a user; of live assets unless others are asked for."""
+    own = (asset if include_deleted else live_assets(asset, library)).select(
         F.col("id").alias("asset_id"), "library_id", "rel_path", "type", "status", "error_message",
         "video_preview_path",
     )
@@ -169,4 +262,5 @@ def result_rows(hits: DataFrame, asset: DataFrame, library: DataFrame) -> DataFr
         F.col("library_id").alias("library_slug"),
         F.coalesce("named", "library_id").alias("library_name"),
         base_name(F.col("rel_path")).alias("filename"),
+        *(c for c in ("searched",) if c in hits.columns),
     )

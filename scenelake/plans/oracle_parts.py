@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scenelake.functions import stem
 from scenelake.schemas import IMAGE_SUFFIXES, MEDIA_SUFFIXES, VIDEO_SUFFIXES
 
 
@@ -128,3 +129,47 @@ GEO_CTES = {
   from pts p, gazetteer g where p.lat is not null""",
     "nearest": "select * from dist qualify row_number() over (partition by id order by angle, place_id)=1",
 }
+
+
+# English stems by the Snowball rules, over (t): each step as regular expressions on the word.
+
+
+def _table(values: dict[str, str], column: str) -> str:
+    return "case " + column + " " + " ".join(f"when '{k}' then '{v}'" for k, v in values.items()) + " end"
+
+
+def _ends(values) -> str:
+    return "(" + "|".join(values) + ")$"
+
+
+_REGION = "^.*?[aeiouy][^aeiouy]"
+_SHORT = "'^[aeiouy][^aeiouy]$|[^aeiouy][aeiouy][^aeiouywxY]$'"
+
+
+def stem_ctes(words: str) -> dict[str, str]:
+    """`stems` (t, stem) of the words (t) that the SELECT `words` gives."""
+    cut = lambda s: f"left(w, len(w)-len({s}))"
+    return {
+        "st0": f"select t, regexp_replace(regexp_replace(t,'^y','Y'),'([aeiouy])y','\\1Y','g') as w from ({words}) q",
+        "st1": f"""select *, case when regexp_matches(w,'^({"|".join(stem.REGION_PREFIX)})') then len(regexp_extract(w,'^({"|".join(stem.REGION_PREFIX)})'))
+  when regexp_matches(w,'{_REGION}') then len(regexp_extract(w,'{_REGION}')) else len(w) end as r1 from st0""",
+        "st2": f"select *, case when regexp_matches(substr(w,r1+1),'{_REGION}') then r1+len(regexp_extract(substr(w,r1+1),'{_REGION}')) else len(w) end as r2 from st1",
+        "st3": """select t, r1, r2, case when w like '%sses' then left(w,len(w)-2) when regexp_matches(w,'ie[ds]$') then left(w,len(w)-case when len(w)>4 then 2 else 1 end)
+  when regexp_matches(w,'(us|ss)$') then w when w like '%s' and regexp_matches(left(w,len(w)-1),'[aeiouy].') then left(w,len(w)-1) else w end as w from st2""",
+        "st4": f"select *, regexp_extract(w,'{_ends(('eedly', 'ingly', 'edly', 'eed', 'ing', 'ed'))}') as s from st3",
+        "st5": f"""select t, r1, r2, case when s='' then w when s like 'eed%' then case when len(w)-len(s)>=r1 then {cut('s')}||'ee' else w end
+  when not regexp_matches({cut('s')},'[aeiouy]') then w when regexp_matches({cut('s')},'(at|bl|iz)$') then {cut('s')}||'e'
+  when regexp_matches({cut('s')},'(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then left(w,len(w)-len(s)-1)
+  when r1>=len(w)-len(s) and regexp_matches({cut('s')},{_SHORT}) then {cut('s')}||'e' else {cut('s')} end as w from st4""",
+        "st6": "select t, r1, r2, case when len(w)>2 then regexp_replace(w,'([^aeiouy])[yY]$','\\1i') else w end as w from st5",
+        "st7": f"select *, regexp_extract(w,'{_ends(stem.SECOND)}') as s from st6",
+        "st8": f"""select t, r1, r2, case when s='' or len(w)-len(s)<r1 or (s='ogi' and {cut('s')} not like '%l') or (s='li' and not regexp_matches({cut('s')},'[{stem.BEFORE_LI}]$')) then w
+  else {cut('s')}||{_table(stem.SECOND, 's')} end as w from st7""",
+        "st9": f"select *, regexp_extract(w,'{_ends(stem.THIRD)}') as s from st8",
+        "st10": f"select t, r1, r2, case when s='' or len(w)-len(s)<case when s='ative' then r2 else r1 end then w else {cut('s')}||{_table(stem.THIRD, 's')} end as w from st9",
+        "st11": f"select *, regexp_extract(w,'{_ends(stem.FOURTH)}') as s from st10",
+        "st12": f"select t, r1, r2, case when s='' or len(w)-len(s)<r2 or (s='ion' and not regexp_matches({cut('s')},'[st]$')) then w else {cut('s')} end as w from st11",
+        "stems": f"""select s2.t, case when len(s2.t)<3 then s2.t when s2.t in {_in(stem.OWN_STEM)} then {_table(stem.OWN_STEM, 's2.t')} when s3.w in {_in(stem.FINISHED)} then s3.w
+  else lower(case when s2.w like '%e' and (len(s2.w)-1>=s2.r2 or (len(s2.w)-1>=s2.r1 and not regexp_matches(left(s2.w,len(s2.w)-1),{_SHORT}))) then left(s2.w,len(s2.w)-1)
+  when s2.w like '%ll' and len(s2.w)-1>=s2.r2 then left(s2.w,len(s2.w)-1) else s2.w end) end as stem from st12 s2 join st3 s3 using (t)""",
+    }

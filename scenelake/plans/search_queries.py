@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.functions.text import cover_rank, parse_query, tokens
+from scenelake.functions.text import Clause, parse_query
 from scenelake.operators import ranking as rk
 from scenelake.operators import search as se
 from scenelake.operators.find import find
@@ -15,6 +15,7 @@ from scenelake.plans import oracle_parts as o
 from scenelake.plans.registry import query
 from scenelake.plans.tables import AS_OF, Catalog
 from scenelake.sources import search_docs as sd
+from scenelake.sources import text_index as ti
 from scenelake.streaming.sync import sync_batch
 
 WORDS = ["attion", "eriner"]
@@ -23,7 +24,7 @@ TEXT = " ".join(WORDS)
 
 
 def _search(c: Catalog, **how) -> DataFrame:
-    return se.search_assets(c.asset, c.scene, c.library, se.SearchRequest(**how))
+    return se.search_assets(c.asset, c.scene, c.library, se.SearchRequest(**how), c.text_index)
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def fts_search(c: Catalog) -> DataFrame:
 @query("fts_search_all", f"select {o.HIT_COLUMNS} from final", o.hit_ctes(["thing"], o.searchable()))
 def fts_search_all(c: Catalog) -> DataFrame:
     """Every hit of a single word, before the cut."""
-    return _shown(se.all_hits(c.asset, c.scene, c.library, se.SearchRequest(query="thing")))
+    return _shown(se.all_hits(c.asset, c.scene, c.library, se.SearchRequest(query="thing"), c.text_index))
 
 
 @query("fts_search_tag", _top(50), o.hit_ctes(["attion"], o.searchable(tag="en")))
@@ -82,29 +83,22 @@ def search_by_library(c: Catalog) -> DataFrame:
 def fts_operators(c: Catalog) -> DataFrame:
     """Phrase, exclusion and alternative in one query: the documents that match."""
     req = se.SearchRequest(query='"attion eriner" -thing or thanea')
-    clauses = parse_query(req.query)
-    images = se.in_scope(c.asset, c.library, req, "image").where(F.col("visual_analysis").isNotNull())
-    owners = se.in_scope(c.asset, c.library, req, "video").select(F.col("id").alias("asset_id"))
-    scenes = c.scene.where(F.col("metadata").isNotNull()).join(owners, "asset_id", "left_semi")
-    found = se.ranked(images, se.search_text(F.col("visual_analysis"), False), clauses).select(
-        F.concat(F.lit("i"), F.col("id").cast("string")).alias("key"), F.col("id").alias("asset_id"))
-    return found.unionByName(
-        se.ranked(scenes, se.search_text(F.col("metadata.analysis"), False), clauses).select(
-            F.concat(F.lit("s"), F.col("id").cast("string")).alias("key"), "asset_id")
-    )
+    found = se.found_at(c.text_index, parse_query(req.query))
+    kinds = {"image": "image", "scene": "video"}
+    owners = [
+        se.in_scope(c.asset, c.library, req, kind).select(F.col("id").alias("asset_id"), F.lit(own).alias("kind"))
+        for own, kind in kinds.items()
+    ]
+    live = found.join(owners[0].unionByName(owners[1]), ["asset_id", "kind"], "left_semi")
+    return live.select(F.concat(F.substring("kind", 1, 1), F.col("id").cast("string")).alias("key"), "asset_id")
 
 
 @query("fts_rank", "select key, round(rank,6) as rank from ranks",
        {"sdoc": "select 'd'||id as key, description as txt from image_asset where description is not null", **o.word_ctes(["ing", "the", "thing"])})
 def fts_rank(c: Catalog) -> DataFrame:
     """Cover-density rank of every description for three words, two of them frequent."""
-    clauses = parse_query("ing thing")
-    everyday = [type(clauses[0])(("ing", "the", "thing"))]
-    words = c.asset.where(F.col("type") == "image").select(
-        F.concat(F.lit("d"), F.col("id").cast("string")).alias("key"),
-        cover_rank(tokens(F.col("visual_analysis.description")), everyday).alias("rank"),
-    )
-    return words.where(F.col("rank") > 0).withColumn("rank", F.round("rank", 6))
+    found = se.found_at(c.text_index, [Clause(("ing", "the", "thing"))], "description").where("kind = 'image'")
+    return found.select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("key"), F.round("rank", 6).alias("rank"))
 
 
 @query(
@@ -334,23 +328,148 @@ _SHOWN = f"""asset_id, a.type, case when a.status not in ('pending','processing'
 
 
 def _found(c: Catalog, policy: DataFrame, **how) -> DataFrame:
-    rows = find(c.asset, c.scene, c.library, policy, c.documents, c.postings, se.SearchRequest(**how))
-    return rows.withColumn("final_rank", F.round("final_rank", 6))
+    rows = find(
+        c.asset, c.scene, c.library, policy, c.documents, c.postings, se.SearchRequest(**how), c.text_index
+    )
+    return rows.withColumn("final_rank", F.round("final_rank", 6)).drop("incomplete")
+
 
+_BY_INDEX = """select asset_id, first(start_ts order by score desc, scene_id) as best_scene_ts, null::double as match_ratio, max(score) as final_rank,
+  first(rep order by score desc, scene_id) as best_rep_frame_path, 'index' as searched
+from (select d.*, q.score, s.start_ts, coalesce(s.rep_frame_path, i.preview_path) as rep from bm25 q join bdoc d on d.id=q.id
+  left join scene s on d.id like 'scene_%' and s.id=d.scene_id left join asset i on d.id like 'asset_%' and i.id=d.asset_id) e
+group by asset_id order by final_rank desc, asset_id limit {0}"""
+_SHOWN_FROM = "join asset a on a.id=h.asset_id join library l on l.slug=a.library_id"
+_INDEXED = "(select library_slug from policy where active_index_name is not null)"
 
-@query("search", f"""select {_SHOWN}, 'index' as searched from (
-  select asset_id, first(start_ts order by score desc, scene_id) as best_scene_ts, null::double as match_ratio, max(score) as final_rank, first(rep order by score desc, scene_id) as best_rep_frame_path
-  from (select d.*, q.score, s.start_ts, coalesce(s.rep_frame_path, i.preview_path) as rep from (select * from bm25 order by score desc, id limit 50) q join bdoc d on d.id=q.id
-    left join scene s on d.id like 'scene_%' and s.id=d.scene_id left join asset i on d.id like 'asset_%' and i.id=d.asset_id) e group by asset_id) h
-join asset a on a.id=h.asset_id join library l on l.slug=a.library_id""", {**_DOCS, **_bm25(
+
+@query("search_by_index", f"select {_SHOWN}, searched from ({_BY_INDEX.format(30)}) h {_SHOWN_FROM}", {**_DOCS, **_bm25(
+    f"select * from doc where {_ACTIVE.format('and library_slug in ' + _THREE)} and library_slug in {_THREE}", _flat_weights(["the"]), 1)})
+def search_by_index(c: Catalog) -> DataFrame:
+    """Three libraries, all with an index: the best document of each asset, before the cut."""
+    return _found(c, c.policy, query="the", libraries=("src1", "src3", "src4"), limit=30)
+
+
+@query("search", f"""select {_SHOWN}, searched from (
+  select * replace (final_rank/max(final_rank) over (partition by searched) as final_rank) from (select * from ({_BY_INDEX.format(50)}) x union all
+    select asset_id, best_scene_ts, match_ratio, final_rank, best_rep_frame_path, 'catalog' from (select final.* from final join asset on asset.id=asset_id where library_id not in {_INDEXED} order by final_rank desc, asset_id limit 50) y) z
+  order by final_rank desc, asset_id limit 50) h {_SHOWN_FROM}""", {**_DOCS, **o.hit_ctes(WORDS, o.searchable()), **_bm25(
     f"select * from doc where {_ACTIVE.format('')}", _flat_weights(WORDS), len(WORDS))})
 def search(c: Catalog) -> DataFrame:
-    """Words through the active indexes, shown as assets."""
-    return _found(c, c.policy, query=TEXT).drop("incomplete")
+    """Words over all libraries: by index where there is one, over the catalog elsewhere."""
+    return _found(c, c.policy, query=TEXT)
+
 
+@query("search_mixed_scope", f"""select {_SHOWN}, searched from (
+  select * replace (final_rank/max(final_rank) over (partition by searched) as final_rank) from (select * from ({_BY_INDEX.format(40)}) x union all
+    select asset_id, best_scene_ts, match_ratio, final_rank, best_rep_frame_path, 'catalog' from (select final.* from final join asset on asset.id=asset_id where library_id in ('src2','src4') order by final_rank desc, asset_id limit 40) y) z
+  order by final_rank desc, asset_id limit 40) h {_SHOWN_FROM}""", {**_DOCS, **o.hit_ctes(["attion"], o.searchable()), **_bm25(
+    "select * from doc where index_name in (select active_index_name from policy where library_slug in ('src1','src3')) and library_slug in ('src1','src3')", _flat_weights(["attion"]), 1)})
+def search_mixed_scope(c: Catalog) -> DataFrame:
+    """Four libraries, of which two have an index: none is left out."""
+    policy = c.policy.where(F.col("library_slug").isin("src1", "src3"))
+    return _found(c, policy, query="attion", libraries=("src1", "src2", "src3", "src4"), limit=40)
 
-@query("search_fallback", f"select {_SHOWN}, 'catalog' as searched from (select * from final order by final_rank desc, asset_id limit 50) q join asset a on a.id=q.asset_id join library l on l.slug=a.library_id",
+
+@query("search_deleted", f"""select {_SHOWN.replace('coalesce(l.name, l.slug)', 'coalesce(l.name, library_id)')}, 'catalog' as searched
+from (select * from final order by final_rank desc, asset_id limit 60) h {_SHOWN_FROM.replace('join library', 'left join library')}""",
+       o.hit_ctes(["attion"], o.searchable().replace(f"and {o.LIVE}", "").replace(f"and v.{o.LIVE}", "")))
+def search_deleted(c: Catalog) -> DataFrame:
+    """Over the catalog, libraries in the trash included."""
+    return _found(c, c.policy.where("false"), query="attion", limit=60, include_deleted=True)
+
+
+@query("search_fallback", f"select {_SHOWN}, 'catalog' as searched from (select * from final order by final_rank desc, asset_id limit 50) h {_SHOWN_FROM}",
        o.hit_ctes(["attion"], o.searchable()))
 def search_fallback(c: Catalog) -> DataFrame:
     """The same without any index: over the catalog."""
-    return _found(c, c.policy.where("false"), query="attion").drop("incomplete")
+    return _found(c, c.policy.where("false"), query="attion")
+
+
+# Search by stems.
+
+_STEMMED = ["attion", "erin"]
+
+
+def _stemmed_ctes(terms: list[str], sdoc: str) -> dict[str, str]:
+    plain = o.hit_ctes(terms, sdoc)
+    head = {
+        "sdoc": plain.pop("sdoc"), "raw": plain["toks"].replace("ws,1) as pos", "ws,1) as pos"),
+        **o.stem_ctes("select distinct w as t from raw"), "toks": "select key, stem as w, pos from raw join stems on t=w",
+    }
+    return {**head, **{k: v for k, v in plain.items() if k != "toks"}}
+
+
+@query("fts_stemmed", _top(50), _stemmed_ctes(_STEMMED, o.searchable()))
+def fts_stemmed(c: Catalog) -> DataFrame:
+    """Both words in any form: stems of the query against stems of the texts."""
+    req = se.SearchRequest(query="attions erining")
+    return _shown(se.search_assets(c.asset, c.scene, c.library, req, c.stemmed_index))
+
+
+@query("word_stems", "select t as term, stem from stems", {
+    "sdoc": o.searchable().replace(f"and {o.LIVE}", "").replace(f"and v.{o.LIVE}", ""),
+    "raw": f"select unnest({o.split('txt')}) as w from sdoc", **o.stem_ctes("select distinct w as t from raw")})
+def word_stems(c: Catalog) -> DataFrame:
+    """The stem of every word of the catalog's texts."""
+    return ti.word_stems(c.text_index.postings.where("field = 'word'"))
+
+
+# Changes to an index that is never rewritten in place.
+
+_CHANGED = "case status when 'failed' then 'DELETE' when 'poisoned' then 'DELETE' when 'processing' then 'UPSERT' end"
+_LATER = "case status when 'extracting' then 'DELETE' when 'analyzing' then 'UPSERT' end"
+
+
+def _outbox(asset: DataFrame, action: str) -> DataFrame:
+    """Queued changes of all assets, each after an older one that says the opposite."""
+    rows = asset.select("id", F.expr(action).alias("action")).where("action is not null")
+    old = F.when(F.col("action") == "DELETE", "UPSERT").otherwise("DELETE")
+    now = rows.select((F.col("id") * 2).alias("seq"), F.col("id").alias("asset_id"), "action")
+    return now.unionByName(rows.select((F.col("id") * 2 - 1).alias("seq"), F.col("id").alias("asset_id"), old.alias("action")))
+
+
+def _renewed(rows: DataFrame, holder: str, statuses: list[str]) -> DataFrame:
+    """An analysis with another description."""
+    of = F.col(holder)
+    text = F.concat_ws(" ", of["description"], F.lit("renewed attion"))
+    return rows.withColumn(holder, F.when(F.col("status").isin(statuses) & of.isNotNull(), of.withField("description", text)).otherwise(of))
+
+
+def _after(c: Catalog, gone: list[str], changed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Assets and scenes as they are after changes."""
+    asset = _renewed(c.asset.where(~F.col("status").isin(gone)), "visual_analysis", changed)
+    scene = c.scene.join(c.asset.select(F.col("id").alias("asset_id"), "status"), "asset_id")
+    scene = scene.withColumn("metadata", F.when(
+        F.col("status").isin(changed) & F.col("metadata.analysis").isNotNull(),
+        F.col("metadata").withField("analysis.description", F.concat_ws(" ", "metadata.analysis.description", F.lit("renewed attion"))),
+    ).otherwise(F.col("metadata")))
+    return asset, scene.where(~F.col("status").isin(gone)).drop("status")
+
+
+_GONE, _NEWER = "('failed','poisoned','extracting')", "('processing','analyzing')"
+_CHANGED_DOCS = {
+    "sdoc": f"""select 'image'||id as key, concat_ws(' ', description, case when status in {_NEWER} then 'renewed attion' end, tag1||' '||tag2, ocr_text) as txt
+from image_asset where has_analysis and status not in {_GONE}
+union all select 'scene'||s.id, concat_ws(' ', s.description, case when v.status in {_NEWER} then 'renewed attion' end, s.tag, s.ocr_text)
+from scene s join video_asset v on v.id=s.asset_id where s.has_analysis and v.status not in {_GONE}""",
+    "toks": f"select key, unnest({o.split('txt')}) as w from sdoc",
+}
+
+
+@query("index_after_changes", "select key, w as word, round(count(*)*0.1::double,6) as rank from toks where w in ('attion','renewed') group by all", _CHANGED_DOCS)
+def index_after_changes(c: Catalog) -> DataFrame:
+    """Two batches of changes with a compaction between them: what two words then find."""
+    path = f"{c.root}/changed-{uuid.uuid4().hex}"
+    ti.write_index(c.text_index.postings, f"{path}-a")
+    ti.apply_changes(_outbox(c.asset, _CHANGED), *_after(c, ["failed", "poisoned"], ["processing"]), f"{path}-a", 1)
+    ti.compact(c.spark, f"{path}-a", f"{path}-b")
+    gone = ["failed", "poisoned", "extracting"]
+    ti.apply_changes(_outbox(c.asset, _LATER), *_after(c, gone, ["processing", "analyzing"]), f"{path}-b", 2)
+    index = ti.read_index(c.spark, f"{path}-b")
+    found = [
+        se.found_at(index, [Clause((w,))]).select(
+            F.concat("kind", F.col("id").cast("string")).alias("key"), F.lit(w).alias("word"), F.round("rank", 6).alias("rank"))
+        for w in ("attion", "renewed")
+    ]
+    return found[0].unionByName(found[1])

@@ -18,7 +18,8 @@ from scenelake.functions import exif
 from scenelake.functions.paths import suffix
 from scenelake.operators.geo import reverse_geocode
 from scenelake.operators.workers import latest_heartbeat
-from scenelake.session import run_folder, store
+from scenelake.session import cut_lineage, run_folder, store
+from scenelake.sources import text_index as ti
 from scenelake.sources.search_docs import (
     build_documents, build_postings, read_documents, with_index, write_documents, write_postings,
 )
@@ -300,6 +301,7 @@ class Catalog:
         self.sf_dir = sf_dir.rstrip("/")
         self.root = f"{run_folder(spark)}/catalog-{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
+        self._indexes: dict[str, ti.TextIndex] = {}
 
     def flat(self, name: str) -> DataFrame:
         """A derived table straight from the given tables, not stored."""
@@ -443,6 +445,25 @@ class Catalog:
             self._tables["documents"] = read_documents(self.spark, f"{self.root}/documents")
         return self._tables["documents"]
 
+    @property
+    def text_index(self) -> ti.TextIndex:
+        """Positional postings of all analysed images and scenes."""
+        if "words" not in self._indexes:
+            path = f"{self.root}/text-index"
+            ti.write_index(ti.build_postings(self.asset, self.scene), path)
+            self._indexes["words"] = ti.read_index(self.spark, path)
+        return self._indexes["words"]
+
+    @property
+    def stemmed_index(self) -> ti.TextIndex:
+        """The same by stems, through a stored table of the different words."""
+        if "stems" not in self._indexes:
+            path, postings = f"{self.root}/stemmed-index", self.text_index.postings
+            stems = cut_lineage(ti.word_stems(postings.where("field = 'word'")))
+            ti.write_index(ti.stemmed_postings(postings, stems), path)
+            self._indexes["stems"] = ti.read_index(self.spark, path, stemmed=True)
+        return self._indexes["stems"]
+
     @property
     def postings(self) -> DataFrame:
         if "postings" not in self._tables:
