@@ -57,21 +57,27 @@ def _secrets(rules: secrets.EntropyRules = secrets.EntropyRules()) -> str:
   unnest(list_transform(string_split_regex(text,'{p}')[:-2], lambda x: length(x))) as gap, generate_subscripts(regexp_extract_all(text,'{p}'),1) as i
 from docs where regexp_matches(text,'{p}')"""
 
-    bad = " or ".join(f"regexp_matches(s,'{quoted(a)}')" for a in rules.allowed)
+    # These regular expressions look neither ahead nor back: a cutting "=" is marked first, and only what ends in
+    # "/" can be followed by parts of a path.
+    words = "(?:[A-Za-z_-]{1,19}[0-9]{0,3}(?:/|$))*"
+    whole_first = sorted(rules.allowed, key=lambda a: not a.startswith("^"))
+    cuts = quoted("|".join([*(f"(?:{a})" + (words if a.endswith("/){3}") else "") for a in whole_first), "\x01"]))
+    upto = lambda values: f"coalesce(list_sum(list_transform({values}[:j-1], lambda x: length(x))),0)"
     return f"""with docs as (select doc_id, {TEXT} as text from documents),
 raw as ({found(0, secrets.ASSIGN, '2')} union all {found(1, secrets.ACCESS, '0')} union all {found(2, secrets.HEX, '0')} union all {found(3, run, '0')}),
 placed as (select doc_id, kind, i, s, v, (sum(gap+length(s)) over (partition by doc_id, kind order by i))::bigint as fin from raw),
-cand as (select doc_id, i, s, fin-length(s) as pos from placed where kind=3 and regexp_matches(s,'[0-9]') and not ({bad})),
-win as (select doc_id, i, pos+o as beg, substr(s,o+1,{w}) as x from (select *, unnest(range(0,length(s)-{w}+1)) as o from cand) q),
-chars as (select doc_id, i, beg, x, c, count(*) as n from (select *, unnest(string_split(x,'')) as c from win) q group by all),
-high as (select doc_id, i, beg, x, sum(({sums})[n+1]) as total from chars group by all
+cand as (select doc_id, i, fin-length(s) as pos, regexp_replace(s,'=([^=])',chr(1)||'\\1','g') as s from placed where kind=3 and regexp_matches(s,'[0-9]')),
+parts as (select *, string_split_regex(s,'{cuts}') as p, regexp_extract_all(s,'{cuts}') as m from cand),
+part as (select *, unnest(p) as t, generate_subscripts(p,1) as j from parts),
+token as (select doc_id, i, j, t, (pos+{upto('p')}+{upto('m')})::bigint as a from part where length(t)>={w} and regexp_matches(t,'[0-9]')),
+win as (select *, substr(t,o+1,{w}) as x from (select *, unnest(range(0,length(t)-{w}+1)) as o from token) q),
+chars as (select doc_id, i, j, a, t, o, x, c, count(*) as n from (select *, unnest(string_split(x,'')) as c from win) q group by all),
+high as (select doc_id, i, j, a, a+length(t) as b from chars group by doc_id, i, j, a, t, o, x
   having sum(({sums})[n+1]) <= case when regexp_full_match(x,'[0-9a-fA-F]+') then {rules.most(rules.hex_bits)}
-    when regexp_full_match(x,'[A-Z0-9]+') then {rules.most(rules.upper_bits)} else {rules.most(rules.base64_bits)} end
-  and regexp_matches(x,'[0-9]') and regexp_matches(x,'[^0-9]')),
-island as (select *, sum(fresh) over (partition by doc_id, i order by beg) as g from
-  (select *, case when beg-lag(beg) over (partition by doc_id, i order by beg) <= {w} then 0 else 1 end as fresh from high) q),
+    when regexp_full_match(x,'[A-Z0-9]+') then {rules.most(rules.upper_bits)} when regexp_matches(x,'[a-z]') and regexp_matches(x,'[A-Z]') then {rules.most(rules.mixed_bits)}
+    else {rules.most(rules.base64_bits)} end and regexp_matches(x,'[0-9]') and regexp_matches(x,'[^0-9]')),
 span as (select doc_id, fin-length(s) as a, kind, fin as b from placed where kind<3 and (kind>0 or length(v)>=6)
-  union all select doc_id, min(beg), 3, max(beg)+{w} from island group by doc_id, i, g),
+  union all select distinct doc_id, a, 3, b from high),
 named as (select *, ({list(secrets.KINDS)})[kind+1]||':'||a||':'||b as t from span)
 select d.doc_id, count(*) filter (kind=0)::bigint as n_assign, count(*) filter (kind=1)::bigint as n_access, count(*) filter (kind=2)::bigint as n_hex,
   sha256(coalesce(string_agg(t, ',' order by a, kind, b) filter (kind<3),'')) as base_sha256, coalesce(string_agg(t, ',' order by a, kind, b),'') as spans

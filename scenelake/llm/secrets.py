@@ -73,23 +73,48 @@ class EntropyRules:
         return [b - a for a, b in zip(sums, sums[1:])]
 
 
+BLOCK = 256
+CHARS = 1024
+PACKED = 12
+
+
+def _no_spans() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
+
+
+def _running(values: Column, combine) -> Column:
+    """Of whole numbers from 0 up, each combined with all before it.
+
+    A fold copies what it has gathered at each step, so it gathers blocks of bounded size, each from where the ones
+    before it have come to.
+    """
+
+    def gathered(block: Column, first: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return let(combine(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["all"], F.array(v)).alias("all")))
+
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(block, start, step, lambda acc: acc["all"])
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), combine))
+        firsts = F.concat(F.array(F.lit(0)), gathered(totals, F.lit(0)))
+        return F.flatten(F.zip_with(blocks, F.slice(firsts, 1, F.size(blocks)), gathered))
+
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(values, i + 1, F.lit(BLOCK)))
+    return let(cut, of_blocks)
+
+
 def _places(text: Column, pattern: str, found: Column, kind: int) -> Column:
     """Spans of the matches `found`: what stands between them is the text split by the same pattern."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     lengths = F.transform(found, lambda x: F.length(x))
-    steps = let(gaps, lambda g: F.zip_with(
-        F.slice(g, 1, F.size(found)), lengths, lambda gap, n: F.struct(gap.alias("gap"), n.alias("n"))
-    ))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["n"]).alias("end"))
-        return F.struct((begin + x["n"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    return F.when(F.size(found) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(
-        F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    steps = F.zip_with(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), lengths, lambda gap, n: gap + n)
+    # What stands behind the last match has none beside it.
+    ends = let(F.slice(steps, 1, F.size(found)), lambda v: _running(v, lambda a, x: a + x))
+    spans = F.zip_with(
+        ends, lengths, lambda end, n: F.struct((end - n).alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
     )
+    return F.when(F.size(found) == 0, _no_spans()).otherwise(spans)
 
 
 def _is_high(token: Column, rules: EntropyRules) -> Column:
@@ -97,13 +122,20 @@ def _is_high(token: Column, rules: EntropyRules) -> Column:
     w = rules.window
     gains = F.array(*map(F.lit, rules.gains))
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    # Counts are packed: five bits hold up to 31, twelve of them a number, so a step rewrites six numbers.
+    word = lambda p: F.floor((p - 1) / PACKED).cast("int")
+    shift = lambda p: (p - 1) % PACKED * 5
     moves = let(codes, lambda c: F.zip_with(
         c,
         F.slice(F.concat(F.array_repeat(F.lit(0), w), c), 1, F.size(c)),
-        lambda a, b: F.struct(a.alias("came"), b.alias("left")),
+        lambda a, b: F.struct(
+            a.alias("came"), b.alias("left"), word(a).alias("came_word"), shift(a).alias("came_shift"),
+            word(b).alias("left_word"), F.greatest(shift(b), F.lit(0)).alias("left_shift"),
+        ),
     ))
+    one, nought = F.lit(1).cast("long"), F.lit(0).cast("long")
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"),
+        F.array_repeat(nought, -(-len(ALPHABET) // PACKED)).alias("counts"), nought.alias("sum"),
         F.lit(0).alias("hex"), F.lit(0).alias("upper"), F.lit(0).alias("lower"), F.lit(0).alias("digits"),
         F.lit(0).alias("end"), F.lit(False).alias("high"),
     )
@@ -113,13 +145,18 @@ def _is_high(token: Column, rules: EntropyRules) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         counts = acc["counts"]
-        gained = F.get(gains, F.get(counts, x["came"] - 1))
-        lost = F.when(x["left"] > 0, F.get(gains, F.get(counts, x["left"] - 1) - 1)).otherwise(0)
+
+        def held(which: str) -> Column:
+            number = F.call_function("shiftright", F.get(counts, x[f"{which}_word"]), x[f"{which}_shift"])
+            return number.bitwiseAND(31).cast("int")
+
+        def unit(which: str, i: Column) -> Column:
+            return F.when(i == x[f"{which}_word"], F.call_function("shiftleft", one, x[f"{which}_shift"])).otherwise(nought)
+
+        gained = F.get(gains, held("came"))
+        lost = F.when(x["left"] > 0, F.get(gains, held("left") - 1)).otherwise(0)
         moved = F.struct(
-            F.transform(
-                counts,
-                lambda c, i: c + (i == x["came"] - 1).cast("int") - (i == x["left"] - 1).cast("int"),
-            ).alias("counts"),
+            F.transform(counts, lambda c, i: c + unit("came", i) - unit("left", i)).alias("counts"),
             (acc["sum"] + F.when(x["came"] == x["left"], 0).otherwise(gained - lost)).alias("sum"),
             (acc["hex"] + change(x, HEX_PLACES)).alias("hex"),
             (acc["upper"] + change(x, UPPER_PLACES)).alias("upper"),
@@ -177,7 +214,7 @@ def _entropy_spans(text: Column, rules: EntropyRules) -> Column:
                 (x["at"] + F.length(x["s"])).alias("end"),
             ),
         )
-        return F.when(F.size(matches) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(inner)
+        return F.when(F.size(matches) == 0, _no_spans()).otherwise(inner)
 
     return let(found, of_found)
 
@@ -201,7 +238,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: EntropyRules = Entr
         # A match needs one of these two characters; without them the slow pattern has nothing to find.
         return F.when(
             t.contains(":") | t.contains("="), F.filter(placed, lambda p: p.isNotNull())
-        ).otherwise(F.array().cast(f"array<{SPAN}>"))
+        ).otherwise(_no_spans())
 
     def fixed(t: Column, pattern: str, kind: int) -> Column:
         return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: _places(t, pattern, m, kind))
@@ -225,23 +262,30 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: E
     found = find_secrets(docs, text, rules)
 
     def merged(spans: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            last = F.get(acc, F.size(acc) - 1)
-            joins = F.coalesce(last["end"] >= x["start"], F.lit(False))
-            return F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - joins.cast("int"), F.lit(0))),
-                F.array(F.struct(
-                    F.when(joins, last["start"]).otherwise(x["start"]).alias("start"), x["kind"].alias("kind"),
-                    F.when(joins, F.greatest(last["end"], x["end"])).otherwise(x["end"]).alias("end"),
-                )),
-            )
+        """One span for each run of spans that touch: it begins beyond all ends before it."""
+
+        def of_reach(reach: Column) -> Column:
+            n = F.size(spans)
+            starts = F.filter(spans, lambda x, i: (i == 0) | (x["start"] > F.get(reach, i - 1)))
+            ends = F.filter(reach, lambda end, i: (i == n - 1) | (F.get(spans, i + 1)["start"] > end))
+            return F.zip_with(starts, ends, lambda x, end: F.struct(x["start"].alias("start"), end.alias("end")))
 
-        return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
+        return let(_running(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x)), of_reach)
 
     def rest(t: Column, spans: Column) -> Column:
         begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda p: p["end"]))
         ends = F.concat(F.transform(spans, lambda p: p["start"]), F.array(F.length(t)))
-        return F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(t, a + 1, b - a)), mark)
+        # A substring is looked for from the beginning of its text, so the text is cut to blocks first.
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor(F.length(t) / CHARS).cast("int")), lambda i: F.substring(t, i * CHARS + 1, F.lit(CHARS))
+        )
+
+        def between(cut: Column, a: Column, b: Column) -> Column:
+            first = F.floor(a / CHARS).cast("int")
+            held = F.array_join(F.slice(cut, first + 1, F.floor(b / CHARS).cast("int") - first + 1), "")
+            return F.substring(held, a - first * CHARS + 1, b - a)
+
+        return let(blocks, lambda cut: F.array_join(F.zip_with(begins, ends, lambda a, b: between(cut, a, b)), mark))
 
     column = F.col(text)
     clean = F.when(F.size("secrets") == 0, column).otherwise(

@@ -6,12 +6,15 @@ import math
 import random
 import re
 import struct
+import time
 
+import oracle
 import public_tokenizers
 import pytest
 import tiktoken
 
 from scenelake.llm import bpe, quality, secrets, toxicity
+from scenelake.llm.oracles import ORACLES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,24 +61,31 @@ ASSIGN = re.compile(
 RULES = secrets.EntropyRules()
 
 
+def tokens_of(s):
+    """(start, token) between what is allowed in a candidate, and at '=' between two parts."""
+    at = 0
+    for m in re.finditer(RULES.cuts.replace("(?:(?i)", "(?i:"), s):
+        yield at, s[at : m.start()]
+        at = m.end()
+    yield at, s[at:]
+
+
+def is_high(w):
+    digits = sum(c.isdigit() for c in w)
+    total = sum(round(c * math.log2(c) * secrets.SCALE) for c in collections.Counter(w).values())
+    mixed = re.search("[a-z]", w) and re.search("[A-Z]", w)
+    bits = RULES.hex_bits if re.fullmatch("[0-9a-fA-F]+", w) else RULES.upper_bits if re.fullmatch("[A-Z0-9]+", w) else RULES.mixed_bits if mixed else RULES.base64_bits
+    return 0 < digits < 20 and total <= RULES.most(bits)
+
+
 def entropy_spans(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        s, cur = m[0], []
-        if not re.search("[0-9]", s) or any(re.search(a, s) for a in RULES.allowed):
-            continue
-        for i in range(len(s) - 19):
-            w = s[i : i + 20]
-            digits = sum(c.isdigit() for c in w)
-            total = sum(round(c * math.log2(c) * secrets.SCALE) for c in collections.Counter(w).values())
-            hexa, upper = re.fullmatch("[0-9a-fA-F]+", w), re.fullmatch("[A-Z0-9]+", w)
-            bits = RULES.hex_bits if hexa else RULES.upper_bits if upper else RULES.base64_bits
-            if 0 < digits < 20 and total <= RULES.most(bits):
-                if cur and cur[-1][1] >= i:
-                    cur[-1][1] = i + 20
-                else:
-                    cur.append([i, i + 20])
-        out += [(m.start() + a, 3, m.start() + b) for a, b in cur]
+        if re.search("[0-9]", m[0]):
+            out += [
+                (m.start() + at, 3, m.start() + at + len(t)) for at, t in tokens_of(m[0])
+                if any(is_high(t[i : i + 20]) for i in range(len(t) - 19))
+            ]
     return out
 
 
@@ -101,6 +111,40 @@ def test_secrets_equal_brute_force(spark, docs):
         assert [tuple(s) for s in r["secrets"]] == secret_spans(r["text"] or ""), r["text"][:50]
 
 
+def mixed_secrets():
+    """Random strings of several alphabets beside, before and behind harmless parts."""
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    rows = []
+    for n in (19, 20, 21, 24, 32, 40, 64):
+        for _ in range(40):
+            key = drawn(n, rng.choice([letters, letters, "abcdef0123456789", "ABCDEFGHIJ0123456789", "abcdefghijklmnop0123456789_-"]))
+            rows.append(rng.choice(["{0}", "a {0} b {0}", "EXAMPLE_KEY={0}", "db/prod/main/{0}", "{0}/placeholder", "token={0}=={0}", "x={0}=y1", "/usr/local/lib12/{0}/a", "{0}example{0}"]).format(key))
+    return rows
+
+
+def test_secrets_oracle_on_random_strings(spark, tmp_path):
+    rows = list(enumerate([*TRICKY[:-1], *mixed_secrets()]))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = secrets.op3_secret_scans(spark, str(tmp_path))
+    assert oracle.compare(got, con, ORACLES["op3_secret_scans"]) == []
+    assert sum("entropy" in r["spans"] for r in got.collect()) > 150
+    found = {r["doc_id"]: [tuple(x) for x in r["secrets"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: secret_spans(t) for i, t in rows}
+
+
+def test_secrets_of_a_long_text(spark):
+    """Time grows with the number of matches, not with its square."""
+    text = " ".join(f"{i:030x}" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    (row,) = secrets.redact(docs).collect()
+    assert row["text"] == " ".join(["[SECRET]"] * 32_000) and time.time() - begin < 30
+
+
 def test_redaction(spark, docs, no_docs):
     for r, old in zip(secrets.redact(docs.orderBy("doc_id")).collect(), docs.orderBy("doc_id").collect()):
         spans, text = secret_spans(old["text"] or ""), old["text"]
