@@ -82,7 +82,7 @@ def train_likelihood(texts: DataFrame, model: LanguageModel = LanguageModel()) -
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
     sums = np.zeros((len(names), buckets), np.int64)
-    for row in texts.select("lang", "text").coalesce(1).mapInArrow(count, "sums binary").collect():
+    for row in texts.select("lang", "text").mapInArrow(count, "sums binary").collect():
         sums += np.frombuffer(row["sums"], np.int64).reshape(sums.shape)
     shares = (sums + 0.5) / (sums + 0.5).sum(axis=1, keepdims=True)
     return np.log(shares).T
@@ -95,7 +95,8 @@ def training_texts(docs: DataFrame, model: LanguageModel = LanguageModel()) -> D
     for lang in model.languages:
         chosen = docs.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
         keys += [r[0] for r in chosen.limit(model.per_language).collect()]
-    return docs.where(F.col("doc_id").isin(keys)).select("lang", "text")
+    # However often a chosen row is repeated, one goes on.
+    return docs.where(F.col("doc_id").isin(keys)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def _host(url: Column) -> Column:

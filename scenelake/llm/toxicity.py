@@ -263,6 +263,8 @@ def fit(
     sides = [hashed.where(F.col("y") == y).orderBy("h").limit(model.per_label).select("k", "y") for y in (0, 1)]
     chosen = {r["k"]: r["y"] for r in sides[0].unionByName(sides[1]).collect()}
     examples = docs.where(docs[key].isin(list(chosen))).select(docs[key].alias("k"), text_of(docs, text).alias("t"))
+    # However often a chosen row is repeated, one goes on.
+    examples = examples.groupBy("k").agg(F.min("t").alias("t"))
     shares = (float(counts.get(0, 0)), float(counts.get(1, 0)))
 
     def build(batches):
@@ -278,7 +280,7 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["index"])
 
     # One task: the sample is bounded. Sorted, so that every run numbers the examples alike.
-    built = examples.coalesce(1).sortWithinPartitions("k").mapInArrow(build, "index binary").first()
+    built = examples.repartition(1).sortWithinPartitions("k").mapInArrow(build, "index binary").first()
     return bytes(built[0]) if built else build_index(iter(()), shares, model).to_bytes()
 
 
