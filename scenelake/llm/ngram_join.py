@@ -402,7 +402,7 @@ def _connected(named: DataFrame, p: JoinParameters) -> tuple[DataFrame, DataFram
     hubs = cut_lineage(
         segments.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     )
-    multi = segments.join(hubs, "key")
+    multi = cut_lineage(segments.join(hubs, "key"))
     stars = multi.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(_possible(stars, sets, p), named, p)
     # The first hub may be unlike all others, so what it leaves apart meets another one.
