@@ -115,7 +115,7 @@ from docs d left join size using (doc_id) join (select doc_id, min(r) as c from
 left join (select x as doc_id, count(*) as l from both_ group by 1) k on k.doc_id=d.doc_id"""
 
 
-def _quality(rules: quality.QualityRules = quality.QualityRules()) -> str:
+def _quality_histograms(rules: quality.QualityRules) -> str:
     left, steps = "text", []
     for name, pattern in quality.CHARACTER_CLASSES.items():
         steps.append(f"regexp_replace({left},'{pattern.replace(chr(39), chr(39) * 2)}','','g') as _{name}")
@@ -150,19 +150,24 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(cd,6) as class_distance, round(wd,6) as word_distance from judged"""
 
 
-def _quality_listed(rules: quality.QualityRules = quality.QualityRules()) -> str:
+def _quality(columns: str, rules: quality.QualityRules = quality.QualityRules()) -> str:
+    """The verdict by all rules, and by the whole histograms alone."""
     listed = "[" + ",".join(f"'{w}'" for w in rules.words) + "]"
-    return f"""with base as ({_quality(rules)}),
+    return f"""with base as ({_quality_histograms(rules)}),
 words as (select doc_id, lang, {WORDS} as ws from documents),
 own as (select doc_id, lang, ws, list_transform({listed}, lambda w: len(list_filter(ws, lambda x: x=w)))::bigint[] as h from words),
 at_ as (select doc_id, lang, unnest(h) as n, generate_subscripts(h,1) as i from own),
 ref as (select lang, i, sum(n)/sum(sum(n)) over (partition by lang) as q from at_ where lang is not null group by lang, i),
+shares as (select sum(n) filter (i>0)/sum(n) as s from (select lang, 1 as i, sum(n) as n from at_ where lang is not null group by lang
+  union all select lang, 0, sum(len(ws)-list_sum(h)) from own where lang is not null group by lang) g group by lang having sum(n) filter (i>0)>0),
+between as (select sqrt(greatest(0,sum(coalesce(a.q*log2(nullif(a.q,0)/((a.q+b.q)/2)),0)+coalesce(b.q*log2(nullif(b.q,0)/((a.q+b.q)/2)),0))/2)) as d from ref a join ref b on a.i=b.i and a.lang<b.lang group by a.lang, b.lang),
+bounds as (select coalesce(round({rules.listed_part!r}*(select min(s) from shares),4),0) as least, coalesce(round({rules.distance_part!r}*(select min(d) from between),4),{rules.lone_distance!r}) as most),
 share as (select doc_id, i, n/nullif(sum(n) over (partition by doc_id),0) as p from at_),
 near as (select doc_id, min(d) as d from (select doc_id, r.lang, sqrt(greatest(0,sum(coalesce(p*log2(nullif(p,0)/((p+q)/2)),0)+coalesce(q*log2(nullif(q,0)/((p+q)/2)),0))/2)) as d
   from share join ref r using (i) where p is not null group by all) x group by 1),
-all_ as (select b.doc_id, b.n_words, list_sum(o.h)::bigint as n_listed, b.kept as kept_histograms, n.d from base b join own o using (doc_id) left join near n using (doc_id))
-select doc_id, n_words, n_listed, kept_histograms, kept_histograms and not 100*(n_listed+{rules.listed_slack})<{rules.min_listed_percent}*n_words
-  and not coalesce(n_listed>={rules.min_listed} and d>{rules.max_listed_distance!r},false) as kept, round(d,6) as listed_distance from all_"""
+all_ as (select b.* exclude (kept), list_sum(o.h)::bigint as n_listed, b.kept as kept_histograms, round(n.d,6) as listed_distance, b.kept and not list_sum(o.h)+{rules.listed_slack}<least*b.n_words
+  and not coalesce(list_sum(o.h)>={rules.min_listed} and n.d>most,false) as kept from base b join own o using (doc_id) left join near n using (doc_id), bounds)
+select {columns} from all_"""
 
 
 def _phrases(p: phrases.PhraseParameters = phrases.PhraseParameters()) -> str:
@@ -190,7 +195,9 @@ ORACLES = {
     "op5_exact_top_k": TOP_K,
     "op9_ngram_jaccard_join": LINKS,
     "op9_ngram_jaccard_links": LINKS,
-    "op10_quality_rules": _quality(),
-    "op10_quality_listed": _quality_listed(),
+    "op10_quality_rules": _quality(
+        "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance, n_listed, listed_distance"
+    ),
+    "op10_quality_listed": _quality("doc_id, n_words, n_listed, kept_histograms, kept, listed_distance"),
     "op11_phrases": _phrases(),
 }

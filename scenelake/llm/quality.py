@@ -6,13 +6,16 @@ the histograms over all texts that declare it. A text is rejected if it lies far
 histogram that holds enough for the distance to mean something (the minimum-length guards).
 
 Most words of any text are in the last bin of the common-word histogram, which keeps its distance small. So the
-common words are also compared among themselves, and their share of a text has a limit of its own.
+common words are also compared among themselves, and their share of a text has a limit of its own. Both limits come
+from the references: a share that no language is far above, and a distance at which languages lie from each other.
 
 Everything is an expression over one row but for the references, one grouped sum.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -47,9 +50,11 @@ class QualityRules:
     `window`: words a repeated passage has at least. `min_words`, `max_repeat_percent`: base rules.
     `max_class_distance`, `max_word_distance`: largest Jensen-Shannon distance to the nearest language.
     `min_chars`, `min_words_compared`: a shorter text isn't held against the histogram.
-    `min_listed_percent`, `listed_slack`: a text has at least this share of common words, less the slack, so that
-    texts of some 38 words on can fail. `max_listed_distance`: largest distance of the common words among
-    themselves to the nearest language, in a text with `min_listed` of them.
+    `listed_part`, `listed_slack`: a text has at least this part of the share of common words that the language with
+    the smallest share has, less the slack of some words, so that only texts of a few dozen words on can fail.
+    `distance_part`: largest distance of the common words among themselves to the nearest language, as a part of the
+    smallest distance between two languages, in a text with `min_listed` of them; `lone_distance` is it if there is
+    only one language.
     """
 
     window: int = 8
@@ -60,9 +65,10 @@ class QualityRules:
     min_chars: int = 200
     min_words_compared: int = 200
     words: tuple[str, ...] = field(default_factory=lambda: tuple(dict.fromkeys(COMMON_WORDS.split())))
-    min_listed_percent: int = 8
+    listed_part: float = 0.45
     listed_slack: int = 3
-    max_listed_distance: float = 0.75
+    distance_part: float = 0.8
+    lone_distance: float = 0.75
     min_listed: int = 20
 
 
@@ -186,6 +192,29 @@ def language_references(counts: DataFrame) -> list[tuple[list[float], list[float
     return out
 
 
+def _among_listed(reference: list[float]) -> list[float]:
+    """Shares of common words among themselves."""
+    total = sum(reference[:-1])
+    return [x / total for x in reference[:-1]]
+
+
+def reference_distance(one: list[float], two: list[float]) -> float:
+    """Jensen-Shannon distance of two references."""
+    part = lambda p, q: p * math.log2(2 * p / (p + q)) if p else 0.0
+    return math.sqrt(max(0.0, sum(part(p, q) + part(q, p) for p, q in zip(one, two)) / 2))
+
+
+def listed_limits(references: list[tuple[list[float], list[float]]], rules: QualityRules) -> tuple[float, float]:
+    """Smallest share of common words of a text, and their largest distance, both to four places."""
+    listed = [r[1] for r in references if sum(r[1][:-1]) > 0]
+    if not listed:
+        return 0.0, rules.lone_distance
+    among = [_among_listed(r) for r in listed]
+    apart = [reference_distance(a, b) for a, b in itertools.combinations(among, 2)]
+    share = rules.listed_part * min(sum(r[:-1]) for r in listed)
+    return round(share, 4), round(rules.distance_part * min(apart), 4) if apart else rules.lone_distance
+
+
 def _distance(shares: Column, reference: list[float]) -> Column:
     """Square root of the Jensen-Shannon divergence, base 2."""
 
@@ -209,8 +238,8 @@ def _nearest(histogram: str, references: list[list[float]]) -> Column:
 
 
 def quality_verdicts(counts: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """`counts` with `base_failed`, the distances, `n_listed` (common words) and two verdicts: `kept` by the base
-    rules and the two histograms, `kept_listed` by the rules for common words too.
+    """`counts` with `base_failed`, the distances, `n_listed` (common words) and two verdicts: `kept_histograms` by the
+    base rules and the whole histograms, `kept` by the rules for common words too.
 
     Without any declared language there is no reference: distances are null and only the base rules hold.
     """
@@ -219,16 +248,17 @@ def quality_verdicts(counts: DataFrame, rules: QualityRules = QualityRules()) ->
     # At least two values under array_min and friends keep one plan for any number of languages.
     class_distance = _nearest("classes", [r[0] for r in references]) if references else nothing
     word_distance = _nearest("commons", [r[1] for r in references]) if references else nothing
-    listed = [[x / sum(r[1][:-1]) for x in r[1][:-1]] for r in references if sum(r[1][:-1]) > 0]
+    listed = [_among_listed(r[1]) for r in references if sum(r[1][:-1]) > 0]
     listed_distance = _nearest("listed", listed) if listed else nothing
+    least_share, most_distance = listed_limits(references, rules)
     base_failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     odd_classes = (chars >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance)
     odd_words = (F.col("n_words") >= rules.min_words_compared) & (F.col("word_distance") > rules.max_word_distance)
-    few_listed = F.lit(100) * (F.col("n_listed") + rules.listed_slack) < rules.min_listed_percent * F.col("n_words")
-    odd_listed = (F.col("n_listed") >= rules.min_listed) & (F.col("listed_distance") > rules.max_listed_distance)
+    few_listed = F.col("n_listed") + rules.listed_slack < least_share * F.col("n_words")
+    odd_listed = (F.col("n_listed") >= rules.min_listed) & (F.col("listed_distance") > most_distance)
     return (
         counts.withColumn("listed", F.slice("commons", 1, len(rules.words)))
         .withColumns({
@@ -237,12 +267,12 @@ def quality_verdicts(counts: DataFrame, rules: QualityRules = QualityRules()) ->
             "listed_distance": listed_distance,
         })
         .withColumn(
-            "kept",
+            "kept_histograms",
             ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)),
         )
         .withColumn(
-            "kept_listed",
-            F.col("kept") & ~((few_listed & bool(listed)) | F.coalesce(odd_listed, F.lit(False))),
+            "kept",
+            F.col("kept_histograms") & ~((few_listed & bool(listed)) | F.coalesce(odd_listed, F.lit(False))),
         )
         .drop("listed")
     )
@@ -251,7 +281,7 @@ def quality_verdicts(counts: DataFrame, rules: QualityRules = QualityRules()) ->
 def judge_quality(
     docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", key: str = "doc_id", lang: str = "lang"
 ) -> DataFrame:
-    """A row per document: key, counts, `base_failed`, distances, `kept` and `kept_listed`.
+    """A row per document: key, counts, `base_failed`, distances, `kept_histograms` and `kept`.
 
     Null and empty texts have no words and fail the base rules; null keys and languages stay; repeated rows are
     judged each; an empty table gives an empty result. Only the three named columns are read. The counts are
@@ -266,13 +296,14 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
+        "n_listed", F.round("listed_distance", 6).alias("listed_distance"),
     )
 
 
 def op10_quality_listed(spark, sf_dir: str) -> DataFrame:
-    """The verdict by all rules, those for common words among them."""
+    """The verdict by the whole histograms beside the one by all rules."""
     judged = judge_quality(table(spark, sf_dir, "documents"))
     return judged.select(
-        "doc_id", "n_words", "n_listed", F.col("kept").alias("kept_histograms"), F.col("kept_listed").alias("kept"),
+        "doc_id", "n_words", "n_listed", "kept_histograms", "kept",
         F.round("listed_distance", 6).alias("listed_distance"),
     )

@@ -50,4 +50,4 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in coded) == sorted(r["doc_id"] for r in mix)
     for r in coded:
         ids = struct.unpack(f"<{r['n_tokens']}I", bytes(r["ids"]))
-        assert list(ids) == library.encode_ordinary(texts[r["doc_id"]])
+        assert list(ids) == library.encode_ordinary(texts[r["doc_id"]]) and r["decodes"]

@@ -248,9 +248,28 @@ def test_fluent_text_without_common_words_is_rejected(spark):
     rows += [(90, text(500, 0), None), (91, text(60, 0), "en"), (92, " ".join(strange() if i % 5 else "como" for i in range(500)), None)]
     got = {r["doc_id"]: r for r in quality.judge_quality(
         spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert all(got[i]["kept_listed"] for i in range(30))
+    assert all(got[i]["kept"] for i in range(30))
     # The two histograms let all three through.
-    assert [(got[i]["kept"], got[i]["kept_listed"]) for i in (90, 91, 92)] == [(True, False)] * 3
+    assert [(got[i]["kept_histograms"], got[i]["kept"]) for i in (90, 91, 92)] == [(True, False)] * 3
+
+
+def test_quality_limits_come_from_references(spark):
+    rng = random.Random(5)
+    listed = {"en": "the and of to in is it for that with".split(), "de": "der die das und ist zu den von mit auf".split()}
+    text = lambda lang, n, share: " ".join(rng.choice(listed[lang]) if rng.random() < share else f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, text("en", 300, 0.4), "en") for i in range(20)] + [(50 + i, text("de", 300, 0.2), "de") for i in range(20)]
+    rows += [(90, text("en", 300, 0.02), None), (91, text("de", 300, 0.15), None), (92, " ".join(["como", "las"] * 30 + [f"x{i}" for i in range(200)]), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules = quality.QualityRules(max_repeat_percent=100)
+    least, most = quality.listed_limits(quality.language_references(quality.text_counts(docs, rules)), rules)
+    assert 0.08 < least < 0.1 and 0.75 < most <= 0.8
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs, rules).collect()}
+    assert {i for i, k in kept.items() if not k} == {90, 92}
+
+
+def test_some_texts_of_the_tables_fail_the_method(spark):
+    judged = quality.op10_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed")
+    assert 0 < judged.where("not kept").count() < 0.2 * judged.count()
 
 
 def examples():
