@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.bpe import encode
+from scenelake.llm.bpe import decode, encode
 from scenelake.llm.common import table
 from scenelake.llm.mixing import take_mix
 from scenelake.llm.ngram_join import JoinParameters, keep_one
@@ -51,9 +51,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per document taken: doc_id, lang, source, n_tokens and the packed ids."""
+    """A row per document taken: doc_id, lang, source, n_tokens, the packed ids, and whether what they decode to is the
+    text, byte by byte."""
     coded = encode(docs.select("doc_id", "lang", "source", "text"))
-    return coded.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
+    back = decode(coded.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text"), as_text=False)
+    return back.select(
+        "doc_id", "lang", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids",
+        (F.sha2("decoded", 256) == F.col("digest")).alias("decodes"),
+    )
 
 
 STAGES = [
