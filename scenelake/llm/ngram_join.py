@@ -292,6 +292,15 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def _joined(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges; what is connected already takes part as one edge a node."""
+    edges = cut_lineage(edges)
+    if edges.isEmpty():
+        return state
+    known = state.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(known.unionByName(edges))
+
+
 class _Sets:
     """Union-find over what a cell holds."""
 
@@ -405,17 +414,18 @@ def _connected(named: DataFrame, p: JoinParameters) -> tuple[DataFrame, DataFram
     multi = cut_lineage(segments.join(hubs, "key"))
     stars = multi.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(_possible(stars, sets, p), named, p)
+    state = components(links)
     # The first hub may be unlike all others, so what it leaves apart meets another one.
-    left = _open_rows(multi, components(links))
+    left = _open_rows(multi, state)
     second = left.where("node <> last").select(F.col("node").alias("a"), F.col("last").alias("b")).distinct()
-    links = cut_lineage(links.unionByName(_links(_possible(second, sets, p), named, p)))
-    state = components(links)
-    coarse = components(cut_lineage(_may_connect(_open_rows(multi, state), sets, p)))
-    links = cut_lineage(links.unionByName(_linked(named, prints, sets, coarse, p, "edges").select("a", "b")))
-    state = components(links)
+    state = _joined(state, _links(_possible(second, sets, p), named, p))
+    open_pairs = cut_lineage(_may_connect(_open_rows(multi, state), sets, p))
+    if open_pairs.isEmpty():
+        return prints, sets, state
+    coarse = components(open_pairs)
+    state = _joined(state, _linked(named, prints, sets, coarse, p, "edges").select("a", "b"))
     # Blocks are held against each other last, and only in groups that are still apart.
-    links = cut_lineage(links.unionByName(_linked(named, prints, sets, coarse, p, "edges", state).select("a", "b")))
-    return prints, sets, components(links)
+    return prints, sets, _joined(state, _linked(named, prints, sets, coarse, p, "edges", state).select("a", "b"))
 
 
 def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
