@@ -41,7 +41,7 @@ class PhraseParameters:
     least: int = 100
     top: int = 2000
     every: int = 32
-    words: int = 1_000_000
+    words: int = 300_000
     filter_bits: int = 1 << 26
     salts: int = 16
 
