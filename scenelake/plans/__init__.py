@@ -8,6 +8,7 @@ from scenelake.plans import (  # noqa: F401
     file_queries,
     scene_queries,
     search_queries,
+    upkeep_queries,
 )
 from scenelake.plans.registry import ORACLES, QUERIES
 
