@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.functions import exif
 from scenelake.operators import changes as ch
 from scenelake.operators import lifecycle as life
 from scenelake.operators import maintenance as mt
 from scenelake.operators.catalog import live_assets
+from scenelake.operators.geo import reverse_geocode
 from scenelake.plans import oracle_parts as o
 from scenelake.plans.registry import query
 from scenelake.plans.tables import AS_OF, Catalog
@@ -126,15 +128,20 @@ def reset_stuck_metadata(c: Catalog) -> DataFrame:
     return ch.reset_stuck_metadata(c.asset, 6_000_000, AS_OF).select("id", "metadata_status")
 
 
-@query("write_exif", f"""select e.id, case when e.id%3=0 then null else {o.MODEL} end as camera_model, case when e.id%3=0 then null else {o.CAPTURE_TS} end as capture_ts,
-  case when e.id%3=0 then a.metadata_status else 'exif_done' end as metadata_status from exif e join asset a using (id, mtime, type)""")
+@query("write_exif", f"""select e.id, 1 as metadata_version, {o.CAPTURE_TS} as capture_ts, {o.CAPTURE_SOURCE} as capture_ts_source,
+  {o.MAKE} as camera_make, {o.MODEL} as camera_model, {o.COLOR} as color_space, {o.HINT} as generation_hint, {o.LAT} as gps_lat, {o.LON} as gps_lon,
+  country, region, city, {o.WIDTH} as resolution_w, {o.HEIGHT} as resolution_h, {o.DURATION} as duration_sec, round({o.RATE},6) as frame_rate,
+  null::boolean as has_face, null::bigint as face_count, null::double as sharpness_score, 'exif_done' as metadata_status
+from exif e left join nearest n on n.id=e.id""", o.GEO_CTES)
 def write_exif(c: Catalog) -> DataFrame:
-    """Raw metadata read for two thirds of the assets, stored with its normalised form."""
+    """Raw metadata of all assets with their places, stored with every normalised field."""
     asset = c.asset.withColumn("raw_exif", F.lit(None).cast("map<string,string>")).withColumn(
         "media_metadata", F.lit(None).cast(ch.MEDIA_METADATA)
     )
-    rows = ch.write_exif(asset, c.exif.where(F.col("id") % 3 != 0).select("id", "raw_exif"))
-    return rows.select("id", "media_metadata.camera_model", "media_metadata.capture_ts", "metadata_status")
+    lat, lon = exif.gps(F.col("raw_exif"))
+    placed = reverse_geocode(c.exif.select("id", "raw_exif", lat.alias("lat"), lon.alias("lon")), c.gazetteer)
+    rows = ch.write_exif(asset, placed.select("id", "raw_exif", "place"))
+    return rows.select("id", "media_metadata.*", "metadata_status").withColumn("frame_rate", F.round("frame_rate", 6))
 
 
 @query(
@@ -235,13 +242,19 @@ _GONE = "library_id in (select slug from library where deleted_epoch is not null
 union all select 'scene', id from scene where asset_id not in (select id from asset where {_GONE})
 union all select 'project_assets', asset_id*10+project_id from project_assets where asset_id not in (select id from asset where {_GONE})
 union all select 'library', cast(substr(slug,4) as bigint) from library where deleted_epoch is null
-union all select 'policy', cast(substr(library_slug,4) as bigint) from policy where library_slug not in (select slug from library where deleted_epoch is not null)""")
+union all select 'policy', cast(substr(library_slug,4) as bigint) from policy where library_slug not in (select slug from library where deleted_epoch is not null)
+union all select 'frame', frame_id from frame where asset_id not in (select id from asset where {_GONE})
+union all select 'state', asset_id from frame where asset_id not in (select id from asset where {_GONE}) group by asset_id""")
 def hard_delete(c: Catalog) -> DataFrame:
     """Keys left in every table after the trash is emptied."""
+    # A state for each video that is being watched: its first frame, still open.
+    states = c.frame.groupBy("asset_id").agg(F.min_by("phash", "pts").alias("anchor_phash"), F.min("pts").alias("scene_start_ts"))
     left = life.hard_delete(
-        c.library, c.policy, {"asset": c.asset, "scene": c.scene, "project_assets": c.project_assets}
+        c.library, c.policy,
+        {"asset": c.asset, "scene": c.scene, "project_assets": c.project_assets, "frame": c.frame, "state": states},
     )
     keys = {
+        "frame": F.col("frame_id"), "state": F.col("asset_id"),
         "asset": F.col("id"), "scene": F.col("id"), "project_assets": F.col("asset_id") * 10 + F.col("project_id"),
         "library": F.substring("slug", 4, 18).cast("bigint"), "policy": F.substring("library_slug", 4, 18).cast("bigint"),
     }

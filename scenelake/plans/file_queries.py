@@ -93,8 +93,12 @@ def truncated_indexes(c: Catalog) -> DataFrame:
     return rows.select("asset_id", F.round("duration_sec", 6).alias("duration_sec"), "indexed_to")
 
 
-@query("scene_json_dump", """select id, '{"id":'||id||',"start_ts":'||start_ts||',"end_ts":'||end_ts||',"rep_frame_path":"'||rep_frame_path||'","keep_reason":"'||keep_reason||'","tags":'
-  ||case when tag is null then 'null' else '["'||tag||'"]' end||'}' as json from scene""")
+@query("scene_json_dump", """select id, to_json({'id': id, 'asset_id': asset_id, 'start_ts': start_ts, 'end_ts': end_ts, 'description': description,
+  'sharpness_score': sharpness_score, 'rep_frame_path': rep_frame_path, 'keep_reason': keep_reason,
+  'metadata': case when has_analysis then {'analysis': {'description': description, 'tags': [tag], 'ocr_text': ocr_text, 'ocr_done': ocr_done},
+    'showinfo': null::varchar, 'semantic_duplicate': null::boolean} end})::varchar as json from scene""")
 def scene_json_dump(c: Catalog) -> DataFrame:
-    tags = F.col("metadata.analysis.tags").alias("tags")
-    return as_json(c.scene.select("id", "start_ts", "end_ts", "rep_frame_path", "keep_reason", tags))
+    """Every field of every scene."""
+    return as_json(c.scene.select(
+        "id", "asset_id", "start_ts", "end_ts", "description", "sharpness_score", "rep_frame_path", "keep_reason", "metadata"
+    ))

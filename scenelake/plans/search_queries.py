@@ -267,6 +267,16 @@ def similarity_scope(c: Catalog) -> DataFrame:
     return _similar_shown(found)
 
 
+@query("similarity_faces", _cut_sql(rk.thresholds(30.0, 1.0, 0.5), 60), {**_SCOPED, **_bm25(
+    f"select d.* from doc d where {_ACTIVE.format('')} and library_slug='src1' and asset_id<>{_SOURCE} and asset_id%2=0 and (asset_id%100)/100.0>=0.3", _similar_weights(), None)})
+def similarity_faces(c: Catalog) -> DataFrame:
+    """Similar assets of one library that show a face and are sharp."""
+    scope = rk.SimilarityScope(library="src1", has_face=True, min_sharpness=0.3)
+    return _similar_shown(rk.similar_assets(
+        c.documents, c.asset, c.policy, c.library, _SOURCE, scope, c.postings, max_results=60, min_score=30.0, floor=1.0, step=0.5,
+    ))
+
+
 # Index upkeep: two increments, with one library that has no policy at first.
 
 _NEW = "src3"

@@ -436,7 +436,11 @@ class Catalog:
     def documents(self) -> DataFrame:
         """Search documents in the active index of their library, and again in its shadow index."""
         if "documents" not in self._tables:
-            described = self.asset.join(self.metadata.withColumnRenamed("m", "media_metadata"), "id")
+            # Measured as well: the scope of similar assets asks for faces and sharpness.
+            measured = F.col("m").withField("has_face", F.col("id") % 2 == 0).withField(
+                "sharpness_score", F.col("id") % 100 / F.lit(100.0)
+            )
+            described = self.asset.join(self.metadata.select("id", measured.alias("media_metadata")), "id")
             docs = build_documents(described, self.scene, AS_OF)
             both = with_index(docs, self.policy).unionByName(
                 with_index(docs, self.policy, "shadow_index_name")
