@@ -161,14 +161,15 @@ def mix_documents(docs: DataFrame, target: MixTarget = PRODUCTION) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, target: MixTarget = PRODUCTION) -> DataFrame:
-    """`docs` as often as the mix takes them, in the same columns. Keys tell rows apart: rows that
-    repeat one are all taken as often as it is drawn most, and rows with a null key are left out."""
-    drawn = mix_documents(docs.where("doc_id is not null"), target).where("copies > 0")
+    """`docs` as often as the mix takes them, in the same columns. Keys tell rows apart, and the text those without one:
+    rows that repeat a key, or a text without a key, are all taken as often as it is drawn most."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.sha2(text_of(docs, "text"), 256)))
+    drawn = mix_documents(docs.withColumn("doc_id", own), target).where("copies > 0")
     # A row per copy before the join, so no column of the documents can clash with a count.
     copies = drawn.groupBy("doc_id").agg(F.max("copies").alias("copies")).select(
-        "doc_id", F.explode(F.expr("sequence(1L, copies)")).alias("copy")
-    ).select("doc_id")
-    return docs.join(copies, "doc_id").select(*docs.columns)
+        F.col("doc_id").alias("_own_key"), F.explode(F.expr("sequence(1L, copies)")).alias("copy")
+    ).select("_own_key")
+    return docs.withColumn("_own_key", own).join(copies, "_own_key").select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -91,12 +91,13 @@ def _score(found: Column, weights: list[float], bias: float) -> Column:
 
 
 def labelled_urls(pages: DataFrame, url: str, model: UrlModel, rules=RULES) -> DataFrame:
-    """(url, label) of a bounded sample of the URLs that a rule decides; label 1 is block."""
+    """(url, label) of a bounded sample of the different URLs that a rule decides; label 1 is block."""
     ruled = pages.select(pages[url].alias("url")).where("url is not null").withColumn(
         "verdict", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
     )
     sides = [
         ruled.where(F.col("verdict") == verdict)
+        .select("url").distinct()
         .orderBy(F.xxhash64("url"), "url")
         .limit(model.per_label)
         .select("url", F.lit(label).alias("label"))

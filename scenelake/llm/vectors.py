@@ -33,8 +33,11 @@ class SearchParameters:
     block_rows: int = 4096
 
 
+LARGEST = (1 << 63) - 1
+
+
 def whole_numbers(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component; null for a vector that is null or has null or non-finite components."""
+    """floor(scale * x) of each component, at most what 64 bits hold; null for a vector that is null or has null or non-finite components."""
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(good, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
@@ -102,7 +105,7 @@ def _numbers(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _exact(vectors: np.ndarray, queries: np.ndarray) -> type:
-    most = [float(np.abs(x).max(initial=0)) for x in (vectors, queries)]
+    most = [float(np.abs(x.astype(float)).max(initial=0)) for x in (vectors, queries)]
     return np.float64 if most[0] * most[1] * max(1, vectors.shape[1]) < 2**52 else object
 
 
@@ -118,7 +121,7 @@ def _search_shards(vectors: DataFrame, queries: DataFrame, p: SearchParameters)
                 part = slice(at, at + 512)
                 found = tree.search(asked[part].astype(kind), own[part], floors[part], p.k)
                 for q, best in zip(own[part], found):
-                    out += [(int(q), -minus, score) for score, minus in best]
+                    out += [(int(q), -minus, min(max(score, -LARGEST - 1), LARGEST)) for score, minus in best]
         columns = list(zip(*out)) or [(), (), ()]
         return pa.table(
             {n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)}
@@ -140,7 +143,9 @@ def top_k(rows: DataFrame, queries: DataFrame, p: SearchParameters = SearchParam
 
     Both tables are (id, v), v whole numbers; rows with a null id or v take no part, and vectors meet only those
     of their own length. A query doesn't meet rows of its own id. Ties go to the smaller id. Fewer rows than k,
-    or none: so many hits. Scores are exact while they fit 64 bits.
+    or none: so many hits. Scores are exact while they fit 64 bits; beyond, they are the largest or smallest such number,
+    and those of one query tie. Ids are to be unique: rows that repeat one are each a candidate, and a repeated query
+    id gathers the hits of all its rows.
     """
     rows = cut_lineage(rows.where("id is not null and v is not null").withColumn("dim", F.size("v")))
     n = rows.count()

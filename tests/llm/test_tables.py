@@ -90,6 +90,10 @@ def test_mixing_edges(docs, no_docs):
     assert got.count() == docs.count() and got.where("copies is null or copies < 0").isEmpty()
     assert mixing.mix_documents(no_docs).count() == 0 and mixing.take_mix(no_docs).count() == 0
     assert mixing.take_mix(docs).columns == docs.columns
+    # Rows without a key are taken as often as the mix draws their text.
+    everything = mixing.MixTarget(budget_percent=1000, max_epochs=3)
+    taken = [r["text"] for r in mixing.take_mix(docs, everything).where("doc_id is null").collect()]
+    assert sorted(taken, key=str) == [None] * 3 + ["no key here"] * 3
 
 
 # URLs -----------------------------------------------------------------------------------------
@@ -194,6 +198,15 @@ def test_top_k_equals_brute_force(spark, rows_per_shard, block):
     assert vectors.top_k(df.where("false"), df.where("false"), p).count() == 0
 
 
+def test_top_k_of_large_and_repeated(spark):
+    rows = [(100, [1e300, 2.0]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [0.5, 0.5]), (3, [0.25, 0.5]), (200, [1.0, 1.0]), (200, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").select("id", vectors.whole_numbers(F.col("v")).alias("v"))
+    got = vectors.top_k(df, df.where("id % 100 = 0")).collect()
+    of = lambda q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+    assert of(100)[0] == (1, 2**63 - 1) and of(100)[-1] == (2, -(2**63)) and len(of(100)) == 6
+    assert {i for i, _ in of(200)} == {100, 1, 2, 3} and all(s == sorted(s, reverse=True) for s in [[x for _, x in of(200)]])
+
+
 def test_whole_numbers(spark):
     df = spark.createDataFrame(
         [([0.5, -0.0001],), ([float("nan"), 1.0],), ([None, 1.0],), (None,), ([float("inf"), 1.0],), ([],)], "v array<float>"
