@@ -33,8 +33,10 @@ SUFFIXES = {
     "de": "de", "at": "de", "li": "de", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en",
     "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "fr": "fr",
 }
-HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
-DECLARED = re.compile(r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})""")
+HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)")
+# The attributes of a tag end where another one begins, so no part of a page is looked at twice.
+HTML_TAG = re.compile(r"(?i)<html\b([^<>]*)")
+LANG = re.compile(r"""(?i)\slang\s*=\s*["']?([a-z]{2,3})""")
 
 
 @dataclass(frozen=True)
@@ -52,12 +54,15 @@ class LanguageModel:
 
 
 def visible_text(html: str | None) -> str:
+    """Text outside markup; a tag or comment that is never closed hides the rest of the page."""
     return markup.unescape(HIDDEN.sub(" ", html or ""))
 
 
 def declared_language(html: str | None) -> str | None:
-    found = DECLARED.search(html or "")
-    return found.group(1).lower() if found else None
+    for tag in HTML_TAG.finditer(html or ""):
+        if found := LANG.search(tag.group(1)):
+            return found.group(1).lower()
+    return None
 
 
 def _grams(text: str, buckets: int) -> np.ndarray:

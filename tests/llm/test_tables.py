@@ -4,8 +4,10 @@ import base64
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +239,76 @@ def test_language_evidence(spark):
     assert langid.identify(odd.where("false"), likelihood, model=model).count() == 0
 
 
+def fused(pages, likelihood, model):
+    """The definition of `identify` in plain Python, over (url, html)."""
+    names, n, facts = list(model.languages), len(model.languages), []
+    for url, html in pages:
+        found = re.search(r"://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        host = found[1].lower() if found else ""
+        grams = langid._grams(langid.visible_text(html), model.buckets)
+        score = [sum(likelihood[g][i] for g in grams) / len(grams) * min(model.most_grams, len(grams)) for i in range(n)] if len(grams) else [0.0] * n
+        evidence = [round(x - max(score), 6) for x in score]
+        weights = [math.exp(x) for x in evidence]
+        site, suffix = re.search(r"([^.]+\.[^.]+)$", host), langid.SUFFIXES.get(host.rpartition(".")[2], "none") if host else "none"
+        said = langid.declared_language(html)
+        facts.append((evidence, [w / sum(weights) for w in weights], host, site[1] if site else "", "none" if said is None else said if said in names else "other", suffix))
+
+    def sums(key):
+        out = collections.defaultdict(lambda: [0.0] * n)
+        for f in facts:
+            out[key(f)] = [a + b for a, b in zip(out[key(f)], f[1])]
+        return out
+
+    def chance(at):
+        counts, values = sums(lambda f: f[at]), [*names, "none", "other"]
+        whole = [sum(c[i] for c in counts.values()) for i in range(n)]
+        return {v: [(counts[v][i] + model.smoothing) / (whole[i] + model.smoothing * len(values)) for i in range(n)] for v in values}
+
+    whole = sums(lambda f: 0)[0]
+    shares = [(x + 1) / (sum(whole) + n) for x in whole]
+    tables, levels, out = (chance(4), chance(5)), (sums(lambda f: f[3]), sums(lambda f: f[2])), []
+    for f in facts:
+        prior = shares
+        for level, at in zip(levels, (3, 2)):
+            counts = [max(0.0, a - b) for a, b in zip(level[f[at]], f[1])]
+            prior = [(c + model.strength * q) / (sum(counts) + model.strength) for c, q in zip(counts, prior)]
+        logs = [f[0][i] + math.log(tables[0][f[4]][i]) + math.log(tables[1][f[5]][i]) + math.log(prior[i]) for i in range(n)]
+        odds = [math.exp(x - max(logs)) for x in logs]
+        out.append([x / sum(odds) for x in odds])
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    model = langid.LanguageModel(per_language=30)
+    likelihood = langid.train_likelihood(langid.training_texts(spark.read.parquet(f"{SF}/documents.parquet"), model), model)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").limit(120).collect()]
+    rows += [(10_000, None, None), (10_001, "http://u@A.de:80/x", "<html lang=xx>der und die"), (10_002, "https://b.a.de", "<p>le la"), (10_003, "x", ""), (10_003, "x", "")]
+    got = langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), likelihood, model=model).collect()
+    want = sorted((i, [round(x, 4) for x in p]) for (i, _, _), p in zip(rows, fused([r[1:] for r in rows], likelihood, model)))
+    have = sorted((r["page_id"], list(r["posterior"])) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want]
+    assert all(abs(a - b) < 2e-4 for (_, x), (_, y) in zip(have, want) for a, b in zip(x, y))
+
+
+def test_language_without_its_declaration(spark):
+    """What pages declare is taken out of them and kept as the truth."""
+    docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
+    likelihood = langid.train_likelihood(langid.training_texts(docs))
+    said = {r["page_id"]: langid.declared_language(r["html"]) for r in pages.collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", r"(?i)(<html\b[^>]*?)\slang\s*=\s*[\"']?[a-z-]+[\"']?", "$1"))
+    got = [r for r in langid.identify(bare, likelihood).collect() if said[r["page_id"]] in langid.LANGUAGES]
+    assert {r["declared_lang"] for r in got} == {None}
+    assert len(got) >= 50 and sum(r["lang"] == said[r["page_id"]] for r in got) > 0.9 * len(got)
+
+
+def test_hostile_pages_take_linear_time():
+    begin = time.time()
+    for html in ("<html " * 300_000, "<" * 2_000_000, "<html lang" * 200_000, "<!--" * 500_000, "<script " * 200_000):
+        langid.visible_text(html)
+        langid.declared_language(html)
+    assert time.time() - begin < 20
+
+
 def test_visible_text():
     html = "<html lang='EN-us'><script>var x='</p>'</script><!-- no --><p>a&amp;b<br>c</p><style>q"
     assert langid.visible_text(html).split() == ["a&b", "c"] and langid.declared_language(html) == "en"
