@@ -296,10 +296,20 @@ def first_scene_frames(scene: DataFrame) -> DataFrame:
 
 
 def assets_with_scenes(
-    scene: DataFrame, asset: DataFrame, library: DataFrame, slug: str | None = None
+    scene: DataFrame, asset: DataFrame, library: DataFrame, slug: str | None = None, limit: int | None = None,
+    offset: int = 0, after: int | None = None,
 ) -> DataFrame:
-    having = scene.select(F.col("asset_id").alias("id")).distinct()
-    return live_assets(asset, library, slug).join(having, "id", "left_semi").select("id", "library_id")
+    """Live assets with at least one scene: all, or with `limit` one page by id. `after` goes on behind an id, which
+    reads no page again; `offset` counts from there."""
+    having = scene.select(F.col("asset_id").alias("id"))
+    rows = live_assets(asset, library, slug)
+    if after is not None:
+        having, rows = having.where(F.col("id") > after), rows.where(F.col("id") > after)
+    found = rows.join(having.distinct(), "id", "left_semi").select("id", "library_id")
+    if limit is None and not offset:
+        return found
+    page = found.orderBy("id").offset(offset)
+    return page if limit is None else page.limit(limit)
 
 
 def scene_progress(scene: DataFrame) -> DataFrame:

@@ -207,6 +207,12 @@ def assets_with_scenes(c: Catalog) -> DataFrame:
     return cat.assets_with_scenes(c.scene, c.asset, c.library)
 
 
+@query("assets_with_scenes_page", f"select id, library_id from asset where {o.LIVE} and id in (select asset_id from scene) and id>41 order by id limit 25 offset 10")
+def assets_with_scenes_page(c: Catalog) -> DataFrame:
+    """One page, behind an id and then some."""
+    return cat.assets_with_scenes(c.scene, c.asset, c.library, limit=25, offset=10, after=41)
+
+
 @query("scene_progress", """select asset_id, max(end_ts) as max_end_ts,
   first(description order by end_ts desc, id desc) as last_description from scene group by asset_id""")
 def scene_progress(c: Catalog) -> DataFrame:

@@ -158,10 +158,15 @@ def create_index(spark: SparkSession, path: str, index_name: str) -> None:
     fs.mkdirs(folder)
 
 
-def delete_index(spark: SparkSession, path: str, index_name: str) -> bool:
-    """Drop the partition of an index; False when there is none."""
-    folder, fs = _index_path(spark, path, index_name)
-    return bool(fs.delete(folder, True)) if fs.exists(folder) else False
+def delete_index(spark: SparkSession, path: str, index_name: str, postings: str | None = None) -> bool:
+    """Drop an index: its documents, and its `postings` if their place is given, first, so that none is ever left
+    without a document. False when there was nothing."""
+    gone = False
+    for place in (postings, path):
+        if place is not None:
+            folder, fs = _index_path(spark, place, index_name)
+            gone = (bool(fs.delete(folder, True)) if fs.exists(folder) else False) or gone
+    return gone
 
 
 def reset_sync(
@@ -176,9 +181,7 @@ def reset_sync(
     doomed = [(r[0], r[1]) for r in rows.select("library_slug", "active_index_name").toLocalIterator()]
     for _, index_name in doomed:
         if index_name is not None:
-            delete_index(spark, path, index_name)
-            if postings is not None:
-                delete_index(spark, postings, index_name)
+            delete_index(spark, path, index_name, postings)
     if checkpoint is not None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

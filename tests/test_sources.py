@@ -73,6 +73,10 @@ def test_index_lifecycle(spark, tmp_path):
         sd.create_index(spark, path, name)
     sd.create_index(spark, path, "fresh")
     assert sd.delete_index(spark, path, "fresh") and not sd.delete_index(spark, path, "fresh")
+    other = sorted(names - {name})[0]
+    assert sd.delete_index(spark, path, other, posted) and not sd.delete_index(spark, path, other, posted)
+    for table in (path, posted):
+        assert sd.read_documents(spark, table).where(F.col("index_name") == other).count() == 0
     left = sd.reset_sync(spark, path, c.policy, ["src1"], postings=posted)
     assert left.where("library_slug = 'src1'").count() == 0 and left.count() == c.policy.count() - 1
     for table in (path, posted):
