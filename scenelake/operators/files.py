@@ -14,7 +14,7 @@ import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.operators.ordered import row_numbers, running
+from scenelake.operators.ordered import previous_value, row_numbers, running
 
 _PART = 1 << 20
 # Paths of one digest are numbered in so many ranges of their hash.
@@ -145,3 +145,52 @@ def regroup(groups: DataFrame, members: DataFrame, changes: DataFrame) -> tuple[
     )
     again = duplicate_groups(now.join(touched, "digest", "left_semi"))
     return groups.join(touched, "digest", "left_anti").unionByName(again), now
+
+
+STABLE = "library_id string, rel_path string, size bigint, mtime double, since double, last_seen double, stable_at double"
+HOLD_SECONDS = 60.0
+_SPAN_SECONDS = 86_400.0
+
+
+def observe(state: DataFrame, scan: DataFrame, hold: float = HOLD_SECONDS) -> DataFrame:
+    """State of files (`STABLE`) after one more scan (library_id, rel_path, size, mtime, seen_at).
+
+    A file is stable (`stable_at`) from the first scan at which size and time have held for `hold` seconds; any
+    change begins anew. Of several rows of a file in a scan the latest counts; what isn't newer than what was seen
+    already changes nothing, so a scan may come late or twice. Files that a scan doesn't show keep their state.
+    """
+    place = ["library_id", "rel_path"]
+    last = F.max_by(F.struct("size", "mtime", "seen_at"), F.struct("seen_at", "size", "mtime"))
+    new = scan.where("seen_at is not null").groupBy(*place).agg(last.alias("n"))
+    rows = state.join(new, place, "full")
+    fresh = F.col("n.seen_at").isNotNull() & (F.col("last_seen").isNull() | (F.col("n.seen_at") > F.col("last_seen")))
+    same = F.col("since").isNotNull() & F.col("size").eqNullSafe(F.col("n.size")) & F.col("mtime").eqNullSafe(F.col("n.mtime"))
+    held = F.when(F.col("n.seen_at") - F.col("since") >= hold, F.col("n.seen_at"))
+    values = {
+        "size": F.when(fresh, F.col("n.size")).otherwise(F.col("size")),
+        "mtime": F.when(fresh, F.col("n.mtime")).otherwise(F.col("mtime")),
+        "since": F.when(fresh & ~same, F.col("n.seen_at")).otherwise(F.col("since")),
+        "last_seen": F.when(fresh, F.col("n.seen_at")).otherwise(F.col("last_seen")),
+        "stable_at": F.when(fresh & ~same, F.when(F.lit(hold) <= 0, F.col("n.seen_at")))
+        .when(fresh, F.coalesce("stable_at", held)).otherwise(F.col("stable_at")),
+    }
+    return rows.select(*place, *(v.cast("bigint" if c == "size" else "double").alias(c) for c, v in values.items()))
+
+
+def stable_files(scans: DataFrame, hold: float = HOLD_SECONDS) -> DataFrame:
+    """The state (`STABLE`) after all `scans` at once; the same as observing them one by one, in order of time."""
+    place = ["library_id", "rel_path"]
+    seen = scans.where("seen_at is not null").groupBy(*place, F.col("seen_at").cast("double").alias("seen_at")).agg(
+        F.max(F.struct("size", "mtime")).alias("v")
+    )
+    before = previous_value(seen, place, F.col("seen_at"), [F.col("seen_at")], F.struct("v"), "before", _SPAN_SECONDS)
+    changed = F.col("before").isNull() | ~F.col("before")["v"].eqNullSafe(F.col("v"))
+    since = before.groupBy(*place).agg(
+        F.max(F.when(changed, F.col("seen_at"))).alias("since"), F.max("seen_at").alias("last_seen"),
+        F.max_by("v", "seen_at").alias("v"),
+    )
+    late = seen.select(*place, "seen_at").join(since.select(*place, "since"), place).where(F.col("seen_at") - F.col("since") >= hold)
+    stable = late.groupBy(*place).agg(F.min("seen_at").alias("stable_at"))
+    return since.join(stable, place, "left").select(
+        *place, F.col("v.size").cast("bigint").alias("size"), F.col("v.mtime").cast("double").alias("mtime"), "since", "last_seen", "stable_at"
+    )

@@ -113,3 +113,19 @@ qualify row_number() over (partition by asset_id, win order by distance_sum, pts
 def keyframes(c: Catalog) -> DataFrame:
     """The medoid of each eighth of every video."""
     return representative_frames(c.frame, n=8)
+
+
+# Frames of a video stand for scans of a file that grows by blocks.
+@query("stable_files", """select library_id, rel_path, size, mtime, since, last_seen, min(pts) filter (pts-since>=20) as stable_at
+from (select *, max(case when changed then pts end) over w as since, max(pts) over w as last_seen, last_value(v) over (w order by pts rows between unbounded preceding and unbounded following) as size, 0.0::double as mtime
+  from (select *, coalesce(lag(v) over (w order by pts)<>v, true) as changed from obs window w as (partition by rel_path)) q window w as (partition by rel_path)) r
+where pts>=since group by all""", {
+    "obs": "select 'videos' as library_id, asset_id::varchar as rel_path, pts, max(('0x'||substr(phash,2,7))::bigint) as v from frame group by all"})
+def stable_files(c: Catalog) -> DataFrame:
+    """Since when each file has been as it is, and when that had held for 20 seconds."""
+    size = F.conv(F.substring("phash", 2, 7), 16, 10).cast("bigint").alias("size")
+    scans = c.frame.select(
+        F.lit("videos").alias("library_id"), F.col("asset_id").cast("string").alias("rel_path"), size,
+        F.lit(0.0).alias("mtime"), F.col("pts").alias("seen_at"),
+    )
+    return files.stable_files(scans, 20.0)

@@ -153,3 +153,38 @@ def test_groups_after_changes(spark, change):
     assert sorted(tuple(r) for r in groups.collect()) == sorted(tuple(r) for r in files.duplicate_groups(now).collect())
     first = {r["digest"]: (r["representative"], r["copies"], r["reachable"]) for r in files.duplicate_groups(members).collect()}
     assert first == {"x": (2, 3, 2), "y": (4, 1, 1), "z": (6, 1, 0)}
+
+
+def test_stable_files_one_by_one_and_at_once(spark):
+    rng = random.Random(6)
+    rows = []
+    for scan, at in enumerate([0.0, 30.0, 60.0, 61.0, 130.0, 200.0]):
+        for name in "abcdef":
+            if rng.random() < 0.8:
+                rows.append((scan, "l", name, rng.choice([1, 1, 1, 2, None]), rng.choice([5.0, 5.0, None]) if name == "f" else 5.0, at))
+    rows.append((2, "l", "a", 9, 5.0, 59.0))  # an older row of the same scan
+    scans = spark.createDataFrame(rows, "n int, library_id string, rel_path string, size long, mtime double, seen_at double")
+    state = spark.createDataFrame([], files.STABLE)
+    plain = {}
+    for scan in range(6):
+        one = scans.where(f"n = {scan}").drop("n")
+        state = files.observe(state, one)
+        if scan == 3:
+            # Twice, and one that comes late.
+            state = files.observe(files.observe(state, one), scans.where("n = 1").drop("n"))
+        state = spark.createDataFrame(state.collect(), files.STABLE)
+        latest = {}
+        for n, _, name, size, mtime, at in rows:
+            if n == scan and (name not in latest or at > latest[name][2]):
+                latest[name] = (size, mtime, at)
+        for name, (size, mtime, at) in latest.items():
+            old = plain.get(name)
+            if old is None or old[:2] != (size, mtime):
+                plain[name] = (size, mtime, at, at, None)
+            else:
+                plain[name] = (*old[:3], at, old[4] if old[4] is not None else at if at - old[2] >= 60 else None)
+    got = {r["rel_path"]: tuple(r)[2:] for r in state.collect()}
+    assert got == plain and any(v[4] is not None for v in got.values()) and any(v[4] is None for v in got.values())
+    whole = scans.drop("n").where("not (size <=> 9)")
+    assert {r["rel_path"]: tuple(r)[2:] for r in files.stable_files(whole).collect()} == plain
+    assert files.stable_files(scans.where("false")).count() == 0
