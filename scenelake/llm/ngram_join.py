@@ -84,6 +84,7 @@ def _classes(n: int, p: JoinParameters) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
+BATCH_BYTES = 1 << 22
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -132,7 +133,8 @@ def _segment_keys(grams: np.ndarray, p: JoinParameters) -> np.ndarray:
 
 
 def _mapped(df: DataFrame, schema: str, types: list[pa.DataType], work: Callable[[list, str | None], Iterator[tuple]]) -> DataFrame:
-    """Rows that `work` makes of (key, text); batches of a few thousand rows at most, so memory stays bounded."""
+    """Rows that `work` makes of (key, text); batches of some thousand rows or a few MB at most, so memory stays
+    bounded."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
@@ -142,12 +144,15 @@ def _mapped(df: DataFrame, schema: str, types: list[pa.DataType], work: Callable
             columns = zip(*rows) if rows else [[] for _ in names]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
+        size = 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out.extend(work(key, text.as_py()))
-                if len(out) >= 1000:
+                for row in work(key, text.as_py()):
+                    out.append(row)
+                    size += sum(v.nbytes for v in row if isinstance(v, np.ndarray))
+                if len(out) >= 1000 or size >= BATCH_BYTES:
                     yield batch_of(out)
-                    out = []
+                    out, size = [], 0
         yield batch_of(out)
 
     return df.mapInArrow(run, schema)
