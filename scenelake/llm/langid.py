@@ -79,16 +79,23 @@ def train_likelihood(texts: DataFrame, model: LanguageModel = LanguageModel()) -
     names, buckets = list(model.languages), model.buckets
 
     def count(batches):
-        sums = np.zeros((len(names), buckets), np.int64)
+        sums = np.zeros((buckets, len(names)), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if lang in names:
-                    sums[names.index(lang)] += np.bincount(_grams(text or "", buckets), minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
-
+                    sums[:, names.index(lang)] += np.bincount(_grams(text or "", buckets), minlength=buckets)
+        held = np.flatnonzero(sums.any(axis=1))
+        columns = [pa.array(held, pa.int64()), *(pa.array(c) for c in sums[held].T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", *(f"_{i}" for i in range(len(names)))])
+
+    # Summed by Spark: a row per bucket comes to the driver, however many tasks the texts are dealt over.
+    schema = ", ".join(["bucket bigint", *(f"_{i} bigint" for i in range(len(names)))])
+    counts = texts.select("lang", "text").mapInArrow(count, schema).groupBy("bucket").agg(
+        *(F.sum(f"_{i}").alias(f"_{i}") for i in range(len(names)))
+    )
     sums = np.zeros((len(names), buckets), np.int64)
-    for row in texts.select("lang", "text").mapInArrow(count, "sums binary").collect():
-        sums += np.frombuffer(row["sums"], np.int64).reshape(sums.shape)
+    for bucket, *row in counts.collect():
+        sums[:, bucket] = row
     shares = (sums + 0.5) / (sums + 0.5).sum(axis=1, keepdims=True)
     return np.log(shares).T
 

@@ -290,6 +290,20 @@ def test_language_equals_brute_force(spark):
     assert all(abs(a - b) < 2e-4 for (_, x), (_, y) in zip(have, want) for a, b in zip(x, y))
 
 
+def test_driver_gets_a_row_per_bucket(spark, monkeypatch):
+    texts = spark.read.parquet(f"{SF}/documents.parquet").limit(400).select("lang", "text")
+    sizes, collect = [], type(texts).collect
+
+    def measured(df):
+        rows = collect(df)
+        sizes.append(sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 for r in rows for v in r))
+        return rows
+
+    monkeypatch.setattr(type(texts), "collect", measured)
+    few, many = (langid.train_likelihood(texts.repartition(n)) for n in (1, 12))
+    assert (few == many).all() and sizes[0] == sizes[1] < 2_000_000
+
+
 def test_language_without_its_declaration(spark):
     """What pages declare is taken out of them and kept as the truth."""
     docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
