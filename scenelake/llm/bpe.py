@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from scenelake.llm.common import table, text_of
+from scenelake.llm.common import small_batches, table, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker keeps besides the states, of which there are no more than beginnings of tokens: pairs
@@ -308,6 +308,7 @@ def _made(kind, *args):
 
 def _mapped(df: DataFrame, column: str, made: str, kind: str, work) -> DataFrame:
     """`df` with the column `made`, `work(value)` of `column`; batches out hold about BATCH_BYTES."""
+    small_batches(df.sparkSession)
     dtype = BinaryType() if kind == "binary" else StringType()
     schema = StructType([f for f in df.schema.fields if f.name != made] + [StructField(made, dtype)])
     arrow = pa.binary() if kind == "binary" else pa.string()

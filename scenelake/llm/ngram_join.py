@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import table, text_of
+from scenelake.llm.common import small_batches, table, text_of
 from scenelake.session import cut_lineage
 
 
@@ -546,6 +546,7 @@ def _linked(named: DataFrame, prints: DataFrame, sets: DataFrame, state: DataFra
 def _identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(k, text) of the rows with a key and of those without; and, only if a key stands for several texts, (id, key, h):
     a number for each key and text hash, which then stand in place of the keys."""
+    small_batches(docs.sparkSession)
     whole = docs.select(docs[key].cast("bigint").alias("k"), text_of(docs, text).alias("text"))
     named, nameless = whole.where("k is not null"), whole.where("k is null")
     hashed = named.withColumn("h", F.xxhash64("text"))

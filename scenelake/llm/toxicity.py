@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import table, text_of
+from scenelake.llm.common import small_batches, table, text_of
 from scenelake.session import cut_lineage
 
 WIDTH = 5
@@ -326,6 +326,7 @@ def reject_toxic(
     docs: DataFrame, index: bytes, text: str = "text", least: float = 0.5, model: ToxicityModel = ToxicityModel()
 ) -> DataFrame:
     """`docs` without the rows whose text scores `least` or more; rows and columns that stay are unchanged."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_label and terms
 
     def clean(batches):

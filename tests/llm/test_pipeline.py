@@ -5,11 +5,15 @@ import re
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scenelake.llm import bpe
-from scenelake.llm.common import table
+from scenelake.llm.common import ARROW_BYTES, table
+from scenelake.llm.ngram_join import keep_one, near_duplicates
+from scenelake.llm.toxicity import reject_toxic
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +55,28 @@ def test_stages(spark, tmp_path):
     for r in coded:
         ids = struct.unpack(f"<{r['n_tokens']}I", bytes(r["ids"]))
         assert list(ids) == library.encode_ordinary(texts[r["doc_id"]]) and r["decodes"]
+
+
+def test_python_gets_a_few_mb_at_a_time(spark):
+    """Stages that hand whole texts to Python bound the bytes of a batch, not only its rows."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 500).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    def largest():
+        return docs.mapInArrow(sizes, "size bigint").agg(F.max("size")).first()[0]
+
+    before = spark.conf.get(limit)
+    try:
+        for use in (keep_one, lambda d: reject_toxic(d, b""), bpe.encode, near_duplicates):
+            spark.conf.set(limit, str(64 << 20))
+            use(docs)
+            assert largest() <= 1.25 * ARROW_BYTES
+        spark.conf.set(limit, str(1 << 20))
+        bpe.encode(docs)
+        assert largest() <= 1.25 * (1 << 20)
+    finally:
+        spark.conf.set(limit, before)
