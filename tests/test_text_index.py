@@ -6,7 +6,7 @@ import random
 import pytest
 
 from scenelake.functions.stem import stem
-from scenelake.functions.text import parse_query
+from scenelake.functions.text import parse_query, words_of
 from scenelake.operators import search as se
 from scenelake.operators.search import SearchRequest, search_assets
 from scenelake.schemas import ASSET, LIBRARY, VIDEO_SCENES
@@ -155,3 +155,31 @@ def test_merged_is_per_asset(spark):
     marks = spark.createDataFrame([(1, 2), (1, 1), (2, 1)], ti.TOMBSTONE)
     assert sorted(tuple(r) for r in ti.merged(rows, marks).collect() if r[0]) == [(1, 2), (2, 1), (2, 2)]
     assert ti.merged(rows, marks.where("false")).count() == 9
+
+
+@pytest.mark.parametrize("at_once", [3, 1 << 18])
+def test_postings_are_made_without_a_shuffle(tables, monkeypatch, at_once):
+    monkeypatch.setattr(ti, "WORDS_AT_ONCE", at_once)
+    asset, scene_rows, _ = tables
+    plain, stems = (ti.build_postings(asset, scene_rows, stems=s) for s in (False, True))
+    for made in (plain, stems):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    whole = ti.stemmed_postings(plain, ti.word_stems(plain.where("field = 'word'")))
+    assert sorted(map(str, stems.collect())) == sorted(map(str, whole.collect()))
+    expected = {}
+    for r in asset.where("type = 'image' and visual_analysis is not null").collect():
+        va = r["visual_analysis"]
+        fields = (va["description"], " ".join(va["tags"] or ()), va["ocr_text"])
+        for at, word in enumerate((w for f in fields for w in words_of(f or "")), 1):
+            expected.setdefault((r["id"], word), []).append(at)
+    rows = plain.where("field = 'word' and kind = 'image'").collect()
+    assert {(r["id"], r["term"]): r["places"] for r in rows} == expected and len(rows) == len(expected)
+    words = [r[0] for r in ti.different_words(asset, scene_rows).collect()]
+    assert sorted(words) == sorted({r["term"] for r in plain.where("field = 'word'").collect()})
+
+
+def test_repeated_rows_are_found_once(tables, spark, tmp_path):
+    asset = rows_of(spark, ASSET, [image(1, analysis("red car"))] * 2 + [image(2, analysis("red"))])
+    ti.write_index(ti.build_postings(asset, tables[1].where("false")), str(tmp_path))
+    found = se.found_at(ti.read_index(spark, str(tmp_path)), parse_query("red")).collect()
+    assert sorted((r["id"], r["rank"]) for r in found) == [(1, 0.1), (2, 0.1)]
