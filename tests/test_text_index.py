@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import uuid
 
 import pytest
 
@@ -183,3 +184,19 @@ def test_repeated_rows_are_found_once(tables, spark, tmp_path):
     ti.write_index(ti.build_postings(asset, tables[1].where("false")), str(tmp_path))
     found = se.found_at(ti.read_index(spark, str(tmp_path)), parse_query("red")).collect()
     assert sorted((r["id"], r["rank"]) for r in found) == [(1, 0.1), (2, 0.1)]
+
+
+def test_texts_are_read_once_for_an_index(spark, tables, tmp_path):
+    plan = ti.build_postings(*tables[:2])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Scan ") == 2
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def run(batches):
+        (marks / uuid.uuid4().hex).touch()
+        yield from batches
+
+    postings = ti.build_postings(*tables[:2]).coalesce(1)
+    ti.write_index(postings.mapInArrow(run, postings.schema), f"{tmp_path}/index")
+    assert len(list(marks.iterdir())) == 1
+    assert ti.read_index(spark, f"{tmp_path}/index").postings.count() == postings.count()
