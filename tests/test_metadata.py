@@ -97,3 +97,25 @@ def test_nearest_place_equals_brute_force(spark):
             point = next(p for p in points if p[0] == r["id"])
             assert abs(r["angle"] - min(angle(point, q) for q in known)) < 1e-9
             assert abs(angle(point, next(q for q in known if str(q[0]) == r["place"]["city"])) - r["angle"]) < 1e-9
+
+
+def test_dense_places_are_looked_up_in_short_lists(spark):
+    from scenelake.operators import geo
+
+    rng = random.Random(5)
+    spots = [(48 + rng.random() / 10, 11 + rng.random() / 10) for _ in range(400)] + [(-10.0, -20.0), (80.0, 5.0)]
+    rows = [(i, *spots[i % len(spots)], "c", "r", f"p{i}") for i in range(3 * len(spots))]
+    gaz = spark.createDataFrame(rows, "place_id long, lat double, lon double, country string, region string, city string")
+    known = geo._on_sphere(gaz.select("place_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon")), "g_lat", "g_lon")
+    different = known.dropDuplicates(["g_lat", "g_lon"]).withColumnRenamed("place_id", "g_id")
+    edge = geo.CELL_EDGES[geo._first_edge(different)]
+    assert geo._around(different, edge).agg(F.max(F.size("offers"))).first()[0] < 100
+    pts = [(i, 48 + rng.random() / 8, 11 + rng.random() / 8) for i in range(60)] + [(60 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(40)]
+    got = {r["id"]: r["place"]["city"] for r in geo.reverse_geocode(spark.createDataFrame(pts, "id long, lat double, lon double"), gaz).collect()}
+
+    def angle(a, b):
+        (p, q), (s, t) = (map(math.radians, x) for x in (a, b))
+        return math.sin((s - p) / 2) ** 2 + math.cos(p) * math.cos(s) * math.sin((t - q) / 2) ** 2
+
+    for i, lat, lon in pts:
+        assert got[i] == f"p{min(range(len(spots)), key=lambda k: (angle((lat, lon), spots[k]), k))}"
