@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scenelake.operators import changes as ch
 from scenelake.operators import files
+from scenelake.operators import keyframes as kf
 from scenelake.operators import state_log as sl
 from scenelake.operators.keyframes import keyframes
 from scenelake.schemas import ASSET
@@ -69,7 +70,7 @@ def test_log_of_enrichment(spark, tmp_path):
     assert {r["id"]: r["visual_analysis"] and r["visual_analysis"]["description"] for r in now.collect()} == {0: None, 1: None, 2: "red car", 3: None}
 
 
-def test_keyframes_are_medoids(spark):
+def test_keyframes_are_medoids(spark, monkeypatch):
     rng = random.Random(2)
     rows, frame = [], 0
     for video in range(4):
@@ -93,6 +94,16 @@ def test_keyframes_are_medoids(spark):
         r = got[key]
         assert (r["distance_sum"], r["pts"], r["frame_id"], r["frames"]) == (*sums[0], len(members))
     assert keyframes(df.where("false")).count() == 0
+    # Windows of any length give the same by digit, and short ones are never made a row per digit.
+    for at_once in (0, 7, 20):
+        with monkeypatch.context() as m:
+            m.setattr(kf, "FRAMES_AT_ONCE", at_once)
+            assert sorted(keyframes(df, durations, n=5, digits=4).collect()) == sorted(got.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    assert sorted(keyframes(df, durations, n=5, digits=4).collect()) == sorted(got.values())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    short = kf._of_short_windows(df.withColumn("window", F.lit(0)).where("length(phash) = 4"), 4)
+    assert "Generate" not in short._jdf.queryExecution().executedPlan().toString()
 
 
 PLACE = "library_id string, rel_path string, digest string"
