@@ -1,5 +1,6 @@
 import json
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,28 @@ def test_libraries_are_stored_apart(spark):
     files = c.asset.select(F.input_file_name().alias("f"), "library_id", "id")
     parts = files.groupBy("f").agg(F.min("library_id").alias("a"), F.max("library_id").alias("b")).orderBy("a", "b").collect()
     assert all(x["b"] <= y["a"] for x, y in zip(parts, parts[1:]))
+
+
+def test_postings_are_counted_in_their_texts_rows_and_once(spark, tmp_path):
+    rows = [(f"asset_{i}", i, "a b a " * i + "The the", None, ["x y"], f"i{i % 2}", "b0") for i in range(1, 30)]
+    docs = spark.createDataFrame(
+        rows, "id string, asset_id bigint, description string, ocr_text string, tags array<string>, index_name string, batch_id string"
+    )
+    postings = sd.build_postings(docs)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def run(batches):
+        (marks / uuid.uuid4().hex).touch()
+        yield from batches
+
+    sd.write_postings(postings.coalesce(1).mapInArrow(run, postings.schema), f"{tmp_path}/postings", "0")
+    assert len(list(marks.iterdir())) == 1
+    read = sd.read_documents(spark, f"{tmp_path}/postings")
+    got = {(r["index_name"], r["asset_id"], r["length"], r["term"], r["tf"]) for r in read.collect()}
+    want = {
+        (f"i{i % 2}", i, 3 * i + 4, w, n) for i in range(1, 30)
+        for w, n in (("a", 2 * i), ("b", i), ("the", 2), ("x", 1), ("y", 1))
+    }
+    assert got == want and read.count() == len(want)
