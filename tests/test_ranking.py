@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from scenelake.operators import ranking as rk
 from scenelake.sources.search_docs import build_postings
@@ -104,3 +105,15 @@ def test_tag_and_ocr_restrict_the_scope(docs):
         assert _ids(rk.bm25_search(docs, "balloon", tag="red", postings=postings)) == [1]
         assert _ids(rk.bm25_search(docs, "red", ocr=True, postings=postings)) == [3]
         assert _ids(rk.bm25_search(docs, "balloon", ocr=True, postings=postings)) == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ocr_scope_is_found_once(spark, docs):
+    found = rk.bm25_search(docs, "red", ocr=True, postings=build_postings(docs))
+    assert "array_except" not in _plan(found) and _ids(found) == [3]
+    twice = docs.withColumn("index_name", F.lit("other")).withColumn("ocr_text", F.lit(None).cast("string")).unionByName(docs)
+    rows = rk.bm25_search(twice, "red", ocr=True, postings=build_postings(twice)).collect()
+    assert [(r["id"], r["index_name"]) for r in rows] == [("scene_7", "ib")]
