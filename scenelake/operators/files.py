@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.operators.ordered import previous_value, row_numbers, running
+from scenelake.session import cut_lineage
 
 _PART = 1 << 20
 # Paths of one digest are numbered in so many ranges of their hash.
@@ -71,7 +72,8 @@ def match_moves(known: DataFrame, found: DataFrame, unreachable: DataFrame | Non
     An asset whose file is gone and a new file with its digest make a `moved`; of several, within one library first,
     assets by id and files by a hash of their place, each once. Other new files are a `copy` if an asset that is still
     there, or the target of a move, has the digest, else `new`. Assets that are gone without a match are `missing`. A
-    null digest matches nothing. Rows that repeat a place are one.
+    null digest matches nothing. Rows that repeat a place are one. Each step goes on from the stored rows of the one before,
+    so none is computed again by those that follow.
     """
     place = ["library_id", "rel_path"]
     known, found = known.dropDuplicates(["asset_id"]), found.dropDuplicates(place)
@@ -79,6 +81,7 @@ def match_moves(known: DataFrame, found: DataFrame, unreachable: DataFrame | Non
     gone = known.join(found.select(place), place, "left_anti")
     if unreachable is not None:
         gone = gone.join(unreachable.select("library_id").distinct(), "library_id", "left_anti")
+    new, gone = cut_lineage(new), cut_lineage(gone)
 
     def pairs(gone: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
         left = row_numbers(gone.where("digest is not null"), keys, "asset_id", "_n").select(
@@ -91,11 +94,11 @@ def match_moves(known: DataFrame, found: DataFrame, unreachable: DataFrame | Non
             "asset_id", "to.library_id", "to.rel_path", "old_library_id", "old_rel_path"
         )
 
-    near = pairs(gone, new, ["digest", "library_id"])
-    rest_gone = gone.join(near.select("asset_id"), "asset_id", "left_anti")
-    rest_new = new.join(near.select(place), place, "left_anti")
-    moved = near.unionByName(pairs(rest_gone, rest_new, ["digest"]))
-    left_new = new.join(moved.select(place), place, "left_anti")
+    near = cut_lineage(pairs(gone, new, ["digest", "library_id"]))
+    rest_gone = cut_lineage(gone.join(near.select("asset_id"), "asset_id", "left_anti"))
+    rest_new = cut_lineage(new.join(near.select(place), place, "left_anti"))
+    moved = near.unionByName(cut_lineage(pairs(rest_gone, rest_new, ["digest"])))
+    left_new = cut_lineage(new.join(moved.select(place), place, "left_anti"))
     left_gone = gone.join(moved.select("asset_id"), "asset_id", "left_anti")
     # Content that is somewhere: at a place where it was, or at one that a move leads to.
     there = found.join(left_new.select(place), place, "left_anti").select("digest").where("digest is not null").distinct()

@@ -199,3 +199,12 @@ def test_stable_files_one_by_one_and_at_once(spark):
     whole = scans.drop("n").where("not (size <=> 9)")
     assert {r["rel_path"]: tuple(r)[2:] for r in files.stable_files(whole).collect()} == plain
     assert files.stable_files(scans.where("false")).count() == 0
+
+
+def test_steps_of_a_match_are_not_computed_again(spark):
+    known = spark.range(40).selectExpr("id as asset_id", "'l' || id % 3 as library_id", "'old/' || id as rel_path", "'d' || id % 5 as digest")
+    found = spark.range(45).selectExpr("'l' || id % 2 as library_id", "'new/' || id as rel_path", "'d' || id % 4 as digest")
+    changes = files.match_moves(known, found)
+    assert changes._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
+    assert changes.where("change = 'moved'").count() == 32 and changes.where("change = 'missing'").count() == 8
+    assert changes.where("change in ('copy', 'new')").count() == 13
