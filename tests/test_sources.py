@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenelake.plans.tables import AS_OF, open_catalog
+from scenelake.session import store
 from scenelake.sources import inventory, records
 from scenelake.sources import search_docs as sd
 from scenelake.streaming.sync import sync_batch
@@ -185,3 +186,9 @@ def test_postings_are_counted_in_their_texts_rows_and_once(spark, tmp_path):
         for w, n in (("a", 2 * i), ("b", i), ("the", 2), ("x", 1), ("y", 1))
     }
     assert got == want and read.count() == len(want)
+
+
+def test_rows_of_one_table_are_stored_as_they_are_read(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 4)
+    assert store(rows, f"{tmp_path}/a", as_read=True).count() == 100
+    assert len(list((tmp_path / "a").glob("part-*"))) == 4
