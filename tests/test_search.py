@@ -107,3 +107,18 @@ def test_one_entry_point_routes_and_flags(spark):
     by_tag = find(*tables, SearchRequest(tag="en", limit=10)).collect()
     assert {r["searched"] for r in by_tag} <= {"catalog"}
     assert len({r["incomplete"] for r in by_index}) == 1
+
+
+def test_documents_are_not_made_without_an_index(spark):
+    from scenelake.operators.find import find
+    from scenelake.plans.tables import open_catalog
+
+    def never():
+        raise AssertionError("no library has an index")
+
+    c = open_catalog(spark, "/root/testdata/sf0.001")
+    req = SearchRequest(query="thing", limit=10)
+    rows = find(c.asset, c.scene, c.library, c.policy.where("false"), never, never, req).collect()
+    assert rows and {r["searched"] for r in rows} == {"catalog"}
+    routed = find(c.asset, c.scene, c.library, c.policy, lambda: c.documents, lambda: c.postings, req).collect()
+    assert routed and "index" in {r["searched"] for r in routed}
