@@ -117,3 +117,26 @@ def test_ocr_scope_is_found_once(spark, docs):
     twice = docs.withColumn("index_name", F.lit("other")).withColumn("ocr_text", F.lit(None).cast("string")).unionByName(docs)
     rows = rk.bm25_search(twice, "red", ocr=True, postings=build_postings(twice)).collect()
     assert [(r["id"], r["index_name"]) for r in rows] == [("scene_7", "ib")]
+
+
+def test_similar_without_limits_reads_no_ids_of_documents(docs):
+    postings = build_postings(docs)
+    find = lambda scope, **o: rk.find_similar(docs, "red balloon", [], 1, scope, min_score=0.0, floor=0.0, **o)
+    for scope in (rk.SimilarityScope(), rk.SimilarityScope(asset_types=("image",)), rk.SimilarityScope(library="b")):
+        found = find(scope, postings=postings)
+        assert "LeftSemi" not in _plan(found) and _ids(found) == _ids(find(scope)) != []
+    limited = rk.SimilarityScope(from_ts=15.0)
+    assert _ids(find(limited, postings=postings)) == _ids(find(limited)) == [2, 3]
+
+
+def test_scores_do_not_depend_on_the_order_of_postings(spark, docs):
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(w for i, w in enumerate(words) for _ in range(i % 7 + 1))
+    some = docs.limit(0).unionByName(docs.where("asset_id = 1").withColumn("description", F.lit(text))).unionByName(docs)
+    postings = build_postings(some).coalesce(1)
+    weights = {w: 1 + i % 3 for i, w in enumerate(words)}
+    scores = [
+        rk.bm25_scores(some, weights, True, postings.sortWithinPartitions(order)).first()["score"]
+        for order in (F.asc("tf"), F.desc("tf"), F.asc("term"), F.desc("term"))
+    ]
+    assert len(set(scores)) == 1
