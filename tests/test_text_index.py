@@ -200,3 +200,28 @@ def test_texts_are_read_once_for_an_index(spark, tables, tmp_path):
     ti.write_index(postings.mapInArrow(run, postings.schema), f"{tmp_path}/index")
     assert len(list(marks.iterdir())) == 1
     assert ti.read_index(spark, f"{tmp_path}/index").postings.count() == postings.count()
+
+
+def test_an_index_is_written_without_a_shuffle(spark, tables, tmp_path, monkeypatch):
+    path, plans, write = f"{tmp_path}/index", [], ti._write
+
+    def seen(rows, at, version):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, at, version)
+
+    monkeypatch.setattr(ti, "_write", seen)
+    ti.write_index(ti.build_postings(*tables[:2]), path)
+    assert "Exchange" not in plans[0]
+
+
+@pytest.mark.parametrize("at_once", [4, 1 << 20])
+def test_postings_come_in_runs_by_term(spark, tables, monkeypatch, at_once):
+    monkeypatch.setattr(ti, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(ti, "POSTINGS_AT_ONCE", at_once)
+    asset = rows_of(spark, ASSET, [image(i, analysis(f"zebra ärger w{i % 3} apple été", ["b", "a"])) for i in range(1, 9)])
+    made = ti.build_postings(asset.coalesce(1), tables[1].where("false"))
+    for postings, run in ((made, 7 if at_once == 4 else 56), (ti.in_runs(made.orderBy("id", "term").coalesce(1)), 56)):
+        rows = [(r["field"], r["term"].encode(), r["id"]) for r in postings.collect()]
+        assert sorted(rows) == sorted((r["field"], r["term"].encode(), r["id"]) for r in made.collect()) and len(rows) == 8 * 9
+        words = [r for r in rows if r[0] == "word"]
+        assert all(words[i : i + run] == sorted(words[i : i + run]) for i in range(0, 56, run))
