@@ -212,6 +212,14 @@ def test_an_index_is_written_without_a_shuffle(spark, tables, tmp_path, monkeypa
     monkeypatch.setattr(ti, "_write", seen)
     ti.write_index(ti.build_postings(*tables[:2]), path)
     assert "Exchange" not in plans[0]
+    ti.write_tombstones(spark.range(1, 3).withColumnRenamed("id", "asset_id"), path, 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ti.compact(spark, path, f"{tmp_path}/whole")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plans[-1] and "BroadcastHashJoin" in plans[-1]
 
 
 @pytest.mark.parametrize("at_once", [4, 1 << 20])
@@ -225,3 +233,19 @@ def test_postings_come_in_runs_by_term(spark, tables, monkeypatch, at_once):
         assert sorted(rows) == sorted((r["field"], r["term"].encode(), r["id"]) for r in made.collect()) and len(rows) == 8 * 9
         words = [r for r in rows if r[0] == "word"]
         assert all(words[i : i + run] == sorted(words[i : i + run]) for i in range(0, 56, run))
+
+
+def test_changes_are_kept_apart_from_the_index_they_change(spark, tmp_path):
+    asset = rows_of(spark, ASSET, [image(i, analysis(f"old thing{i}")) for i in range(1, 6)])
+    scenes = rows_of(spark, VIDEO_SCENES, [])
+    ti.write_index(ti.build_postings(asset, scenes), f"{tmp_path}/base")
+    base = ti.read_index(spark, f"{tmp_path}/base")
+    outbox = spark.createDataFrame([(1, 1, "DELETE"), (2, 2, "UPSERT")], "seq int, asset_id long, action string")
+    now = rows_of(spark, ASSET, [image(2, analysis("new thing2"))])
+    ti.apply_changes(outbox, now, scenes, f"{tmp_path}/changes", 1)
+    assert [p.name for p in (tmp_path / "changes/postings").iterdir()] == ["batch=1"]
+    both = ti.read_index(spark, f"{tmp_path}/changes", base=base)
+    whole = ti.compact(spark, f"{tmp_path}/changes", f"{tmp_path}/whole", base=base)
+    for index in (both, whole):
+        assert found(index, "old") == [("image", i) for i in (3, 4, 5)] and found(index, "new") == [("image", 2)]
+    assert found(base, "old") == [("image", i) for i in range(1, 6)] and whole.tombstones.count() == 0
