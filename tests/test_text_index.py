@@ -11,6 +11,8 @@ from scenelake.functions.text import parse_query, words_of
 from scenelake.operators import search as se
 from scenelake.operators.search import SearchRequest, search_assets
 from scenelake.schemas import ASSET, LIBRARY, VIDEO_SCENES
+from scenelake.plans.search_queries import tag_search
+from scenelake.plans.tables import Catalog
 from scenelake.sources import text_index as ti
 
 
@@ -249,3 +251,20 @@ def test_changes_are_kept_apart_from_the_index_they_change(spark, tmp_path):
     for index in (both, whole):
         assert found(index, "old") == [("image", i) for i in (3, 4, 5)] and found(index, "new") == [("image", 2)]
     assert found(base, "old") == [("image", i) for i in range(1, 6)] and whole.tombstones.count() == 0
+
+
+def test_tags_are_indexed_without_reading_texts(spark, tables, tmp_path):
+    asset, scene_rows, library = tables
+    whole, tags = (ti.build_postings(asset, scene_rows, words=w) for w in (True, False))
+    keys = ("kind", "id", "asset_id", "start_ts", "end_ts", "field", "term", "places", "version")
+    assert sorted(map(str, tags.select(*keys).collect())) == sorted(map(str, whole.where("field = 'tag'").select(*keys).collect()))
+    assert tags.count() > 0
+    asset.write.parquet(f"{tmp_path}/asset"), scene_rows.write.parquet(f"{tmp_path}/scene")
+    stored = [spark.read.parquet(f"{tmp_path}/{n}") for n in ("asset", "scene")]
+    plan = ti.build_postings(*stored, words=False)._jdf.queryExecution().executedPlan().toString()
+    assert "tags" in plan and "ocr_text:" not in plan and "description:" not in plan
+
+
+def test_tag_search_needs_no_postings_of_words(spark):
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    assert tag_search(c).count() > 0 and list(c._indexes) == ["tags"]
